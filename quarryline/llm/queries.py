@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.llm import decontaminate, mixing
 from quarryline.llm.common import held_out, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -16,7 +17,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.sort_array(F.transform("hits.items", lambda x: x.cast("string"))), ",")
+    n_hit = decontaminate.hit_words(F.col("hits"))
+    return found.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op5_source_mixing": mixing.MIXING_SQL,
+    "op6_benchmark_decontamination": decontaminate.DECONTAMINATION_SQL,
 }
-ORACLES: dict[str, str] = {}
