@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, mixing
+from quarryline.llm import decontaminate, mixing, secrets
 from quarryline.llm.common import held_out, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -30,10 +30,18 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("secrets.base_spans")
+    counts = [secrets.count_kind(base, k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.render(base), 256).alias("base_sha256"), secrets.render(F.col("secrets.spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_secret_scan": op8_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.MIXING_SQL,
