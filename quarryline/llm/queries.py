@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, mixing, secrets
-from quarryline.llm.common import held_out, table
+from quarryline.llm import decontaminate, mixing, rules, secrets
+from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
 
@@ -17,6 +17,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stash(rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    verdict = rules.learn_rules(stats, labels)
+    failed = rules.base_failed()
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict.kept()).alias("kept"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +47,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
