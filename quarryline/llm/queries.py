@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, mixing, rules, secrets
+from quarryline.llm import decontaminate, licenses, mixing, rules, secrets
 from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -25,6 +25,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict.kept()).alias("kept"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, licenses.build_index(docs))
+    places, templates = F.col("licenses.places"), F.col("licenses.templates")
+    base = F.array_distinct(F.transform(places, lambda x: x["label"]))
+    starts = F.transform(places, lambda x: x["at"])
+    own = F.transform(templates, lambda x: x["label"])
+    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    share = F.coalesce(F.array_max(F.transform(templates, lambda x: x["share"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "licenses.n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.round(F.greatest(share, F.when(F.size(places) > 0, 0.5).otherwise(0.0)), 9).alias("score"),
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +69,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
