@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, licenses, mixing, rules, secrets, simhash
+from quarryline.llm import decontaminate, licenses, mixing, rules, secrets, simhash, warc
 from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -71,6 +71,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.render(base), 256).alias("base_sha256"), secrets.render(F.col("secrets.spans")).alias("spans"))
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -79,8 +84,10 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
+    "op10_warc_archives": op10_warc_archives,
 }
 ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.MIXING_SQL,
     "op6_benchmark_decontamination": decontaminate.DECONTAMINATION_SQL,
+    "op10_warc_archives": warc.WARC_SQL,
 }
