@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, licenses, mixing, rules, secrets, simhash, warc
+from quarryline.llm import decontaminate, html, licenses, mixing, rules, secrets, simhash, warc
 from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -64,6 +64,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return text.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("secrets.base_spans")
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_source_mixing": op5_source_mixing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_secret_scan": op8_secret_scan,
     "op10_warc_archives": op10_warc_archives,
 }
