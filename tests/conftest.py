@@ -11,6 +11,7 @@ def spark(tmp_path_factory):
     from quarryline.session import local_session
 
     s = local_session("tests", 8)
+    s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return s
