@@ -10,3 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from quarryline.plans import search  # noqa: F401
