@@ -14,4 +14,4 @@ ORACLES: dict[str, str] = {}
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quarryline.plans import search  # noqa: F401
+    from quarryline.plans import library, search  # noqa: F401
