@@ -9,7 +9,7 @@ kept, and the array is ordered by that string's fingerprint, then by the run's.
 Equal windows choose equal suffixes wherever they stand, so every long match
 meets under one key.  The batch is merge-scanned against the levels of the
 index: a run that occurs earlier as a whole is a match at once, and runs that
-share a key but not all bytes are compared window by window afterwards.  Then
+share a key but not all bytes are compared byte by byte afterwards.  Then
 the batch becomes a level, and levels of equal size are merged, so a suffix is
 rewritten a logarithmic number of times.
 
@@ -18,8 +18,8 @@ Ordering by fingerprint instead of by the bytes themselves keeps a suffix at som
 
 Tasks drop runs that they have seen before, so a key holds few rows of a task
 however often its string occurs.  A key with many different runs in one task
-(what surrounds a frequent passage) skips the scan: its runs are compared by
-window, and a marker tells the other tasks' runs of that key to do the same.
+(what surrounds a frequent passage) skips the scan: its windows are dealt out by their own fingerprints, and
+a marker tells the other tasks' runs of that key to do the same.
 """
 
 from __future__ import annotations
@@ -39,9 +39,16 @@ _LAST = (1 << 63) - 1  # stands for a null id, after all others
 _SEGMENT = 1 << 20
 _TASK_BYTES = 32 << 20
 _CROWD = 64
+_GROUP = 4096
 _MULTIPLIER = 0x9E3779B97F4A7C15
 ENTRY, MARKER, COMPARE, COVERED = 0, 1, 2, 3
-ENTRIES = "key bigint, kind int, run bigint, doc bigint, lo int, tn int"
+OLD = 8  # added to the kind of rows that come from a level
+#: ``place`` is the first window's start (high half), the text's tag and the number of windows (low half).
+ENTRIES = "key bigint, run bigint, doc bigint, place bigint, kind int"
+LEVEL, BYTES, WHOLE, WINDOWS = 1, 2, 4, 8  # bits of ``what``
+
+
+COVERS = "doc bigint, tag int, lo int, n int"
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -131,11 +138,7 @@ def _merged(doc, tag, lo, n):
 
 
 def _build(length: int):
-    """Tasks' part of a suffix array: ENTRIES rows of their documents.
-
-    ``tn`` is the number of windows and the text's tag, (tag << 8 | n) for entries;
-    covered stretches are cut to 255 windows a row.
-    """
+    """Tasks' part of a suffix array: ENTRIES rows of their documents; covered stretches are cut to 255 windows a row."""
 
     def run(batches):
         def flush(parts):
@@ -163,9 +166,10 @@ def _build(length: int):
                 more = m > 255
                 d, t, a, m = d[more], t[more], a[more] + 255, m[more] - 255
             for k, kinds, r, d, a, tn in out:
+                place = a << 32 | tn
                 for i in range(0, len(k), 50_000):
-                    s = slice(i, i + 50_000)
-                    yield pa.record_batch([pa.array(k[s]), pa.array(kinds[s].astype(np.int32)), pa.array(r[s]), pa.array(d[s]), pa.array(a[s].astype(np.int32)), pa.array((tn[s] & 0xFFFFFFFF).astype(np.uint32).view(np.int32))], ["key", "kind", "run", "doc", "lo", "tn"])
+                    part = (x[i : i + 50_000] for x in (k, r, d, place, kinds.astype(np.int32)))
+                    yield pa.record_batch([pa.array(x) for x in part], ["key", "run", "doc", "place", "kind"])
 
         parts, heavy = [], 0
         for doc, data in _documents(batches):
@@ -186,73 +190,86 @@ def _build(length: int):
     return run
 
 
-def _scan(rows: DataFrame) -> DataFrame:
-    """Merge scan of a batch and the levels: adds ``what``, 1 new level row, 2 to compare, 4 covered."""
-    rows = rows.repartition("key")
+def _scan(rows: DataFrame, crowd: int) -> DataFrame:
+    """Merge scan of a batch and the levels: adds ``what``, the bits of what is to be done with a row."""
     same_key = Window.partitionBy("key")
-    same_run = Window.partitionBy("key", "run").orderBy("kind", "doc", "lo")
-    entry = F.col("kind") == ENTRY
-    flagged = rows.withColumns({
+    same_run = Window.partitionBy("key", "run").orderBy("doc", "place")
+    kind = F.col("kind").bitwiseAND(F.lit(OLD - 1))
+    flagged = rows.repartition("key").withColumns({
         "first_doc": F.first("doc").over(same_run),
-        "first_lo": F.first("lo").over(same_run),
-        "mixed": (F.min("run").over(same_key) != F.max("run").over(same_key)) | (F.max((F.col("kind") == MARKER).cast("int")).over(same_key) > 0),
-        "touched": F.max("fresh").over(same_key),
+        "first_place": F.first("place").over(same_run),
+        "mixed": F.min("run").over(same_key) != F.max("run").over(same_key),
+        "crowded": (F.max((kind == MARKER).cast("int")).over(same_key) > 0) | (F.count("*").over(same_key) > crowd),
+        "touched": F.min("kind").over(same_key) < OLD,
     })
-    first = entry & (F.col("doc") == F.col("first_doc")) & (F.col("lo") == F.col("first_lo"))
-    level = F.when(F.col("fresh") & (first | (F.col("kind") == MARKER)), 1).otherwise(0)
-    compare = F.when((first & F.col("mixed") & F.col("touched")) | (F.col("kind") == COMPARE), 2).otherwise(0)
-    covered = F.when((entry & F.col("fresh") & ~first) | (F.col("kind") == COVERED), 4).otherwise(0)
-    return flagged.withColumn("what", level + compare + covered).select("key", "kind", "run", "doc", "lo", "tn", "what").where("what > 0")
+    entry, fresh = kind == ENTRY, F.col("kind") < OLD
+    # Rows of equal id and text are at one place and are all first.
+    first = entry & (F.col("doc") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
+    compare = first & (F.col("mixed") | F.col("crowded")) & F.col("touched")
+    what = (
+        F.when(fresh & (first | (kind == MARKER)), LEVEL).otherwise(0)
+        + F.when(compare & ~F.col("crowded"), BYTES).otherwise(0)
+        + F.when((entry & fresh & ~first) | (kind == COVERED), WHOLE).otherwise(0)
+        + F.when((compare & F.col("crowded")) | (kind == COMPARE), WINDOWS).otherwise(0)
+    )
+    return flagged.withColumn("what", what).withColumn("matched", F.col("what") > LEVEL).where("what > 0").select("key", "run", "doc", "place", kind.alias("kind"), "what", "matched")
 
 
 class SuffixIndex:
     """Levels of suffixes in the shared folder; each is twice as large as the next smaller one.
 
-    ``add`` scans a batch, whose ids must be above those added before, and returns
-    the table of what it found.
+    ``add`` scans a batch, whose ids must be above those added before, and keeps what
+    it found; ``rows`` gives it back.
     """
 
-    def __init__(self, spark, length: int = 100):
-        self.spark, self.length = spark, length
-        self.levels: list[tuple[int, str]] = []  # (batches in it, path)
+    def __init__(self, spark, length: int = 100, crowd: int = _GROUP):
+        self.spark, self.length, self.crowd = spark, length, crowd
+        self.levels: list[tuple[int, list[str]]] = []  # (batches in it, folders)
         self.found: list[str] = []
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(f"{ENTRIES}, what int").parquet(path)
+    def _read(self, paths: list[str]) -> DataFrame:
+        out = None
+        for path in paths:
+            part = self.spark.read.schema(f"{ENTRIES}, what int, matched boolean").parquet(path)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _level(self, paths: list[str]) -> DataFrame:
+        return self._read(paths).where("what % 2 = 1")
 
     def add(self, docs: DataFrame, *, last: bool = False) -> None:
         """docs: (id, text).  ``last``: nothing follows, so the batch needs no level."""
-        rows = docs.mapInArrow(_build(self.length), ENTRIES).withColumn("fresh", F.lit(True))
-        for _, path in self.levels:
-            rows = rows.unionByName(self._read(path).where("what % 2 = 1").drop("what").withColumn("fresh", F.lit(False)))
-        found = _scan(rows)
+        rows = docs.mapInArrow(_build(self.length), ENTRIES)
+        for _, paths in self.levels:
+            rows = rows.unionByName(self._level(paths).select("key", "run", "doc", "place", (F.col("kind") + OLD).cast("int").alias("kind")))
+        found = _scan(rows, self.crowd)
         if last:
-            found = found.where("what > 1")
+            found = found.where("matched")
         path = shared_folder(self.spark)
-        found.write.parquet(path)
+        found.write.partitionBy("matched").parquet(path)
         self.found.append(path)
         if last:
-            return
-        self.levels.append((1, path))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            both = self._read(a).unionByName(self._read(b)).where("what % 2 = 1").withColumn("what", F.lit(1))
-            merged = shared_folder(self.spark)
-            both.repartition("key").sortWithinPartitions("key", "run", "doc", "lo").write.parquet(merged)
-            self.levels.append((n + m, merged))
-            for old in (a, b):
-                if old not in self.found:
-                    remove_folder(self.spark, old)
+            for old in [*self.found[:-1], *(p for _, paths in self.levels for p in paths if p not in self.found)]:
+                remove_folder(self.spark, f"{old}/matched=false")
+        else:
+            self.levels.append((1, [path]))
+            while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+                self._merge(self.levels.pop(), self.levels.pop())
         _release(self.spark)
 
+    def _merge(self, a, b) -> None:
+        merged = shared_folder(self.spark)
+        both = self._level([*a[1], *b[1]]).withColumn("what", F.lit(LEVEL)).withColumn("matched", F.lit(False))
+        both.repartition("key").sortWithinPartitions("key", "run", "doc", "place").write.partitionBy("matched").parquet(merged)
+        for old in (*a[1], *b[1]):
+            remove_folder(self.spark, f"{old}/matched=false")
+        self.levels.append((a[0] + b[0], [merged]))
+
     def rows(self, bit: int) -> DataFrame:
-        """(doc, tag, lo, n) of all batches' rows with this bit of ``what``."""
-        out = None
-        for path in self.found:
-            part = self._read(path).where(F.col("what").bitwiseAND(F.lit(bit)) > 0)
-            part = part.select("doc", F.shiftrightunsigned("tn", 8).alias("tag"), "lo", F.col("tn").bitwiseAND(F.lit(255)).alias("n"))
-            out = part if out is None else out.unionByName(part)
-        return out
+        """(key, doc, tag, lo, n) of all batches' rows with this bit of ``what``."""
+        part = self._read(self.found).where(F.col("matched") & (F.col("what").bitwiseAND(F.lit(bit)) > 0))
+        low = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+        return part.select("key", "doc", F.shiftright(low, 8).cast("int").alias("tag"), F.shiftright("place", 32).cast("int").alias("lo"), low.bitwiseAND(F.lit(255)).cast("int").alias("n"))
 
 
 def _release(spark) -> None:
@@ -261,42 +278,71 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _windows(length: int):
-    """(id, text, list of (tag, lo, n)) to rows of the windows, ``covered`` if the task has an earlier one."""
+def _texts_of_runs(length: int):
+    """(doc, text, list of (key, tag, lo, n, crowded)) to the bytes under the runs' windows, and crowded runs' windows.
 
-    def run(batches):
-        def flush(parts):
-            w, g, doc, tag, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((at, doc, g, w))
-            w, g, doc, tag, at = (x[order] for x in (w, g, doc, tag, at))
-            fresh = np.ones(len(w), bool)
-            fresh[1:] = (w[1:] != w[:-1]) | (g[1:] != g[:-1])
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(w)), 0))
-            covered = (doc != doc[first]) | (at != at[first])
-            for i in range(0, len(w), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.record_batch([pa.array(x) for x in (w[s].view(np.int64), g[s].view(np.int64), doc[s], tag[s].astype(np.int32), at[s].astype(np.int32), covered[s])], ["w", "g", "doc", "tag", "at", "covered"])
+    A crowded run comes as its windows, one row each under the window's own
+    fingerprint; the others come whole under their key.
+    """
 
-        parts, heavy = [], 0
+    def run(batches):
+        names = ["key", "doc", "tag", "lo", "n", "bytes", "w"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+        out, heavy = [], 0
         for batch in batches:
-            for doc, text, runs in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)):
-                data, doc = text.as_py() or b"", doc.as_py()
+            for doc, text, runs in zip(*(batch.column(i) for i in range(3))):
+                data, doc = text.as_py().encode("utf-8", "surrogatepass"), doc.as_py()
                 mine = _tag(data)
-                todo = sorted({(r["lo"], r["n"]) for r in runs.as_py() if r["tag"] == mine})
-                if not todo:
-                    continue
-                starts = np.unique(np.concatenate([np.arange(a, a + n) for a, n in todo]))
-                for offset, piece in _segments(data, length, _SEGMENT):
-                    own = starts[(starts >= offset) & (starts <= offset + len(piece) - length)] - offset
-                    if len(own):
-                        h = Hashes(piece)
-                        parts.append((h.stretch(own, length), h.gram[own] ^ h.gram[own + length - GRAM] * np.uint64(_MULTIPLIER), np.full(len(own), doc), np.full(len(own), mine), own + offset))
-                        heavy += len(own)
-                if heavy >= 1 << 20:
-                    yield from flush(parts)
-                    parts, heavy = [], 0
-        if parts:
-            yield from flush(parts)
+                starts: set[int] = set()
+                for r in runs.as_py():
+                    if r["tag"] != mine:
+                        continue
+                    if r["crowded"]:
+                        starts.update(range(r["lo"], r["lo"] + r["n"]))
+                        continue
+                    out.append((r["key"], doc, mine, r["lo"], r["n"], data[r["lo"] : r["lo"] + r["n"] - 1 + length], None))
+                    heavy += r["n"] + length
+                if starts:
+                    every = np.array(sorted(starts))
+                    for offset, piece in _segments(data, length, _SEGMENT):
+                        own = every[(every >= offset) & (every <= offset + len(piece) - length)] - offset
+                        if len(own):
+                            h = Hashes(piece)
+                            second = h.gram[own] ^ h.gram[own + length - GRAM] * np.uint64(_MULTIPLIER)
+                            for at, w, g in zip((own + offset).tolist(), h.stretch(own, length).view(np.int64).tolist(), second.view(np.int64).tolist()):
+                                out.append((g, doc, mine, at, 1, None, w))
+                            heavy += 100 * len(own)
+                if heavy > 4 << 20:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out, heavy = [], 0
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return run
+
+
+def _compare_bytes(length: int):
+    """Runs sorted by (key, doc, lo) to the windows that an earlier run of the key has: (doc, tag, lo, n)."""
+
+    def run(batches):
+        key, seen = None, {}
+        for batch in batches:
+            out = []
+            for k, doc, tag, lo, n, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if k != key:
+                    key, seen = k, {}
+                start = None  # of a stretch of covered windows
+                for i in range(n):
+                    held = seen.setdefault(data[i : i + length], (doc, lo + i)) != (doc, lo + i)
+                    if held and start is None:
+                        start = i
+                    elif not held and start is not None:
+                        out.append((doc, tag, lo + start, i - start))
+                        start = None
+                if start is not None:
+                    out.append((doc, tag, lo + start, n - start))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc", "tag", "lo", "n"])
 
     return run
 
@@ -343,7 +389,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = sorted({int(x) for x in slim.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
-    index = SuffixIndex(spark, length)
+    index = SuffixIndex(spark, length, _GROUP)
     edges = [None, *cuts, None]
     for i, (low, high) in enumerate(zip(edges, edges[1:])):
         part = slim
@@ -354,18 +400,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         index.add(part, last=high is None)
 
     doc = F.coalesce("id", F.lit(_LAST))
-    compare = index.rows(2).groupBy("doc").agg(F.collect_set(F.struct("tag", "lo", "n")).alias("runs"))
+    runs = index.rows(BYTES).withColumn("crowded", F.lit(False)).unionByName(index.rows(WINDOWS).withColumn("crowded", F.lit(True)))
+    runs = runs.groupBy("doc").agg(F.collect_set(F.struct("key", "tag", "lo", "n", "crowded")).alias("runs"))
     texts = slim.where(F.octet_length("text") >= length).select(doc.alias("doc"), "text")
-    windows = texts.join(compare, "doc").select("doc", "text", "runs").mapInArrow(_windows(length), "w bigint, g bigint, doc bigint, tag int, at int, covered boolean")
-    # Rows that a task has found covered need no partner: they are spread by their place.
-    same = Window.partitionBy("w", "g", "salt").orderBy("doc", "at")
-    judged = windows.withColumn("salt", F.when(F.col("covered"), F.xxhash64("doc", "at")).otherwise(0))
-    judged = judged.withColumns({"first_doc": F.first("doc").over(same), "first_at": F.first("at").over(same)})
-    judged = judged.where("covered or doc <> first_doc or at <> first_at").select("doc", "tag", F.col("at").alias("lo"), F.lit(1).alias("n"))
+    pieces = texts.join(runs, "doc").select("doc", "text", "runs").mapInArrow(_texts_of_runs(length), "key bigint, doc bigint, tag int, lo int, n int, bytes binary, w bigint")
     path = shared_folder(spark)
-    judged.write.parquet(path)
+    pieces.write.parquet(path)
     _release(spark)
-    covers = index.rows(4).unionByName(spark.read.schema("doc bigint, tag int, lo int, n int").parquet(path))
+    pieces = spark.read.schema(pieces.schema).parquet(path)
+    whole = pieces.where("w is null").drop("w").repartition("key").sortWithinPartitions("key", "doc", "lo").mapInArrow(_compare_bytes(length), COVERS)
+    # A window's first place is kept; the aggregation combines a frequent window's rows before they move.
+    windows = pieces.where("w is not null").select("key", "w", "doc", "tag", "lo", "n")
+    first = windows.groupBy("key", "w").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    crowded = windows.join(first, ["key", "w"]).where((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))).select("doc", "tag", "lo", "n")
+    covers = index.rows(WHOLE).drop("key").unionByName(whole).unionByName(crowded)
     covers = covers.groupBy("doc").agg(F.collect_list(F.struct("tag", "lo", "n")).alias("runs"))
     joined = slim.withColumn("doc", doc).join(covers, "doc", "left").select("id", "text", "runs")
     return joined.mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>")

@@ -70,6 +70,9 @@ def test_long_texts_and_crowded_keys(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_CROWD", 2)
     monkeypatch.setattr(suffixes, "_TASK_BYTES", 3000)
     check(spark, corpus(4, 40))
+    monkeypatch.setattr(suffixes, "_CROWD", 64)
+    monkeypatch.setattr(suffixes, "_GROUP", 3)
+    check(spark, corpus(5, 40))
 
 
 def test_query_on_small_tables(spark):
