@@ -58,7 +58,7 @@ def epoch_ms(text: Column) -> Column:
 def recency(ended_at: Column, now: str) -> Column:
     """18 points now, 0.15 less a day, never below 0; later times count as now, other texts as 0."""
     days = F.greatest(epoch_ms(F.lit(now)) - epoch_ms(ended_at), F.lit(0.0)) / DAY_MS
-    return F.coalesce(F.greatest(18.0 - days * 0.15, F.lit(0.0)), F.lit(0.0))
+    return F.when(epoch_ms(ended_at).isNull(), 0.0).otherwise(F.greatest(18.0 - days * 0.15, F.lit(0.0)))
 
 
 def session_ref(source: Column, uuid: Column, key: Column) -> Column:
