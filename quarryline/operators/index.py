@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import index_terms
-from quarryline.storage import shared_path
+from quarryline.storage import keep, shared_path
 
 #: Field weights of the relevance score, and its two parameters.
 WEIGHTS = {"body_text": 1.0, "title_text": 8.0, "summary_text": 3.0, "compact_text": 4.0, "reasoning_text": 1.2}
@@ -28,8 +28,8 @@ class Index:
     corpus: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings are sorted by term, so a lookup reads few row groups; a frequent term may span files."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        """Files are sorted by term, so a lookup skips most row groups; a frequent term spans files."""
+        self.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
         self.doc_stats.write.parquet(f"{path}/doc_stats")
         self.corpus.write.parquet(f"{path}/corpus")
 
@@ -45,19 +45,17 @@ class Index:
 
 
 def analyzed(documents: DataFrame) -> DataFrame:
-    """(doc_id, field, terms) of the non-empty fields."""
-    fields = F.array(*(F.struct(F.lit(i).alias("field"), index_terms(F.col(f)).alias("terms")) for i, f in enumerate(WEIGHTS)))
-    return documents.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.terms").where(F.size("terms") > 0)
+    """(doc_id, fields): the terms of each field, in the order of the weights."""
+    return documents.select("doc_id", F.array(*(index_terms(F.col(f)) for f in WEIGHTS)).alias("fields"))
 
 
 def build_index(documents: DataFrame) -> Index:
-    """All documents, of all sources, are one corpus."""
-    a = analyzed(documents)
-    placed = a.select("doc_id", "field", F.posexplode("terms").alias("pos", "term"))
+    """All documents, of all sources, are one corpus.  Texts are analysed once; the tables follow from the terms."""
+    a = keep(analyzed(documents))
+    placed = a.select("doc_id", F.posexplode("fields").alias("field", "terms")).select("doc_id", "field", F.posexplode("terms").alias("pos", "term"))
     postings = placed.groupBy("term", "doc_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    # Every document has a profile or message row in the statistics, also one without terms.
-    lengths = [F.size(index_terms(F.col(f))) for f in WEIGHTS]
-    doc_stats = documents.select("doc_id", sum(lengths[1:], lengths[0]).cast("long").alias("dl"))
+    # A document without terms counts too.
+    doc_stats = a.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("dl"))
     corpus = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     return Index(postings, doc_stats, corpus)
 

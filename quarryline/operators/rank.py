@@ -40,9 +40,13 @@ def path_bonus(text: Column, a: Column) -> Column:
 
 def row_score(a: Column) -> Column:
     """Score of one candidate for its query's analysis."""
-    text = F.lower(content())
     user = is_message() & (F.col("role") == "user")
-    return -F.col("fts_score") + F.when(_phrase(text, a), 8.0).otherwise(0.0) + path_bonus(text, a) + 2.0 * term_hits(text, a["terms"]) + F.when(is_message(), 4.0).otherwise(0.0) + F.when(user, 2.0).otherwise(0.0)
+
+    def points(text):
+        return F.when(_phrase(text, a), 8.0).otherwise(0.0) + path_bonus(text, a) + 2.0 * term_hits(text, a["terms"])
+
+    # The text is put in lower case once, however many tests look at it.
+    return -F.col("fts_score") + let(F.lower(content()), points) + F.when(is_message(), 4.0).otherwise(0.0) + F.when(user, 2.0).otherwise(0.0)
 
 
 def title_restates(title: Column, a: Column) -> Column:
