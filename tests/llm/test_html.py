@@ -29,6 +29,7 @@ CASES = [
     ("<img alt='picture'> <input type=hidden value=no><input type=submit value=Go>", "picture Go"),
     ("<select><option>a</select>b", "b"),
     ("<b>open <script>unclosed", "open"),
+    ("a <w1<p>b", "a b"),
 ]
 
 
@@ -74,7 +75,8 @@ def test_every_visible_word_of_the_pages_in_order(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<li>", "<ul>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<div>", "</div>", "<b>", "</b>", "<br>", "<pre>", "</pre>", "<", ">", "&lt;", " ", "\n", "<ol>", "</ol>", "<dd>", "<th>", "</tr>", "<blockquote>", "</li>", "w1", "w2", "w3"]), max_size=60))
 def test_any_tag_soup_keeps_its_words(parts):
-    text = render("".join(parts))
+    # By the standard, "<" right before a letter opens a tag, whose name the word would be.
+    text = render(re.sub(r"<(?=w)", "< ", "".join(parts)))
     assert [w for w in re.findall(r"w\d", text)] == [w for w in parts if w.startswith("w")] or "table" in "".join(parts)
     assert sorted(re.findall(r"w\d", text)) == sorted(w for w in parts if w.startswith("w"))
 
