@@ -14,6 +14,8 @@ WORD = rf"(?:[_\p{{M}}\p{{L}}&&[^{CJK}]]++|\p{{Nd}}++|(?<=[\p{{L}}\p{{M}}])['.:
 PIECE = rf"([{CJK}]{{2,}}+|{WORD})"
 #: Index terms are runs of letters and numbers.
 TERM = r"[\p{L}\p{N}\p{Co}]+"
+#: What makes an index term depend on the token it stands in.
+UNPLAIN = rf"[{CJK}\p{{No}}\p{{Nl}}\p{{Co}}\u03A3\u0130]"
 
 #: English words that carry no meaning of their own in a query.
 STOP_WORDS = (
@@ -70,11 +72,25 @@ def fold(token: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, FOLD_FROM, FOLD_TO)).otherwise(low)
 
 
-def index_terms(text: Column) -> Column:
-    """Second-stage terms of an analysed text, in order."""
+def staged_terms(text: Column) -> Column:
+    """Second-stage terms of any text, by way of its tokens."""
     return F.transform(F.regexp_extract_all(tokenized_text(text), F.lit(TERM), F.lit(0)), fold)
 
 
+def index_terms(text: Column) -> Column:
+    """Second-stage terms of an analysed text, in order.
+
+    Without CJK, numbers other than digits, and the two letters whose lower case
+    depends on what is around or has a mark, tokens cut no run of letters and
+    digits, so the runs are found in the whole text at once.
+    """
+    t = F.coalesce(text, F.lit(""))
+    low = F.lower(t)
+    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    marked = F.regexp_extract_all(F.translate(low, FOLD_FROM, FOLD_TO), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    return F.when(~t.rlike(r"[^\x00-\x7F]"), plain).when(~t.rlike(UNPLAIN), marked).otherwise(staged_terms(t))
+
+
 def phrase_of(token: Column) -> Column:
     """Second-stage terms of one query token; more than one is a phrase."""
     return F.transform(F.regexp_extract_all(token, F.lit(TERM), F.lit(0)), fold)

@@ -13,17 +13,17 @@ from quarryline.storage import keep
 
 
 def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
-    """Candidates; a query without any gets those of its relaxed forms, in their order.
+    """Candidates, without texts; a query without any gets those of its relaxed forms, in their order.
 
     A document that several forms find counts once, for the first of them.
     """
-    strict = keep(candidates(queries, documents, sessions, index, **options))
+    strict = keep(candidates(queries, documents, sessions, index, texts=False, **options))
     missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     forms = missed.select(*(c for c in missed.columns if c != "query"), F.posexplode(relaxed_queries(F.col("query"))).alias("form", "query"))
     forms = keep(forms).withColumns({"whole_id": F.col("query_id"), "query_id": F.concat_ws("\x01", F.col("query_id").cast("string"), F.col("form").cast("string"))})
     if forms.isEmpty():
         return strict
-    more = candidates(forms.drop("whole_id", "form"), documents, sessions, index, **options)
+    more = candidates(forms.drop("whole_id", "form"), documents, sessions, index, texts=False, **options)
     more = more.join(forms.select("query_id", "whole_id", "form"), "query_id")
     more = more.withColumn("query_id", F.col("whole_id").cast(queries.schema["query_id"].dataType)).drop("whole_id")
     once = Window.partitionBy("query_id", "doc_id").orderBy("form")
@@ -37,5 +37,5 @@ def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: I
     """Ranked sessions of each query (query_id, query); merged over the sources unless ``per_source``."""
     q = analyzed_queries(queries)
     found = recall_with_fallback(queries, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
-    ranked = rank(found, q, now, limit=limit, sort=sort)
+    ranked = rank(found, q, now, limit=limit, sort=sort, documents=documents)
     return ranked if per_source else merge(ranked, limit=limit, sort=sort)

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import index_terms
+from quarryline.functions.text import index_terms, let
 from quarryline.storage import keep, shared_path
 
 #: Field weights of the relevance score, and its two parameters.
@@ -49,11 +49,30 @@ def analyzed(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.array(*(index_terms(F.col(f)) for f in WEIGHTS)).alias("fields"))
 
 
+def term_positions(terms: Column) -> Column:
+    """Array of (term, positions) of a field's terms, by term."""
+
+    def grouped(s):
+        starts = F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (x["t"] != F.get(s, k - 1)["t"]), k)), lambda k: k.isNotNull())
+
+        def cut(b):
+            part = lambda at, j: F.slice(s, at + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - at)
+            return F.transform(b, lambda at, j: F.struct(F.get(s, at)["t"].alias("term"), F.transform(part(at, j), lambda x: x["i"]).alias("positions")))
+
+        return let(starts, cut)
+
+    return let(F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), grouped)
+
+
 def build_index(documents: DataFrame) -> Index:
-    """All documents, of all sources, are one corpus.  Texts are analysed once; the tables follow from the terms."""
+    """All documents, of all sources, are one corpus.
+
+    Texts are analysed once; the tables follow from the terms.  A document's postings are
+    grouped within its row, so nothing is shuffled but the corpus statistics.
+    """
     a = keep(analyzed(documents))
-    placed = a.select("doc_id", F.posexplode("fields").alias("field", "terms")).select("doc_id", "field", F.posexplode("terms").alias("pos", "term"))
-    postings = placed.groupBy("term", "doc_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    placed = a.select("doc_id", F.posexplode("fields").alias("field", "terms")).where(F.size("terms") > 0)
+    postings = placed.select("doc_id", "field", F.inline(term_positions(F.col("terms")))).select("term", "doc_id", "field", "positions")
     # A document without terms counts too.
     doc_stats = a.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("dl"))
     corpus = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

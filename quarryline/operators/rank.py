@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import has_bounded_phrase, has_trailing_arguments, let, shortest_ordered_span, term_hits, tokenize
+from quarryline.operators.recall import TEXT_FIELDS, with_texts
 
 #: Fixed values of the session score.
 DAY_MS = 86_400_000.0
+#: Texts of the display row that results show or test.
+SHOWN_TEXTS = ("body_text", "compact_text", "reasoning_text")
 
 
 def is_message() -> Column:
@@ -82,7 +85,8 @@ def group_sessions(rows: DataFrame) -> DataFrame:
     earliest candidate; the score is of the best row of any kind.
     """
     message = is_message().cast("int")
-    shown = F.max_by(F.struct("kind", "seq", "role", "timestamp", "body_text", "title_text", "compact_text", "reasoning_text", "doc_id"), F.struct(message, "score", -F.col("cand_pos")))
+    texts = [c for c in SHOWN_TEXTS if c in rows.columns]
+    shown = F.max_by(F.struct("kind", "seq", "role", "timestamp", "doc_id", *texts), F.struct(message, "score", -F.col("cand_pos")))
     first = lambda c: F.min_by(c, "cand_pos").alias(c)
     return rows.groupBy("query_id", "source_id", "session_key").agg(
         F.max("score").alias("best"),
@@ -123,9 +127,12 @@ def matched_fields(shown: Column, title: Column, summary: Column, a: Column) ->
     return F.when(shown["kind"] == "message", F.array(F.lit("message"))).otherwise(profile)
 
 
-def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", scored: bool = False) -> DataFrame:
+def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None) -> DataFrame:
     """Ranked sessions per query and source.
 
+    Candidates come with their texts, or without them and with ``documents``, from which
+    they are then read for the score and again for the few rows that are left: grouping and
+    ordering move no texts.
     Time sorts keep the newest 2 x limit sessions first and score only those; the
     final order is by time, then score.
     """
@@ -136,13 +143,18 @@ def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sor
         w = Window.partitionBy(*part).orderBy(F.desc("at"), "pos", "session_key")
         newest = newest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit)
         cands = cands.join(newest.select(*part, "session_key"), [*part, "session_key"], "left_semi")
-    rows = cands
-    if not scored:
-        rows = cands.join(queries.select("query_id", "a"), "query_id").withColumn("score", row_score(F.col("a"))).drop("a")
+    rows = cands if documents is None else with_texts(cands, documents)
+    rows = rows.join(queries.select("query_id", "a"), "query_id").withColumn("score", row_score(F.col("a"))).drop("a")
+    if documents is not None:
+        rows = rows.drop(*TEXT_FIELDS)
     s = score_sessions(group_sessions(rows), queries, now)
     s = s.withColumn("session_ref", session_ref(F.col("source_id"), F.col("session_uuid"), F.col("session_key")))
     order = [F.desc(time), F.desc("score"), "source_id", "session_ref"] if time else [F.desc("score"), F.desc("ended_at"), "first_pos"]
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= limit)
+    if documents is not None:
+        texts = documents.select(F.col("doc_id").alias("shown_id"), F.struct(*SHOWN_TEXTS).alias("texts"))
+        s = s.join(texts, F.col("shown.doc_id") == F.col("shown_id"))
+        s = s.withColumn("shown", F.struct("shown.*", "texts.*"))
     shown = F.col("shown")
     return s.select(
         *part, "rank", "session_ref", "session_key", "session_uuid", "score", "title", "summary_text", "cwd", "started_at", "ended_at", "match_count",

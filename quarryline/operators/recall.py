@@ -77,24 +77,26 @@ def literal_matches(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     needles = queries.where("a.mode = 'literal'").select("query_id", F.translate("a.needle", up, low).alias("needle"))
-    gathered = needles.agg(F.collect_list(F.struct("query_id", "needle")).alias("needles"))
+    # Without such queries no row is left, and Spark drops the scan of the texts.
+    gathered = needles.agg(F.collect_list(F.struct("query_id", "needle")).alias("needles")).where(F.size("needles") > 0)
     texts = [F.translate(F.col(c), up, low) for c in TEXT_FIELDS]
     whole = documents.select("doc_id", F.array(*texts).alias("texts")).crossJoin(F.broadcast(gathered))  # one row
     hit = F.filter("needles", lambda n: F.exists("texts", lambda t: t.contains(n["needle"])))
     return whole.select("doc_id", F.explode(hit).alias("q")).select("q.query_id", "doc_id", F.lit(0.0).alias("fts_score"))
 
 
-def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
+def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance", texts: bool = True) -> DataFrame:
     """Scoped candidates with document and session columns and cand_pos, at most a budget per query and source.
 
     ``queries`` holds query_id and query, and may hold session_key (search one session) and
-    source_id.  ``scope`` is a predicate on document and session columns, ``exclude`` has
-    (source_id or null, ref) rows.  Scope applies before the budget.
+    source_id.  ``scope`` is a predicate on session columns and on those of documents that are
+    no texts, ``exclude`` has (source_id or null, ref) rows.  Scope applies before the budget,
+    texts are joined after it, or not at all without ``texts``.
     """
     q = queries if "a" in queries.columns else analyzed_queries(queries)
     hits = scored(q, index).unionByName(literal_matches(q, documents))
     s = sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
-    rows = hits.join(documents, "doc_id").join(s, "session_key")
+    rows = hits.join(documents.drop(*TEXT_FIELDS), "doc_id").join(s, "session_key")
     if scope is not None:
         rows = rows.where(scope)
     for column in ("session_key", "source_id"):
@@ -106,7 +108,13 @@ def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, in
     time = {"ended": "ended_at", "started": "started_at"}.get(sort)
     order = [F.desc(time), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("ended_at"), F.coalesce("seq", F.lit(-1))]
     w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
-    return rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
+    rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
+    return with_texts(rows, documents) if texts else rows
+
+
+def with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with the texts of their documents."""
+    return rows.join(documents.select("doc_id", *TEXT_FIELDS), "doc_id")
 
 
 def exclusions(values: DataFrame) -> DataFrame:

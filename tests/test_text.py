@@ -72,3 +72,10 @@ def test_refinement(spark):
     r = ask(spark, "健康检查 deployment in prod", relax.refinement)
     assert r["over_constrained"] and r["suggested_queries"] == ["deployment", "prod", "健康检查"]
     assert ask(spark, "one", relax.refinement)["suggested_queries"] == []
+
+
+def test_index_terms_of_plain_texts_equal_the_staged_ones(spark):
+    texts = ["", None, "A b_c d.e_f 12,5 x1y2 it's", "Ünïcode — naïve ÉCOLE éa ǅ ẞ", "x² ½ Ⅷ a²b", "ΑΣ ΑΣ.Β ΣΑ", "İstanbul DİL", "汉字 and latin한글x", "٣٤ ab٣ 𝐀𝟘 ⓐb z", "a​b_́c ª º 'x' ..y", "Straße:Nr·3 5.6.7 __ ʼn"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.index_terms(F.col("t")).alias("got"), T.staged_terms(F.col("t")).alias("want")).collect():
+        assert r["got"] == r["want"], r["t"]
