@@ -24,6 +24,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head title script style template noscript iframe noembed noframes datalist area base link meta param source track svg math object audio video canvas select".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure hr form fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer header hgroup html legend li main menu nav optgroup option section summary tr caption thead tbody tfoot".split())
+#: What a head holds; anything else ends it, but within an open template or noscript.
+HEAD_CONTENT = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+IN_HEAD = frozenset("template noscript".split())
 CLOSES_P = (BLOCK - frozenset("body html tr thead tbody tfoot caption option optgroup legend".split()))
 #: A start tag closes the nearest open one of these, unless one of the limits stands between.
 IMPLIED = {
@@ -80,6 +83,8 @@ def parse(page: str) -> Node:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
+            if open_count.get("head") and not _BLANK.fullmatch(text) and not any(open_count.get(t) for t in IN_HEAD):
+                close({"head"}, set())
             stack[-1].children.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -95,10 +100,10 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
+        if open_count.get("head") and tag not in HEAD_CONTENT and not any(open_count.get(t) for t in IN_HEAD):
+            close({"head"}, set())
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button", "object"})
-        elif open_count.get("head") and tag not in UNSEEN:
-            close({"head"}, set())
         if tag in IMPLIED:
             if tag in ("tr", "thead", "tbody", "tfoot"):
                 close({"td", "th"}, {"table"})

@@ -90,3 +90,18 @@ def test_deep_long_null_and_clashing(spark):
     assert got[3] == got[4] and got[3][1].count("word") == 50000
     assert extract_text(df.where("false")).count() == 0
     assert "script" in UNSEEN
+
+
+OMITTED = [
+    ("<head><title>T</title><p>Hello<div>more</div>", "Hello\n\nmore"),
+    ("<html><head><title>T</title>\n<h1>A</h1><ul><li>x</ul>", "A\n\n  - x"),
+    ("<head><title>T</title>just text <b>bold</b>", "just text bold"),
+    ("<head><meta charset=x><table><tr><td>a</table>", "a"),
+    ("<head><template><p>no</p> no</template><noscript>no<p>no</p></noscript><p>yes", "yes"),
+    ("<title>T</title><main>m</main>", "m"),
+]
+
+
+@pytest.mark.parametrize("page,want", OMITTED)
+def test_head_and_body_tags_may_be_omitted(page, want):
+    assert render(page) == want
