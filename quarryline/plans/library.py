@@ -110,6 +110,14 @@ def ranges(spark, sf_dir):
     return read.neighbourhood(m, anchors).withColumn("e", e).select("anchor_id", "seq", F.col("e.text").alias("body"), F.col("e.omitted").cast("long").alias("omitted"))
 
 
+@register("read_range_all", DOC_SQL + f" SELECT a.session_key || '@' || a.seq AS anchor_id, m.seq, {_ELIDE_SQL.replace('body_text', 'm.body_text')} FROM doc_m a JOIN doc_m m ON m.session_key = a.session_key AND m.seq BETWEEN greatest(a.seq - 2, 0) AND a.seq + 2")
+def all_ranges(spark, sf_dir):
+    """The neighbourhood of every message, elided."""
+    m = corpora.doc_messages(spark, sf_dir)
+    anchors = m.select(F.concat_ws("@", "session_key", F.col("seq").cast("string")).alias("anchor_id"), "session_key", "seq", F.lit(read.BEFORE).alias("before"), F.lit(read.AFTER).alias("after"))
+    return read.neighbourhood(m, anchors).withColumn("e", read.elide(F.col("body_text"))).select("anchor_id", "seq", F.col("e.text").alias("body"), F.col("e.omitted").cast("long").alias("omitted"))
+
+
 @register("first_latest_messages", CONV_SQL + " SELECT session_key, role, seq, seq = min(seq) OVER w AS \"first\", seq = max(seq) OVER w AS latest FROM conv_m WINDOW w AS (PARTITION BY session_key, role) QUALIFY \"first\" OR latest")
 def ends(spark, sf_dir):
     return read.rank_messages(corpora.conv_messages(spark, sf_dir)).select("session_key", "role", "seq", "first", "latest")
