@@ -5,19 +5,23 @@ from quarryline.llm import queries, suffixes
 
 
 def brute(rows, length=100):
-    """(n_bytes, n_removed, n_spans, digest) by row; rows are (id, text)."""
+    """(n_bytes, n_removed, n_spans, digest) by row; rows are (id, text).
+
+    Null ids are last, different texts of one id go by their SHA-256, and rows equal in
+    id and text are one document.
+    """
+    encoded = [(i, (t or "").encode()) for i, t in rows]
+    ranked = sorted(set(encoded), key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1]).digest()))
+    place = {r: k for k, r in enumerate(ranked)}
     first = {}
-    order = [(i if i is not None else suffixes._LAST, (t or "").encode()) for i, t in rows]
-    for i, data in order:
+    for k, (_, data) in enumerate(ranked):
         for p in range(len(data) - length + 1):
-            s = data[p : p + length]
-            if (i, p) < first.get(s, (1 << 70, 0)):
-                first[s] = (i, p)
+            first.setdefault(data[p : p + length], (k, p))
     out = []
-    for i, data in order:
+    for i, data in encoded:
         gone = bytearray(len(data))
         for p in range(len(data) - length + 1):
-            if first[data[p : p + length]] != (i, p):
+            if first[data[p : p + length]] != (place[i, data], p):
                 gone[p : p + length] = b"\1" * length
         spans = sum(1 for k in range(len(data)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((len(data), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest()))
@@ -25,7 +29,7 @@ def brute(rows, length=100):
 
 
 def check(spark, rows, **options):
-    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, doc long").repartition(4)
+    df = spark.createDataFrame([(i, t, k, "clash") for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long, digest string").repartition(4)
     got = suffixes.remove_repeats(df, **options).collect()
     assert sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == sorted(str((i, *b)) for (i, _), b in zip(rows, brute(rows)))
     for r in got:
@@ -62,6 +66,25 @@ def test_edge_cases(spark):
     check(spark, rows, batches=1)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeats(empty).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quarryline_")]
+
+
+def test_ids_of_other_types(spark):
+    """Ids need an order only; "10" comes before "9"."""
+    text = corpus(3, 8)[0][1] * 3 + "".join(random.Random(1).choices("abcdef", k=200))
+    df = spark.createDataFrame([("9", text), ("10", text), (None, text)], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(df).collect()}
+    assert got["10"] < got["9"] == got[None] == len(text.encode())
+
+
+def test_thousands_of_null_ids_and_a_crowded_passage(spark):
+    """At the real limits: 5000 different texts without an id, all round one passage."""
+    rng = random.Random(9)
+    letters = lambda k: "".join(rng.choice("abcdefghijkl ") for _ in range(k))
+    passage = letters(120)
+    rows = [(None, letters(rng.randint(30, 60)) + passage + letters(rng.randint(30, 60))) for _ in range(5000)]
+    rows += rows[:3] + [(5, passage), (4, letters(300))]
+    check(spark, rows)
 
 
 def test_long_texts_and_crowded_keys(spark, monkeypatch):
