@@ -43,10 +43,13 @@ IMPLIED = {
     "optgroup": ({"optgroup", "option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
+#: Indents and table columns stop growing there, and rows at so many cells, so that a page's text stays in proportion to the page.
+MOST_INDENT, MOST_WIDTH, MOST_CELLS = 64, 120, 1000
 
 
 class Node:
@@ -59,48 +62,80 @@ class Node:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attrs)} if self.attrs.strip(" /") else {}
 
 
+class Tags:
+    """Finds the ends of tags.
+
+    A ``>`` within quotes does not end a tag.  If the quotes of a tag never come to an end,
+    they count as ordinary characters from that tag on, so a page is read once or twice,
+    however many tags are left open.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+        self.last = page.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose name ends at ``at``; -1: none."""
+        if at > self.last:
+            return -1
+        here = at
+        while self.quoted:
+            m = _STOP.search(self.page, here)
+            if m and m[0] == ">":
+                return m.start()
+            here = self.page.find(m[0], m.end()) + 1 if m else 0
+            self.quoted = here > 0
+        return self.page.find(">", at)
+
+
 def parse(page: str) -> Node:
     """The page's tree; stray end tags are ignored, open elements end with their parents."""
     root = Node("html")
     stack = [root]
-    open_count: dict[str, int] = {}
-
-    def pop_to(depth: int) -> None:
-        while len(stack) > depth:
-            open_count[stack.pop().tag] -= 1
-
-    def close(tags, limits) -> None:
-        if any(open_count.get(t) for t in tags):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in tags:
-                    return pop_to(i)
-                if stack[i].tag in limits:
-                    return None
-        return None
-
-    at = 0
+    #: Depths at which elements of a name are open.
+    places: dict[str, list[int]] = {}
+
+    def is_open(*names) -> bool:
+        return any(places.get(t) for t in names)
+
+    def nearest(names) -> int:
+        return max((d[-1] for t in names if (d := places.get(t))), default=0)
+
+    def close(names, limits) -> None:
+        """Ends the nearest open element of these names, unless a limit stands between."""
+        depth = nearest(names)
+        if depth > nearest(limits):
+            while len(stack) > depth:
+                places[stack.pop().tag].pop()
+
+    at, tags = 0, Tags(page)
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m, look, stop = None, at, -1
+        while m := _OPEN.search(page, look):
+            if m[2] is None or (stop := tags.end(m.end())) >= 0:
+                break
+            look = m.end()  # no tag: nothing ends it
         text = page[at : m.start() if m else len(page)]
         if text:
-            if open_count.get("head") and not _BLANK.fullmatch(text) and not any(open_count.get(t) for t in IN_HEAD):
+            if is_open("head") and not _BLANK.fullmatch(text) and not is_open(*IN_HEAD):
                 close({"head"}, set())
             stack[-1].children.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
-        at = m.end()
         if m[2] is None:
+            at = m.end()
             continue
+        at, attrs = stop + 1, page[m.end() : stop]
         tag = m[2].lower()
         if m[1]:
-            if open_count.get(tag):
+            if is_open(tag):
                 # An end tag inside a table cell cannot close what holds the table.
                 limits = set() if tag in ("table", "body", "html") else {"table"}
                 close({tag}, limits)
             continue
         if tag == "html":
             continue
-        if open_count.get("head") and tag not in HEAD_CONTENT and not any(open_count.get(t) for t in IN_HEAD):
+        if is_open("head") and tag not in HEAD_CONTENT and not is_open(*IN_HEAD):
             close({"head"}, set())
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button", "object"})
@@ -110,9 +145,9 @@ def parse(page: str) -> Node:
                 if tag != "tr":
                     close({"tr"}, {"table"})
             close(*IMPLIED[tag])
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math", "path")):
+        if tag in VOID or (attrs.endswith("/") and tag in ("svg", "math", "path")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -120,8 +155,8 @@ def parse(page: str) -> Node:
             node.children.append(entities.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else len(page)
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        open_count[tag] = open_count.get(tag, 0) + 1
     return root
 
 
@@ -145,7 +180,7 @@ class Flow:
         if pre:
             if s:
                 self._open()
-                self.parts.append(s.replace("\r\n", "\n").replace("\n", "\n" + " " * self.indent))
+                self.parts.append(s.replace("\r\n", "\n").replace("\n", "\n" + " " * min(self.indent, MOST_INDENT)))
             return
         words = _BLANK.sub(" ", s)
         if words in ("", " "):
@@ -163,7 +198,7 @@ class Flow:
         elif self.blank and self.parts and not self.mark:
             self.parts.append(" ")
         if self.breaks or not self.parts:
-            self.parts.append(" " * self.indent + self.mark if not self.mark else " " * (self.indent - len(self.mark)) + self.mark)
+            self.parts.append(" " * (min(self.indent, MOST_INDENT) - len(self.mark)) + self.mark)
         self.breaks, self.blank, self.mark = 0, False, ""
 
     def line(self, n: int) -> None:
@@ -253,7 +288,9 @@ def render(page: str) -> str:
         elif tag in ("td", "th") and outer and tables:
             cell, flow = _BLANK.sub(" ", flow.value()), outer.pop()
             span = node.attributes().get("colspan", "1")
-            tables[-1][-1] += [cell] + [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0)
+            row = tables[-1][-1]
+            more = int(span) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0
+            row += [cell] + [""] * max(min(more, MOST_CELLS - len(row)), 0)
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
             flow.indent -= 2
@@ -270,7 +307,7 @@ def _aligned(rows: list[list[str]]) -> list[str]:
     for row in rows:
         widths += [0] * (len(row) - len(widths))
         for i, cell in enumerate(row):
-            widths[i] = max(widths[i], len(cell))
+            widths[i] = max(widths[i], min(len(cell), MOST_WIDTH))
     return ["  ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)) for row in rows]
 
 
@@ -280,10 +317,17 @@ def _visible(pages: pa.Array) -> pa.Array:
 
 
 def visible_text(html: Column) -> Column:
-    """Visible text of a page; "" for null and empty pages."""
+    """Visible text of a page; "" for null and empty pages.
+
+    Time and text stay in proportion to the page, also where tags, quotes or comments are
+    left open.  Left out are drawings, formulas, media, frames and the options of selections.
+    """
     return _visible(html)
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> DataFrame:
-    """Adds (or replaces) the column ``out`` with each page's visible text."""
+    """Adds the column ``out`` with each page's visible text.
+
+    A column of that name is replaced, others stay; repeated rows get equal texts.
+    """
     return pages.withColumn(out, visible_text(F.col(html_col)))

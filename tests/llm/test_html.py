@@ -1,5 +1,6 @@
 import html.parser
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -105,3 +106,30 @@ OMITTED = [
 @pytest.mark.parametrize("page,want", OMITTED)
 def test_head_and_body_tags_may_be_omitted(page, want):
     assert render(page) == want
+
+
+HOSTILE = {
+    "open tags": "<a " * 333_000,
+    "odd quotes": "<a \"b>" * 160_000,
+    "two quotes": "<a '\"b>" * 140_000,
+    "open comments": "<!--" * 250_000,
+    "deep blocks": "<div>" * 200_000 + "x",
+    "limits": "<p><button>" + "<b>" * 3000 + "<div>" * 100_000,
+    "stray ends": "<x><table>" + "<b>" * 2000 + "</x>" * 150_000,
+    "wide spans": "<table><tr>" + "<td colspan=1000>z" * 50_000,
+    "wide columns": "<table><tr><td>" + "w" * 500_000 + "<tr><td>1" * 50_000,
+    "indents": "<blockquote>y" * 70_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_of_hostile_markup_takes_seconds(name):
+    began = time.time()
+    text = render(HOSTILE[name])
+    assert time.time() - began < 10
+    assert len(text) < 10 * len(HOSTILE[name])
+
+
+def test_quotes_that_never_end_hide_nothing_after_the_tag():
+    assert render('<p title="x>one</p><p>two') == "one\n\ntwo"
+    assert render('<p title="a>b">one</p><p>two') == "one\n\ntwo"
