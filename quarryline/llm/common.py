@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,38 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trained_dictionary(samples: list[bytes], size: int) -> bytes:
+    """A Zstandard dictionary of at most ``size`` bytes, and at most an eighth of its samples.
+
+    Where whole samples are too few or too alike to train on, pieces of 64 bytes of them are
+    trained on; a dictionary of 256 bytes is the smallest.  The bytes of samples that give
+    none at all (under some 2 KB, or one string over and over) are a dictionary as they are.
+    """
+    pieces = [s[i : i + 64] for s in samples for i in range(0, len(s), 64)] if len(samples) < 1000 else []
+    for held in (samples, pieces):
+        most = min(size, sum(map(len, held)) // 8)
+        while most >= 256:
+            try:
+                return zstandard.train_dictionary(most, held, k=min(256, most // 4), d=8, steps=4).as_bytes()
+            except zstandard.ZstdError:
+                most //= 2
+    return b"".join(samples)[-size:]
+
+
+def join_counted(rows: DataFrame, labels: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with the label of their key; ``labels`` (key unique) has the number of rows a key has.
+
+    Keys with over a fourth of a partition's share of the rows are at most four times as many as
+    partitions.  Their labels, of bounded width, go to the tasks, so their rows are not dealt by the key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(32, (labels.agg(F.sum(count)).first()[0] or 0) // (4 * parts))
+    hot = labels.where(F.col(count) > most).drop(count)
+    there = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return there.unionByName(rest.join(labels.where(F.col(count) <= most).drop(count), key))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this library's own in the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -1,8 +1,8 @@
 """WARC archives compressed record by record with a Zstandard dictionary.
 
 Each task writes archives of its own partition.  The records that open an
-archive are a sample from which a dictionary is trained; the dictionary is the
-content of a skippable frame at the head of the file, and every record is one
+archive are a sample from which a dictionary is trained, the smaller the fewer they
+are; the dictionary is the content of a skippable frame at the head of the file, and every record is one
 frame compressed with it, so a record can be read without the ones before it.
 Archives go to a folder that driver and executors share, under names that no
 other attempt of the task uses; only names that a committed manifest holds count,
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import shared_folder, stash
+from quarryline.llm.common import shared_folder, stash, trained_dictionary
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -34,14 +34,21 @@ RECORD = "archive string, page_id bigint, url string, record_type string, payloa
 
 
 def filesystem(uri: str):
-    """A file system that tasks can open, and the path in it; s3a is the same store as s3."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), uri
+    """A file system that tasks can open, and the path in it; s3a is the same store as s3.
+
+    The path names its store: ``write_archives`` has Spark complete a path without a scheme.
+    """
     if uri.startswith("file:"):
         return pyarrow.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme that Spark itself would resolve it by."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _id(page: int | None) -> str:
     return f"<urn:page:{'null' if page is None else page}>"
 
@@ -51,6 +58,19 @@ def _page(urn: str) -> int | None:
     return None if text == "null" else int(text)
 
 
+def _breaks(url: str | None) -> list[tuple[int, int]]:
+    """Places of line breaks in an address, and which they are; a header cannot hold them."""
+    return [(i, ord(c)) for i, c in enumerate(url or "") if c in "\r\n"]
+
+
+def _with_breaks(url: str, breaks: str | None) -> str:
+    """The address as it was before its breaks became %0A and %0D."""
+    for place in (breaks or "").split(",") if breaks else ():
+        i, c = map(int, place.split(":"))
+        url = url[:i] + chr(c) + url[i + 3 :]
+    return url
+
+
 def render_record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None, revisit: bool, date: str) -> bytes:
     """One WARC/1.1 record; a revisit has HTTP headers and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
@@ -61,6 +81,7 @@ def render_record(page: int | None, url: str | None, payload: bytes, digest: str
         f"WARC-Record-ID: {_id(page)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').translate({10: '%0A', 13: '%0D'})}",
+        *([f"X-Line-Breaks: {','.join(f'{i}:{c}' for i, c in breaks)}"] if (breaks := _breaks(url)) else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -79,23 +100,14 @@ def _writer(folder: str, date: str, archive_bytes: int, sample_bytes: int, dicti
 
         def open_archive():
             samples = state["sample"]
-            blob = b""
-            if len(samples) >= 16 and state["held"] >= 8 * dictionary_bytes:
-                try:
-                    blob = zstandard.train_dictionary(dictionary_bytes, samples, k=256, d=8, steps=4).as_bytes()
-                except zstandard.ZstdError:
-                    blob = b""  # records too alike, or too few, to train on
-            d = zstandard.ZstdCompressionDict(blob) if blob else None
-            if d:
-                d.precompute_compress(level=level)
+            blob = trained_dictionary(samples, dictionary_bytes)
+            d = zstandard.ZstdCompressionDict(blob)
+            d.precompute_compress(level=level)
             name = f"pages-{uuid.uuid4().hex}.warc.zst"
             fs.create_dir(base, recursive=True)
             out = fs.open_output_stream(f"{base}/{name}", compression=None)
-            size = 0
-            if blob:
-                out.write(struct.pack("<II", DICTIONARY_MAGIC, len(blob)) + blob)
-                size = 8 + len(blob)
-            state.update(out=out, name=name, size=size, raw=0, records=0, dict=len(blob), compress=zstandard.ZstdCompressor(level=level, dict_data=d).compress)
+            out.write(struct.pack("<II", DICTIONARY_MAGIC, len(blob)) + blob)
+            state.update(out=out, name=name, size=8 + len(blob), raw=0, records=0, dict=len(blob), compress=zstandard.ZstdCompressor(level=level, dict_data=d).compress)
             for record in samples:
                 put(record)
             state.update(sample=[], held=0)
@@ -164,6 +176,7 @@ def write_archives(
     **columns,
 ) -> DataFrame:
     """Writes the pages' records to archives in ``folder``; returns the committed manifest."""
+    folder = qualified(pages.sparkSession, folder)
     rows = classify(pages, **columns)
     return stash(rows.mapInArrow(_writer(folder, date, archive_bytes, sample_bytes, dictionary_bytes, level), MANIFEST))
 
@@ -242,7 +255,7 @@ def _reader(folder: str, with_payload: bool):
                         if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{archive}: a payload doesn't match its digest")
                         size = int(http.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)
-                        url = None if "X-Null-Target" in fields else fields["WARC-Target-URI"]
+                        url = None if "X-Null-Target" in fields else _with_breaks(fields["WARC-Target-URI"], fields.get("X-Line-Breaks"))
                         rows.append((archive, _page(fields["WARC-Record-ID"]), url, fields["WARC-Type"], size, digest, _page(fields["WARC-Refers-To"]) if revisit else None, payload if with_payload and not revisit else None))
                         heavy += len(payload) if with_payload else 200
                         if heavy > 8 << 20:
@@ -259,6 +272,7 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = True
 
     Payload digests of responses are checked; a broken archive fails the read.
     """
+    folder = qualified(manifest.sparkSession, folder)
     n = max(1, min(manifest.count(), 100_000))
     return manifest.select("archive").repartition(n).mapInArrow(_reader(folder, with_payload), RECORD)
 
