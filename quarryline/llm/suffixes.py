@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import CLEAN, remove_folder, settings, shared_folder, stash
+from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_folder, stash
 
 GRAM = 32
 _SEGMENT = 1 << 20
 _TASK_BYTES = 32 << 20
-_CROWD = 16
+_CROWD = 64
 _GROUP = 4096
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SECOND = 0xD1342543DE82EF95
@@ -255,8 +255,8 @@ class SuffixIndex:
         self.found: list[str] = []  # tables of the batches
         self.folders: dict[str, str] = {}
 
-    def _write(self, rows: DataFrame) -> str:
-        name, path = save_bucketed(rows, self.buckets, "key", "matched")
+    def _write(self, rows: DataFrame, *parts: str) -> str:
+        name, path = save_bucketed(rows, self.buckets, "key", *parts)
         self.folders[name] = path
         return name
 
@@ -269,11 +269,17 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame, *, last: bool = False) -> None:
         """docs: (row, text), no text shorter than a window.  ``last``: nothing follows, so the batch needs no level."""
-        rows = docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).repartition(self.buckets, "key")
+        dealt = docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).repartition(self.buckets, "key")
+        batch = self._write(dealt)
+        rows = self.spark.table(batch)
+        # Of a level, only keys that the batch has matter; its bucket is probed where it lies.
+        keys = rows.select("key").hint("shuffle_hash")
         for _, name in self.levels:
-            rows = rows.unionByName(self._level(name).withColumn("kind", (F.col("kind") + OLD).cast("int")))
+            level = self._level(name).join(keys, "key", "left_semi")
+            rows = rows.unionByName(level.withColumn("kind", (F.col("kind") + OLD).cast("int")))
         found = _scan(rows, self.crowd)
-        name = self._write(found.where("matched") if last else found)
+        name = self._write(found.where("matched") if last else found, "matched")
+        self._drop(batch)
         self.found.append(name)
         if last:
             return
@@ -284,7 +290,7 @@ class SuffixIndex:
     def _merge(self, a: tuple[int, str], b: tuple[int, str]) -> None:
         """Two levels of equal size become one; buckets stay where they are."""
         both = self._level(a[1]).unionByName(self._level(b[1]))
-        name = self._write(both.withColumns({"what": F.lit(LEVEL), "matched": F.lit(False)}))
+        name = self._write(both.withColumns({"what": F.lit(LEVEL), "matched": F.lit(False)}), "matched")
         for _, old in (a, b):
             if old in self.found:  # what the batch found is still needed
                 remove_folder(self.spark, f"{self.folders[old]}/matched=false")
@@ -314,7 +320,8 @@ def save_bucketed(rows: DataFrame, buckets: int, key: str, *parts: str) -> tuple
     """
     path = shared_folder(rows.sparkSession)
     name = f"quarryline_{uuid.uuid4().hex}"
-    writer = rows.write.format("parquet").partitionBy(*parts).bucketBy(buckets, key).sortBy(key)
+    writer = rows.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer = writer.partitionBy(*parts) if parts else writer
     with settings(rows.sparkSession, CLEAN):
         writer.option("path", path).option("compression", "zstd").saveAsTable(name)
     return name, path
@@ -427,17 +434,17 @@ def _digest(text: Column) -> Column:
 
 
 def _number(slim: DataFrame, length: int, batches: int) -> DataFrame:
-    """(digest, first_none, first_id, row, batch) of the distinct texts, in the order of their first id.
+    """(digest, first_id, n_rows, row, batch) of the distinct texts, in the order of their first id.
 
     Null ids come last and equal ones go by the digest; only ids and digests are sorted.
     """
     order = ["first.none", "first.id", "digest"]
     firsts = slim.where(F.col("n_bytes") >= length).groupBy("digest")
-    firsts = firsts.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    firsts = firsts.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count("*").alias("n_rows"))
     count = slim.count()
     parts = batches * max(1, -(-count // (batches << 20)))
     ranged = firsts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    named = stash(ranged.select("digest", F.col("first.id").alias("first_id"), F.monotonically_increasing_id().alias("row")))
+    named = stash(ranged.select("digest", F.col("first.id").alias("first_id"), "n_rows", F.monotonically_increasing_id().alias("row")))
     part = F.shiftright("row", 33)
     most = (named.agg(F.max(part)).first()[0] or 0) + 1
     return named.withColumn("batch", F.floor(part * batches / most).cast("int"))
@@ -516,20 +523,20 @@ def _compared(index: SuffixIndex, texts: DataFrame, numbered: DataFrame, length:
 
 def _answers(slim: DataFrame, numbered: DataFrame, cut: DataFrame, length: int) -> DataFrame:
     """Results of all rows: a text's first holder keeps what was cut of it, the others lose all."""
-    rows = slim.join(numbered.select("digest", "first_id").join(cut, "digest", "left"), "digest", "left")
     short = F.col("n_bytes") < length
-    copy = ~short & ~F.col("id").eqNullSafe(F.col("first_id"))
-    none = F.array().cast("array<bigint>")
-
-    def pick(of_copy, column, untouched):
-        return F.when(copy, of_copy).otherwise(F.coalesce(column, untouched)).alias(column)
-
-    return rows.select(
-        F.col("id").alias("doc_id"),
-        "n_bytes",
-        pick(F.col("n_bytes"), "n_removed", F.lit(0).cast("long")),
-        pick(F.lit(1).cast("long"), "n_spans", F.lit(0).cast("long")),
-        pick(F.lit(hashlib.sha256().hexdigest()), "kept_sha256", F.lower(F.hex("digest"))),
-        pick(F.array(F.lit(0).cast("long")), "span_starts", none),
-        pick(F.array(F.col("n_bytes")), "span_ends", none),
-    )
+    rows = join_counted(slim.where(~short), numbered.select("digest", "first_id", "n_rows"), "digest", "n_rows")
+    is_first = F.col("id").eqNullSafe(F.col("first_id"))
+    none, nil = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+
+    def result(df, removed, spans, kept, starts, ends):
+        names = ("n_removed", "n_spans", "kept_sha256", "span_starts", "span_ends")
+        values = (removed, spans, kept, starts, ends)
+        return df.select(F.col("id").alias("doc_id"), "n_bytes", *(v.alias(n) for n, v in zip(names, values)))
+
+    whole = F.lower(F.hex("digest"))
+    c = lambda name, untouched: F.coalesce(F.col(name), untouched)
+    firsts = rows.where(is_first).join(cut, "digest", "left")
+    firsts = result(firsts, c("n_removed", nil), c("n_spans", nil), c("kept_sha256", whole), c("span_starts", none), c("span_ends", none))
+    empty = F.lit(hashlib.sha256().hexdigest())
+    copies = result(rows.where(~is_first), F.col("n_bytes"), F.lit(1).cast("long"), empty, F.array(nil), F.array("n_bytes"))
+    return firsts.unionByName(copies).unionByName(result(slim.where(short), nil, nil, whole, none, none))
