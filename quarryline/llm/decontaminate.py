@@ -2,9 +2,10 @@
 
 Benchmark items become a hash set of normalised word windows that every task
 holds; documents are scanned once, window by window.  The set is only sent to
-the tasks if the benchmark's size, which is measured first, is under
-``broadcast_bytes``.  A larger benchmark takes the other way: windows of the
-distinct texts and of the items meet in a join on the window itself.
+the tasks if its own size in memory, which is worked out from the items' words
+first, is under ``broadcast_bytes``, a small part of a worker.  A larger benchmark takes
+the other way: windows of the distinct texts and of the items meet in a join on
+the window itself.  Both give the same.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
 from quarryline.llm.common import PLAIN_WORD, ascii_lower
 
-HITS = "struct<n_words:bigint,hit_starts:array<int>,hit_ends:array<int>,items:array<bigint>>"
+#: Most bytes of memory that a window, a word and an item take in a ``WindowSet``.
+WINDOW_BYTES, WORD_BYTES, ITEM_BYTES = 420, 220, 400
 
 #: A-Z to a-z; other ASCII but 0-9 and a-z to a blank; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -30,17 +34,21 @@ def plain_words(data: bytes) -> list[bytes]:
 class WindowSet:
     """Windows of the items as tuples of word numbers, by length."""
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int):
+    def __init__(self, items: list[tuple], size: int):
         self.number: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+        self.windows: dict[int, dict[tuple[int, ...], tuple]] = defaultdict(dict)
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in plain_words(text)]
-            n = min(size, len(ids))
+            n, own = min(size, len(ids)), (item,)
+            known = self.windows[n] if n else {}
             for i in range(len(ids) - n + 1 if n else 0):
-                self.windows[n][tuple(ids[i : i + n])].add(item)
-        self.windows = {n: dict(w) for n, w in self.windows.items()}
+                window = tuple(ids[i : i + n])
+                held = known.setdefault(window, own)
+                if item not in held:
+                    known[window] = (*held, item)
+        self.windows = dict(self.windows)
 
-    def scan(self, data: bytes) -> tuple[int, list[int], list[int], list[int]]:
+    def scan(self, data: bytes) -> tuple[int, list[int], list[int], list]:
         """Words of a text, the maximal runs of hit words (end exclusive), and the items found."""
         words = plain_words(data)
         get = self.number.get
@@ -55,13 +63,13 @@ class WindowSet:
                 start = None
         if start is not None:
             runs.append((start, len(ids)))
-        found: set[int] = set()
+        found: set = set()
         spans = []
         for n, known in self.windows.items():
             for a, b in runs:
                 for i in range(a, b - n + 1):
                     if (items := known.get(tuple(ids[i : i + n]))) is not None:
-                        found |= items
+                        found.update(items)
                         spans.append((i, i + n))
         starts, ends = [], []
         for a, b in sorted(spans):
@@ -73,15 +81,24 @@ class WindowSet:
         return len(words), starts, ends, sorted(found)
 
 
-def _scan_udf(windows: WindowSet):
-    kind = pa.struct([("n_words", pa.int64()), ("hit_starts", pa.list_(pa.int32())), ("hit_ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+def _hits(item: DataType) -> StructType:
+    ints = ArrayType(IntegerType())
+    kinds = {"n_words": LongType(), "hit_starts": ints, "hit_ends": ints, "items": ArrayType(item)}
+    return StructType([StructField(n, k) for n, k in kinds.items()])
+
+
+def _scan_udf(windows: WindowSet, item: DataType):
+    names = _hits(item).names
 
-    @F.arrow_udf(HITS)
     def scan(texts: pa.Array) -> pa.Array:
         rows = (windows.scan(x.as_py() or b"") for x in texts.cast(pa.large_binary()))
-        return pa.array([dict(zip(("n_words", "hit_starts", "hit_ends", "items"), r)) for r in rows], kind)
+        return pa.array([dict(zip(names, r)) for r in rows], to_arrow_type(_hits(item)))
+
+    return F.arrow_udf(scan, _hits(item))
+
 
-    return scan
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(text), F.lit(PLAIN_WORD), F.lit(0))
 
 
 def find_contamination(
@@ -92,56 +109,77 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = 10,
-    broadcast_bytes: int = 16 << 20,
+    broadcast_bytes: int = 48 << 20,
     out: str = "hits",
 ) -> DataFrame:
-    """Adds the struct ``out``: words, runs of hit words, and items found.
+    """Adds the struct ``out``: words, runs of hit words, and items found, sorted.
 
     A window is ``size`` consecutive words of an item; an item of fewer words is
     one window.  Null and empty texts have no words; items without words, or with
-    a null id or text, match nothing; equal items all count.
+    a null id or text, match nothing; equal items all count; ids may be numbers or
+    strings.  A column of the name ``out`` is replaced, others stay, and repeated rows
+    get equal results.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body")).where("item is not null and body is not null").distinct()
-    heavy = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-    if heavy <= broadcast_bytes:
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("body"))
+    items = items.where("item is not null and body is not null").distinct()
+    n = F.size(_words(F.col("body"))).cast("long")
+    counts = items.agg(F.sum(F.greatest(n - size + 1, F.lit(1))), F.sum(n + F.octet_length("body") / WORD_BYTES), F.count("*")).first()
+    need = sum((c or 0) * each for c, each in zip(counts, (WINDOW_BYTES, WORD_BYTES, ITEM_BYTES)))
+    if need <= broadcast_bytes:
         windows = WindowSet([(r["item"], r["body"].encode("utf-8", "surrogatepass")) for r in items.collect()], size)
-        return docs.withColumn(out, _scan_udf(windows)(F.col(text_col)))
+        return docs.withColumn(out, _scan_udf(windows, items.schema["item"].dataType)(F.col(text_col)))
     return _by_join(docs, items, text_col, size, out)
 
 
-def _windows(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+def _grams(words: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+
+def _merged_runs(spans: Column) -> Column:
+    """Struct of starts and ends of the runs that sorted (at, end) spans make together."""
+    first = F.struct(F.array().cast("array<int>").alias("s"), F.array().cast("array<int>").alias("e"))
+
+    def grow(acc, x):
+        last = F.try_element_at(acc["e"], F.lit(-1))
+        touches = F.coalesce(x["at"] <= last, F.lit(False))
+        others = F.slice(acc["e"], 1, F.greatest(F.size(acc["e"]) - 1, F.lit(0)))
+        longer = F.struct(acc["s"].alias("s"), F.concat(others, F.array(F.greatest(last, x["end"]))).alias("e"))
+        more = F.struct(F.concat(acc["s"], F.array(x["at"])).alias("s"), F.concat(acc["e"], F.array(x["end"])).alias("e"))
+        return F.when(touches, longer).otherwise(more)
+
+    return F.aggregate(spans, first, grow)
 
 
 def _by_join(docs: DataFrame, items: DataFrame, text_col: str, size: int, out: str) -> DataFrame:
     """The way for a benchmark too large to send: a join on the windows.
 
-    Works on distinct texts by their digest, so copies cost one scan.
+    Works on distinct texts by their digest, so copies cost one scan, and makes windows of
+    the lengths that items have.  A text names a window once for all its places, so a common
+    short item has a row a text; AQE splits such a window's rows.
     """
-    words = lambda c: F.regexp_extract_all(ascii_lower(c), F.lit(PLAIN_WORD), F.lit(0))
-    known = items.withColumn("words", words(F.col("body"))).where(F.size("words") > 0)
+    known = items.withColumn("words", _words(F.col("body"))).where(F.size("words") > 0)
     known = known.withColumn("n", F.least(F.size("words"), F.lit(size)))
-    known = known.select("item", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))).alias("gram")).distinct()
+    known = known.select("item", "n", F.explode(_grams(F.col("words"), F.col("n"))).alias("gram")).distinct()
+    lengths = [r[0] for r in known.select("n").distinct().collect()]  # from 1 to size
     key = f"__{out}_key"
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    texts = keyed.groupBy(key).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("body")).withColumn("words", words(F.col("body")))
-    grams = texts.select(key, F.explode(F.array(*(F.lit(n) for n in range(1, size + 1)))).alias("n"), "words").where(F.size("words") >= F.col("n"))
-    grams = grams.select(key, "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))).alias("at", "gram"))
-    hits = grams.join(known, ["n", "gram"]).groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("end")))).alias("spans"))
-    first = F.struct(F.array().cast("array<int>").alias("s"), F.array().cast("array<int>").alias("e"))
-
-    def grow(acc, x):
-        touches = (F.size(acc["e"]) > 0) & (x["at"] <= F.coalesce(F.try_element_at(acc["e"], F.lit(-1)), F.lit(-1)))
-        last = F.slice(acc["e"], 1, F.greatest(F.size(acc["e"]) - 1, F.lit(0)))
-        return F.when(touches, F.struct(acc["s"].alias("s"), F.concat(last, F.array(F.greatest(F.try_element_at(acc["e"], F.lit(-1)), x["end"]))).alias("e"))).otherwise(
-            F.struct(F.concat(acc["s"], F.array(x["at"])).alias("s"), F.concat(acc["e"], F.array(x["end"])).alias("e"))
-        )
-
-    runs = hits.select(key, "items", F.aggregate("spans", first, grow).alias("r"))
+    texts = keyed.groupBy(key).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
+    texts = texts.withColumn("words", _words(F.col("body")))
+    wanted = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
+    grams = texts.select(key, F.explode(wanted).alias("n"), "words").where(F.size("words") >= F.col("n"))
+    grams = grams.select(key, "n", F.posexplode(_grams(F.col("words"), F.col("n"))).alias("at", "gram"))
+    places = grams.join(known.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
+    places = places.groupBy(key, "n", "gram").agg(F.collect_list("at").alias("ats"))
+    hits = places.join(known, ["n", "gram"])
+    span = F.transform("ats", lambda a: F.struct(a.alias("at"), (a + F.col("n")).alias("end")))
+    found = hits.groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(span)))).alias("spans"))
+    runs = found.select(key, "items", _merged_runs(F.col("spans")).alias("r"))
     none = F.array().cast("array<int>")
     whole = texts.select(key, F.size("words").cast("long").alias("n")).join(runs, key, "left")
-    whole = whole.select(key, F.struct(F.col("n").alias("n_words"), F.coalesce("r.s", none).alias("hit_starts"), F.coalesce("r.e", none).alias("hit_ends"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items")).alias(out))
-    return keyed.join(whole, key, "left").drop(key)
+    item = items.schema["item"].dataType
+    columns = (F.col("n"), F.coalesce("r.s", none), F.coalesce("r.e", none), F.coalesce("items", F.array().cast(ArrayType(item))))
+    whole = whole.select(key, F.struct(*(c.alias(x) for c, x in zip(columns, _hits(item).names))).alias(out))
+    return keyed.drop(out).join(whole, key, "left").drop(key)
 
 
 def hit_words(hits: Column) -> Column:

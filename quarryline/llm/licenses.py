@@ -1,11 +1,13 @@
 """Licence scan by a positional rare-token index, with native expressions.
 
-Licence templates are cut into words.  Of each, the words that are rarest over
-all documents become its anchors (highest inverse document frequency).  A file's
-anchor words are looked up in the postings (template, position); a template that
-stands in the file puts its anchors at one relative position, so hits are added
-up by (template, file position - template position).  A template whose aligned
-weight is high enough is verified by its mandatory key phrases.
+Licence templates are cut into words.  A file is cut into words once; what is kept
+of it are the places of the words that some template has.  From these come the
+document frequencies, and by them the words of each template that are rarest over all
+documents, its anchors (highest inverse document frequency).  A file's anchor
+words are looked up in the postings (template, position); a template that stands in
+the file puts its anchors at one relative position, so hits are added up by
+(template, file position - template position).  A template whose aligned weight is
+high enough is verified by its mandatory key phrases, which are runs of kept words.
 
 Everything but the document frequencies of the few hundred template words is
 local to a row, so neither long files nor frequent words make a shuffle uneven.
@@ -67,6 +69,32 @@ TEMPLATES = (
     ),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    Template(
+        "agpl-3.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu affero general public license", "either version 3 of the license"),
+    ),
+    Template(
+        "gpl-2.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license", "either version 2 of the license"),
+    ),
+    Template(
+        "bsd-3-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ("endorse or promote products derived from this software",),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("alter it and redistribute it freely",),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ("accompanying documentation covered by this license",),
+    ),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license 2 0",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 _FOUND = "array<struct<label:string,share:double>>"
@@ -85,18 +113,34 @@ class LicenseIndex:
     templates: tuple[Template, ...]
 
 
+def licence_words(docs: DataFrame, *, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, out: str = "licence_words") -> DataFrame:
+    """Adds the struct ``out``: n_words, places (base phrases) and hits (word, place) of the templates' words."""
+    words = sorted({w for t in templates for w in t.text.split()} | {w for t in templates for p in t.phrases for w in p.split()})
+
+    def marked(w):
+        hits = F.transform(w, lambda x, i: F.when(x.isin(words), F.struct(x.alias("w"), i.alias("i"))))
+        return F.struct(F.size(w).cast("long").alias("n_words"), base_places(w).alias("places"), F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
+
+    return docs.withColumn(out, let(plain_word_array(F.col(text_col)), marked))
+
+
 def build_index(docs: DataFrame, *, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, anchors: int = 12) -> LicenseIndex:
-    """Picks each template's rarest words by their frequency over all documents.
+    """Picks each template's rarest words by their frequency over all documents."""
+    marked = licence_words(docs.select(F.col(text_col).alias("text")), templates=templates)
+    return index_of(marked, templates=templates, anchors=anchors)
+
+
+def index_of(marked: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES, anchors: int = 12, words: str = "licence_words") -> LicenseIndex:
+    """The same from ``licence_words``.
 
     One aggregation; what comes to the driver is a count per word of the
     templates.  Over an empty table all words weigh the same.
     """
-    words = sorted({w for t in templates for w in t.text.split()})
-    present = F.array_distinct(F.filter(plain_word_array(F.col(text_col)), lambda w: w.isin(words)))
-    seen = docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
+    present = F.array_distinct(F.transform(F.col(words)["hits"], lambda h: h["w"]))
+    seen = marked.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
     df = {r["w"]: r["count"] for r in seen}
     total = df.get("", 0)
-    idf = {w: float(_ln((total + 1) / (df.get(w, 0) + 1))) + 0.01 for w in words}
+    idf = {w: float(_ln((total + 1) / (df.get(w, 0) + 1))) + 0.01 for t in templates for w in t.text.split()}
     postings: dict[str, list[tuple[int, int, float]]] = {}
     weights = []
     for t, template in enumerate(templates):
@@ -127,9 +171,9 @@ def base_places(words: Column) -> Column:
 
 
 def template_hits(words: Column, index: LicenseIndex, share: float) -> Column:
-    """Verified templates in a word array, with the aligned share of their anchor weight."""
+    """Verified templates among a text's licence words (w, i), with the aligned share of their anchor weight."""
     anchors = list(index.postings)
-    hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    hits = F.filter(words, lambda h: h["w"].isin(anchors))
     posting = lambda p: F.struct(F.lit(p[0]).alias("t"), F.lit(p[1]).alias("pos"), F.lit(p[2] / index.weights[p[0]]).alias("share"))
     table = F.create_map(*(x for w, ps in index.postings.items() for x in (F.lit(w), F.array(*map(posting, ps)))))
 
@@ -147,7 +191,10 @@ def template_hits(words: Column, index: LicenseIndex, share: float) -> Column:
         return F.aggregate(aligned, zero, step, lambda acc: acc["found"])
 
     def verify(found):
-        line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        # Words that do not follow one another have a bar between them, so a phrase stands only where its words do.
+        follows = lambda h, k: F.coalesce(F.get(words, k - 1)["i"] == h["i"] - 1, F.lit(True))
+        runs = F.transform(words, lambda h, k: F.when(follows(h, k), h["w"]).otherwise(F.concat(F.lit("| "), h["w"])))
+        line = F.concat(F.lit(" "), F.array_join(runs, " "), F.lit(" "))
 
         def checked(s):
             out = []
@@ -165,11 +212,19 @@ def template_hits(words: Column, index: LicenseIndex, share: float) -> Column:
     return let(hits, each)
 
 
+def matched(marked: DataFrame, index: LicenseIndex, *, words: str = "licence_words", share: float = 0.7, out: str = "licenses") -> DataFrame:
+    """``licence_words`` to the struct ``out``: n_words, places (base phrases) and templates (verified)."""
+    w = F.col(words)
+    one = F.struct(w["n_words"].alias("n_words"), w["places"].alias("places"), template_hits(w["hits"], index, share).alias("templates"))
+    return marked.withColumn(out, one).drop(*({words} - {out}))
+
+
 def scan_licenses(docs: DataFrame, index: LicenseIndex, *, text_col: str = "text", share: float = 0.7, out: str = "licenses") -> DataFrame:
     """Adds the struct ``out``: n_words, places (base phrases) and templates (verified).
 
     Null texts count as empty.  A file may hold several licences, each any number
-    of times.
+    of times.  Repeated rows get equal results; a column of the name ``out`` is
+    replaced, others stay.
     """
-    one = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), base_places(w).alias("places"), template_hits(w, index, share).alias("templates"))
-    return docs.withColumn(out, let(plain_word_array(F.col(text_col)), one))
+    marked = licence_words(docs, text_col=text_col, templates=index.templates, out=out)
+    return matched(marked, index, words=out, share=share, out=out)

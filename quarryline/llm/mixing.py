@@ -8,9 +8,12 @@ left is filled by sampling without replacement: every document draws the key
 by rising key, and the prefix sum of their sizes meets the budget.  The document
 on the line is taken in part, so each source ends at its target.
 
-The prefix sum never sorts a whole source.  Keys fall into ``bins`` by a
-monotone rule, the bins' sizes are summed with partial aggregation, and only the
-one bin in which a source's budget ends is sorted.
+The prefix sum never sorts a whole source.  Keys fall into ``bins`` by a monotone
+rule, and those of the bin in which the budget ends into ``bins`` finer ones; the
+sizes are summed with partial aggregation, and only the one fine bin on the line is
+sorted, some four-millionth of a source at the default.  What comes out is the line
+itself, one row a source, to which every document is compared where it lies: no
+document's row is moved, and texts are counted once.
 """
 
 from __future__ import annotations
@@ -60,12 +63,47 @@ def source_targets(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return out.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
 
+def _starts(hist: DataFrame, plan: DataFrame, bin_col: str) -> DataFrame:
+    """``plan`` with the bin in which a source's rest ends (``cut``), and the words before it (``start``).
+
+    ``hist``: source, ``bin_col``, words.  ``plan``: source, rest and others; the rest counts from the first bin on.
+    """
+    line = Window.partitionBy("source").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
+    starts = hist.withColumn("begin", F.coalesce(F.sum("words").over(line), F.lit(0)))
+    joined = starts.alias("h").join(plan.alias("p"), F.expr("h.source <=> p.source"), "right")
+    reached = F.when(F.col("h.begin") <= F.col("p.rest"), F.struct(F.col(f"h.{bin_col}").alias("cut"), F.col("h.begin").alias("start")))
+    found = joined.groupBy(*(F.col(f"p.{c}").alias(c) for c in plan.columns)).agg(F.max(reached).alias("at"))
+    return found.select(*plan.columns, "at.cut", "at.start")
+
+
+def line_of_sources(keyed: DataFrame, max_epochs: float) -> DataFrame:
+    """One row a source: source_size, target, epochs, and the document on the line with the words taken of it.
+
+    ``keyed``: source, id, size, key, bin, fine, row.
+    """
+    hist = stash(keyed.groupBy("source", "bin").agg(F.sum("size").alias("words")))
+    plan = source_targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs)
+    coarse = stash(_starts(hist, plan, "bin").withColumnRenamed("cut", "cut_bin").withColumn("rest", F.col("rest") - F.coalesce("start", F.lit(0))).drop("start"))
+    on = lambda a, b, *more: F.expr(" AND ".join([f"{a}.source <=> {b}.source", *more]))
+    inside = keyed.alias("k").join(coarse.alias("c"), on("k", "c", "k.bin = c.cut_bin")).select("k.*")
+    fine_hist = stash(inside.groupBy("source", "fine").agg(F.sum("size").alias("words")))
+    fine = stash(_starts(fine_hist, coarse, "fine").withColumnRenamed("cut", "cut_fine"))
+    last = keyed.alias("k").join(fine.alias("c"), on("k", "c", "k.bin = c.cut_bin", "k.fine = c.cut_fine")).select("k.*", "c.rest", "c.start")
+    order = Window.partitionBy("source").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("part", F.col("rest") - F.col("start") - F.coalesce(F.sum("size").over(order), F.lit(0)))
+    place = F.struct("key", "id", "size", "row")
+    line = last.where("part >= 0").groupBy("source").agg(F.max(F.struct(place.alias("place"), "part")).alias("line"))
+    out = plan.alias("p").join(line.alias("l"), on("p", "l"), "left")
+    return out.select("p.source", "p.source_size", "p.target", "p.epochs", "l.line")
+
+
 def mix(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    size: Column | None = None,
     weight: Column | None = None,
     max_epochs: float = 3.0,
     bins: int = 2048,
@@ -74,40 +112,35 @@ def mix(
 ) -> DataFrame:
     """Adds size, source_size, target and taken (words) to every document.
 
-    Null texts have size 0, null sources are a source of their own, rows with
-    equal ids draw equal keys, and identical rows may swap places.  The added
-    columns get ``prefix`` and replace columns of the same names.
+    ``size`` and ``weight`` are columns of the documents; by default the words of the
+    text, and ``letter_weight``.  Null texts have size 0, null sources are a source of
+    their own, rows with equal ids draw equal keys, and identical rows may swap places.
+    The added columns get ``prefix`` and replace columns of the same names.
+
+    The documents are written once with their size and key.  What is decided for a
+    source is a row, written too, so Spark knows its size and sends it to the tasks only
+    under its own threshold; with very many sources it joins them instead.
     """
     w = letter_weight(F.col(text_col)) if weight is None else weight
-    keyed = docs.withColumns({f"{_T}size": word_count(F.col(text_col)), f"{_T}key": sampling_key(F.col(id_col), F.greatest(F.coalesce(w, F.lit(1e-6)), F.lit(1e-6)), seed)})
+    n = word_count(F.col(text_col)) if size is None else size.cast("long")
+    key = sampling_key(F.col(id_col), F.greatest(F.coalesce(w, F.lit(1e-6)), F.lit(1e-6)), seed)
+    held = docs.withColumns({f"{_T}size": n, f"{_T}key": key, f"{_T}row": F.monotonically_increasing_id()})
     # exp(-key) falls as the key rises, so low bins are taken first.
-    keyed = keyed.withColumn(f"{_T}bin", F.least(F.floor((1.0 - F.exp(-F.col(f"{_T}key"))) * bins), F.lit(bins - 1)).cast("int"))
-    hist = stash(keyed.groupBy(F.col(source_col).alias("source"), F.col(f"{_T}bin").alias("bin")).agg(F.sum(f"{_T}size").alias("words")))
-
-    plan = source_targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs)
-    line = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hist.withColumn("start", F.coalesce(F.sum("words").over(line), F.lit(0)))
-    cut = (
-        starts.alias("h")
-        .join(plan.alias("p"), F.expr("h.source <=> p.source"), "right")
-        .groupBy(F.col("p.source").alias(f"{_T}source"), *(F.col(f"p.{c}").alias(_T + c) for c in ("source_size", "target", "epochs", "rest")))
-        .agg(
-            F.max(F.when(F.col("h.start") <= F.col("p.rest"), F.col("h.bin"))).alias(f"{_T}cut"),
-            F.max(F.when(F.col("h.start") <= F.col("p.rest"), F.col("h.start"))).alias(f"{_T}start"),
-        )
-    )
-    # One row a source; Spark broadcasts it or splits the hot source, as its size asks for.
-    joined = keyed.join(cut, F.col(source_col).eqNullSafe(F.col(f"{_T}source")), "left")
+    u = (1.0 - F.exp(-F.col(f"{_T}key"))) * bins
+    coarse = F.least(F.floor(u), F.lit(bins - 1)).cast("int")
+    held = stash(held.withColumns({f"{_T}bin": coarse, f"{_T}fine": F.floor((u - coarse) * bins).cast("int")}))
     c = lambda name: F.col(_T + name)
-    outside = joined.where(c("bin") != c("cut")).withColumn(f"{_T}part", F.when(c("bin") < c("cut"), c("size")).otherwise(0))
-    inside = joined.where(c("bin") == c("cut"))
-    order = Window.partitionBy(f"{_T}source").orderBy(f"{_T}key", id_col, f"{_T}size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = c("start") + F.coalesce(F.sum(f"{_T}size").over(order), F.lit(0))
-    inside = inside.withColumn(f"{_T}part", F.greatest(F.lit(0), F.least(c("size"), c("rest") - earlier)))
-    done = outside.unionByName(inside)
-    added = {f"{prefix}size": c("size"), f"{prefix}source_size": c("source_size"), f"{prefix}target": c("target"), f"{prefix}taken": (c("epochs") * c("size") + c("part")).cast("long")}
+    names = ("size", "key", "bin", "fine", "row")
+    keyed = held.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), *(c(x).alias(x) for x in names))
+    line = stash(line_of_sources(keyed, max_epochs)).select(*(F.col(x).alias(_T + x) for x in ("source", "source_size", "target", "epochs", "line")))
+    joined = held.join(line, F.col(source_col).eqNullSafe(c("source")), "left")
+    place = F.struct(c("key").alias("key"), F.col(id_col).alias("id"), c("size").alias("size"), c("row").alias("row"))
+    at = c("line")["place"]
+    part = F.when(place < at, c("size")).when(place == at, F.least(c("size"), c("line")["part"])).otherwise(0)
+    taken = (c("epochs") * c("size") + part).cast("long")
+    added = {f"{prefix}size": c("size"), f"{prefix}source_size": c("source_size"), f"{prefix}target": c("target"), f"{prefix}taken": taken}
     kept = [F.col(f"`{x}`") for x in docs.columns if x not in added]
-    return done.select(*kept, *(v.alias(k) for k, v in added.items()))
+    return joined.select(*kept, *(v.alias(k) for k, v in added.items()))
 
 
 MIXING_SQL = r"""

@@ -7,6 +7,9 @@ sums, (bad - good) / (bad + good), says which class the text resembles.  A
 logistic curve fitted on labelled documents that gave no dictionary text turns
 the difference into the probability of the good class.
 
+Dictionaries are of one size, at most an eighth of the text of the class that has less of
+it; also few labels give trained ones.
+
 Fitting reads a bounded sample: at most ``max_labelled`` labelled documents, the
 first by a hash of the id, and of those at most ``max_pieces`` pieces a class.
 The driver holds only these pieces.
@@ -22,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import trained_dictionary
+
 
 @dataclass(frozen=True)
 class CompressionModel:
@@ -69,17 +74,6 @@ def _difference_udf(good: bytes, bad: bytes, piece: int, level: int):
     return difference
 
 
-def _dictionary(pieces: list[bytes], size: int) -> bytes:
-    """A trained dictionary; with too few pieces for that, their plain bytes."""
-    total = sum(map(len, pieces))
-    if len(pieces) >= 50 and total >= 8 * size:
-        try:
-            return zstandard.train_dictionary(size, pieces, k=256, d=8, steps=4).as_bytes()
-        except zstandard.ZstdError:
-            pass  # too uniform to train on
-    return b"".join(pieces)[-size:]
-
-
 def fit_compression_model(
     docs: DataFrame,
     labels: DataFrame,
@@ -118,7 +112,10 @@ def fit_compression_model(
     taught: dict[int, list[bytes]] = {0: [], 1: []}
     for row in ranked[0].union(ranked[1]).collect():
         taught[row["y"]].append(bytes(row["p"]))
-    model = CompressionModel(_dictionary(taught[1], dictionary_bytes), _dictionary(taught[0], dictionary_bytes), 0.0, 0.0, piece_bytes, level)
+    # Both dictionaries get the size that the class with less text allows, so that neither helps more for its size.
+    size = min(dictionary_bytes, *(max(256, sum(map(len, taught[y])) // 8) for y in (0, 1)))
+    good, bad = (trained_dictionary(taught[y], size) for y in (1, 0))
+    model = CompressionModel(good, bad, 0.0, 0.0, piece_bytes, level)
 
     points = [(r["x"], r["y"]) for r in known.where("part = 1").select("y", model.difference(F.col("text")).alias("x")).collect()]
     slope, intercept = _logistic(points) if taught[0] and taught[1] else (0.0, _prior([*[y for _, y in points], *([1] * len(taught[1])), *([0] * len(taught[0]))]))

@@ -27,7 +27,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licenses.scan_licenses(docs, licenses.build_index(docs))
+    words = stash(licenses.licence_words(docs).drop("text"))
+    found = licenses.matched(words, licenses.index_of(words))
     places, templates = F.col("licenses.places"), F.col("licenses.templates")
     base = F.array_distinct(F.transform(places, lambda x: x["label"]))
     starts = F.transform(places, lambda x: x["at"])
@@ -52,8 +53,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(text).alias("n"), mixing.letter_weight(text).alias("w"))
+    mixed = mixing.mix(docs, size=F.col("n"), weight=F.col("w"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

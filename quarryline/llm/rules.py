@@ -164,10 +164,10 @@ def learn_rules(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     document teach nothing.  Without bad rows the list is empty.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    known = stats.withColumnRenamed(id_col, "id").join(y, "id")
+    used = sorted({c for top, *_ in FEATURES.values() for c in top.split(" / ")})
+    known = stats.select(F.col(id_col).alias("id"), *used).join(y, "id")
     bins = {f"bin_{n}": sum(((feature(n) > e).cast("int") for e in edges), F.lit(0)) for n, (_, edges) in FEATURES.items()}
     known = known.withColumns(bins).withColumns({"bad": (F.col("y") == 0).cast("int"), "prune": F.pmod(F.xxhash64("id"), F.lit(3)) == 0})
-    used = sorted({c for top, *_ in FEATURES.values() for c in top.split(" / ")})
     left = stash(known.select("bad", "prune", *used, *bins))
     rules: list[tuple[Condition, ...]] = []
     while len(rules) < max_rules:

@@ -7,9 +7,17 @@ covering code of radius 1: a Hamming(15, 11) code on the first 15 bits, all
 values on the others.  A fingerprint's home is its nearest anchor, and it is
 replicated to every anchor within radius + 1 of it, so linked fingerprints meet
 at the home of either.  At each anchor they are compared, and a spanning forest
-of the links found comes out, never all pairs.  Anchors that attract many
-fingerprints are cut into a grid of sub-blocks.  Equal fingerprints, such as
-those of exact copies, are one node from the start.
+of the links found comes out, never all pairs.
+
+A block has some 2^17 anchors and a fingerprint 14 replicas in it on average, so an
+anchor's load is N / 2^17 x 14.  Anchors over ``cell_rows`` are covered again by the
+same rule over the bits of the other two blocks, in three parts of 14 or 15 bits, one
+of which differs in at most one bit: that cuts their load by some 2^14 / 15 for 45
+replicas of each.  So 10^10 fingerprints make 42 replicas each at the first level, in
+anchors of a million rows, and these 45 each at the second, in anchors of a
+thousand.  What is still over ``cell_rows`` there, fingerprints that are alike in
+most bits, goes to a grid of cells, so that any two of them meet in one.  Equal
+fingerprints, such as those of exact copies, are one node from the start.
 
 Components are found by alternating star contraction, a few joins and
 aggregations a round over the forest edges, each round written to the shared
@@ -25,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quarryline.llm.common import remove_folder, shared_folder, stash
+from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_folder, stash
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -132,14 +140,14 @@ def _forest(fps: np.ndarray, homes: np.ndarray, distance: int) -> list[tuple[int
     return edges
 
 
-def _compare(distance: int):
-    """Batches sorted by (anchor, cell) to forest edges; a group may run over several batches."""
+def _compare(distance: int, order: list[str]):
+    """Batches sorted by group (the columns ``order``) to forest edges; a group may run over several batches."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(table):
-            keys = np.stack([table.column(c).to_numpy() for c in ("anchor", "cell")])
+            keys = np.stack([table.column(c).to_numpy() for c in order])
             fps, homes = table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             bounds = np.concatenate(([0], cuts, [len(fps)]))
@@ -155,11 +163,11 @@ def _compare(distance: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("anchor", "cell"))
-            if tuple(held[0].column(c)[0].as_py() for c in ("anchor", "cell")) == last:
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in order)
+            if tuple(held[0].column(c)[0].as_py() for c in order) == last:
                 continue  # one group so far
             table = pa.Table.from_batches(held)
-            open_ = np.logical_and(table.column("anchor").to_numpy() == last[0], table.column("cell").to_numpy() == last[1])
+            open_ = np.logical_and.reduce([table.column(c).to_numpy() == x for c, x in zip(order, last)])
             done = len(open_) - int(open_.sum())
             yield flush(table.slice(0, done))
             held = table.slice(done).combine_chunks().to_batches()
@@ -169,6 +177,42 @@ def _compare(distance: int):
     return run
 
 
+def _second_anchors(batches):
+    """Rows (anchor, sub, fp, home) of crowded anchors: parts of the bits outside the anchor's block, as they are and with one bit flipped.
+
+    A fingerprint is at home where its part is as it is, if it is at home at the anchor.
+    """
+    for batch in batches:
+        anchor = batch.column(0).to_numpy()
+        bits = batch.column(1).to_numpy().view(np.uint64)
+        home = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        block = anchor >> 32
+        for own, (at, width) in enumerate(BLOCKS):
+            rows = np.flatnonzero(block == own)
+            if not len(rows):
+                continue
+            low = bits[rows] & np.uint64((1 << at) - 1)
+            rest = low | (bits[rows] >> np.uint64(at + width)) << np.uint64(at)
+            cuts = [0, 14, 28, 64 - width]
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                value = (rest >> np.uint64(a) & np.uint64((1 << b - a) - 1)).astype(np.int64)
+                for flip in (0, *(1 << i for i in range(b - a))):
+                    sub = value ^ flip | (part + 1) << 16
+                    columns = (anchor[rows], sub, bits[rows].view(np.int64), home[rows] & (flip == 0))
+                    yield pa.record_batch([pa.array(c) for c in columns], ["anchor", "sub", "fp", "home"])
+
+
+def _gridded(dealt: DataFrame, crowds: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
+    """Adds ``cell``: a crowd of n gets s x s cells, s = ceil(n / cell_rows), homes by row and the others by column."""
+    side = F.ceil(F.col("count") / cell_rows)
+    both = dealt.join(crowds.withColumn("side", side).drop("count"), keys, "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("side"))
+    spread = F.sequence(F.lit(0).cast("bigint"), F.col("side") - 1)
+    row = F.explode(F.transform(spread, lambda j: own * F.col("side") + j)).alias("cell")
+    column = F.explode(F.transform(spread, lambda i: i * F.col("side") + own)).alias("cell")
+    return both.where("home").select(*keys, "fp", "home", row).unionByName(both.select(*keys, "fp", F.lit(False).alias("home"), column))
+
+
 def links(fps: DataFrame, *, distance: int = 4, cell_rows: int = 8192) -> DataFrame:
     """Forest edges (u, v) over distinct fingerprints in column fp; joined up, they give every component.
 
@@ -176,20 +220,20 @@ def links(fps: DataFrame, *, distance: int = 4, cell_rows: int = 8192) -> DataFr
     """
     if distance > 5:
         raise ValueError("three blocks of radius 1 find links of 5 bits at most")
-    dealt = fps.select("fp").mapInArrow(_anchors, "anchor bigint, fp bigint, home boolean")
-    crowds = stash(dealt.groupBy("anchor").count().where(F.col("count") > cell_rows))
-    dealt = dealt.withColumn("cell", F.lit(0).cast("bigint"))
-    if crowds.limit(1).count():
-        # A crowd of n gets a grid of s x s cells, s = ceil(n / cell_rows): homes by row, the others by column.
-        side = F.ceil(F.col("count") / cell_rows)
-        both = dealt.drop("cell").join(crowds.withColumn("side", side).drop("count"), "anchor", "left").withColumn("side", F.coalesce("side", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("side"))
-        spread = F.sequence(F.lit(0).cast("bigint"), F.col("side") - 1)
-        rows = both.where("home").select("anchor", "fp", "home", F.explode(F.transform(spread, lambda j: own * F.col("side") + j)).alias("cell"))
-        columns = both.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.transform(spread, lambda i: i * F.col("side") + own)).alias("cell"))
-        dealt = rows.unionByName(columns)
-    sorted_ = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", F.desc("home"), "fp").select("anchor", "fp", "home", "cell")
-    return sorted_.mapInArrow(_compare(distance), "u bigint, v bigint").distinct()
+    first = fps.select("fp").mapInArrow(_anchors, "anchor bigint, fp bigint, home boolean")
+    crowds = stash(first.groupBy("anchor").count().where(F.col("count") > cell_rows))
+    zero = F.lit(0).cast("bigint")
+    dealt = first.withColumns({"sub": zero, "cell": zero})
+    if not crowds.isEmpty():
+        second = stash(first.join(crowds.select("anchor"), "anchor", "left_semi").select("anchor", "fp", "home"))
+        second = second.mapInArrow(_second_anchors, "anchor bigint, sub bigint, fp bigint, home boolean")
+        keys = ["anchor", "sub"]
+        left = stash(second.groupBy(*keys).count().where(F.col("count") > cell_rows))
+        plain = first.join(crowds.select("anchor"), "anchor", "left_anti").withColumns({"sub": zero, "cell": zero})
+        dealt = plain.unionByName(_gridded(second, left, keys, cell_rows))
+    order = ["anchor", "sub", "cell"]
+    sorted_ = dealt.repartition(*order).sortWithinPartitions(*order, F.desc("home"), "fp").select("fp", "home", *order)
+    return sorted_.mapInArrow(_compare(distance, order), "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +242,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def save(df):
         path = shared_folder(spark)
-        df.write.parquet(path)
+        with settings(spark, CLEAN):
+            df.write.parquet(path)
         back = spark.read.schema("u bigint, v bigint").parquet(path)
         return path, back, back.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -226,10 +271,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leave a component without an id if it has no other.
     """
     marked = stash(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = stash(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_rows")))
     roots = components(links(nodes, distance=distance))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = grouped.join(named, "root").select("fp", "component_id")
-    label = nodes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(label, "fp", "left").select("id", "fp", "component_id")
+    label = nodes.join(joined, "fp", "left").select("fp", "n_rows", F.coalesce("component_id", "least").alias("component_id"))
+    return join_counted(marked, label, "fp", "n_rows").select("id", "fp", "component_id")
