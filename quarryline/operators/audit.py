@@ -62,6 +62,36 @@ def bad_messages(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rule", rule).where("rule is not null")
 
 
+def compare_copies(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(table, rows_before, rows_after, changed) of tables and their copies, by count and order-free digests."""
+    from quarryline.operators.catalog import table_fingerprint
+
+    out = None
+    for name, (before, after) in tables.items():
+        old, new = (table_fingerprint(df.select(*sorted(before.columns))) for df in (before, after))
+        old = old.select(F.lit(name).alias("table"), F.col("rows").alias("rows_before"), F.col("digest").alias("was"))
+        pair = old.crossJoin(F.broadcast(new.select(F.col("rows").alias("rows_after"), F.col("digest").alias("is"))))  # one row
+        row = pair.select("table", "rows_before", "rows_after", (F.col("was") != F.col("is")).alias("changed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def differing_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that only one of two tables has, with ``side``; repeated rows count as often as they come."""
+    columns = before.columns
+    only = lambda a, b, side: a.select(*columns).exceptAll(b.select(*columns)).withColumn("side", F.lit(side))
+    return only(before, after, "before").unionByName(only(after, before, "after"))
+
+
+def epoch_gate(meta: DataFrame) -> DataFrame:
+    """Adds readable (same content version) and coverage_shown (same coverage version too); rows: index_version, coverage_epoch."""
+    from quarryline.operators.project import INDEX_VERSION
+    from quarryline.operators.sync import EPOCH
+
+    readable = F.col("index_version") == INDEX_VERSION
+    return meta.withColumns({"readable": readable, "coverage_shown": readable & (F.col("coverage_epoch") == EPOCH)})
+
+
 def copy_legacy(sessions: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sessions and documents from the older layout of sessions and messages, without the raw files.
 

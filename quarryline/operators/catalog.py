@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import selectors
+from quarryline.operators.project import INDEX_VERSION
 
 
 def list_sessions(sessions: DataFrame, *, sort: str = "ended", limit: int = 20, source_ids: list[str] | None = None, selector: dict | None = None, cwd: str | None = None, since: str | None = None) -> DataFrame:
@@ -28,6 +29,13 @@ def source_stats(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("source_id").agg(F.count("*").alias("session_count"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("message_count"), F.min("started_at").alias("first_started_at"), F.max("ended_at").alias("last_ended_at"))
 
 
+def stats_with_coverage(sessions: DataFrame, records: DataFrame) -> DataFrame:
+    """The same with the number of current coverage proofs."""
+    current = records.where(F.col("record_version") == INDEX_VERSION).groupBy(F.col("selector.source").alias("source_id"))
+    n = current.agg(F.count("*").alias("coverage_records"))
+    return source_stats(sessions).join(n, "source_id", "left").withColumn("coverage_records", F.coalesce("coverage_records", F.lit(0).cast("long")))
+
+
 def top_cwds(sessions: DataFrame, n: int = 10) -> DataFrame:
     """Per source the working directories with most sessions."""
     counts = sessions.where("cwd <> ''").groupBy("source_id", "cwd").agg(F.count("*").alias("sessions"))
@@ -44,7 +52,12 @@ def selector_counts(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Files per working directory with their date range, most files first."""
+    """Files per working directory with their date range; ``place`` puts a source's directories in order, most files first."""
+    order = Window.partitionBy("source_id").orderBy(F.desc("files"), "cwd")
+    return _inventory(files).withColumn("place", F.row_number().over(order))
+
+
+def _inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("source_id", "cwd").agg(F.count("*").alias("files"), F.min("path_date").alias("from_date"), F.max("path_date").alias("to_date"))
 
 
@@ -63,8 +76,16 @@ def fingerprint_files(files: DataFrame, *, with_content: bool) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Count and an order-free digest of a table's rows."""
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
+    """Count and an order-free digest of a table's rows; the sum sees rows that come twice, which the xor alone would not."""
+    h = F.xxhash64(*df.columns)
+    total = F.sum(h.cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count("*").alias("rows"), F.concat_ws(":", F.bit_xor(h).cast("string"), total).alias("digest"))
+
+
+def files_with_sessions(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Known files with their session's columns, null where a file gave none."""
+    own = sessions.select("session_key", "native_session_id", "message_count", "title")
+    return files.withColumnRenamed("session_key", "wanted").join(own, F.col("wanted") == F.col("session_key"), "left").drop("wanted")
 
 
 def scope_messages(sessions: DataFrame, predicate: Column) -> DataFrame:

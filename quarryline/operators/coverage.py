@@ -57,6 +57,27 @@ def session_selectors(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_key", F.explode(F.filter(some, lambda x: x.isNotNull())).alias("requested"))
 
 
+def storage_key_of_all(source: Column, root: Column) -> Column:
+    """Storage key of the selector for all of a source's root."""
+    none = F.lit(None).cast("string")
+    return selectors.storage_key(F.struct(F.lit("all").alias("kind"), source.alias("source"), root.alias("root"), none.alias("cwd"), none.alias("fromDate"), none.alias("toDate")))
+
+
+def session_coverage(sessions: DataFrame, records: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
+    """Per session (session_key) whether some current proof holds it, and the selectors of those that do."""
+    wanted = session_selectors(sessions).withColumn("request_id", F.col("session_key"))
+    hits = covering(records, wanted, version).groupBy("session_key").agg(F.array_sort(F.collect_set("selector_key")).alias("covering_selectors"))
+    none = F.array().cast("array<string>")
+    out = sessions.select("session_key").join(hits, "session_key", "left")
+    return out.select("session_key", F.col("covering_selectors").isNotNull().alias("complete"), F.lit("not_checked").alias("freshness"), F.coalesce("covering_selectors", none).alias("covering_selectors"))
+
+
+def reason_counts(evaluated: DataFrame) -> DataFrame:
+    """Records by freshness and reason; a reason counts for stale ones only."""
+    reason = F.when(F.col("freshness") == "stale", F.col("stale_reason")).otherwise("none")
+    return evaluated.groupBy("freshness", reason.alias("stale_reason")).agg(F.count("*").alias("records"))
+
+
 def merged_freshness(values: Column) -> Column:
     """All fresh: fresh; else missing before stale before not_checked."""
     return F.when(F.forall(values, lambda x: x == "fresh"), "fresh").when(F.array_contains(values, "missing"), "missing").when(F.array_contains(values, "stale"), "stale").otherwise("not_checked")

@@ -11,10 +11,16 @@ def read_goldens(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     from quarryline.sources.jsonl import lines
 
     files = spark.read.format("binaryFile").load(path).select(F.lit("golden").alias("source_id"), F.col("path").alias("file_path"), "content")
-    rows = lines(files, keep_tail=True).where(~F.trim("value").startswith("#"))
+    return goldens_of(lines(files, keep_tail=True), schema)
+
+
+def goldens_of(rows: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The same from lines (file_path, line_no, value)."""
+    rows = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     v = rows.withColumn("entry", F.from_json("value", schema)).withColumn("ok", F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT") & F.col("entry.id").isNotNull() & F.col("entry.query").isNotNull())
     bad = v.where(~F.coalesce("ok", F.lit(False)))
-    return v.where("ok").select("entry.*"), bad.select("file_path", (F.col("line_no") + 1).alias("line"), "value")
+    line = (F.col("line_no") + 1).alias("line")
+    return v.where("ok").select("file_path", line, "entry.*"), bad.select("file_path", line, "value")
 
 
 def keyword_check(goldens: DataFrame, results: DataFrame, top_k: int = 10) -> DataFrame:

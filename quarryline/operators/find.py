@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.relax import relaxed_queries
+from quarryline.functions.relax import diagnosis, next_action, refinement, relaxed_queries
+from quarryline.operators import coverage, read
 from quarryline.operators.index import Index
 from quarryline.operators.rank import merge, rank
 from quarryline.operators.recall import analyzed_queries, candidates
@@ -39,3 +40,41 @@ def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: I
     found = recall_with_fallback(queries, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
     ranked = rank(found, q, now, limit=limit, sort=sort, documents=documents)
     return ranked if per_source else merge(ranked, limit=limit, sort=sort)
+
+
+def find_summary(queries: DataFrame, results: DataFrame, sessions: DataFrame, scopes: DataFrame, records: DataFrame) -> DataFrame:
+    """Per query: n_results, scanned_message_count, complete, freshness, next_action, and for none found diagnosis and suggestions.
+
+    ``scopes`` (request_id, requested) are the selectors that were searched, one a source or
+    more; ``records`` the coverage proofs.  All scopes must be proven for the whole to be.
+    """
+    counts = results.groupBy("query_id").agg(F.count("*").alias("n_results"))
+    scanned = sessions.agg(F.coalesce(F.sum("message_count"), F.lit(0)).alias("scanned_message_count"))
+    proven = coverage.stored_coverage(records, scopes)
+    states = proven.agg(F.bool_and("complete").alias("complete"), F.collect_set("freshness").alias("states"), F.count("*").alias("n_scopes"))  # four states at most
+    q = queries.select("query_id", "query").join(counts, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    q = q.crossJoin(F.broadcast(scanned)).crossJoin(F.broadcast(states))  # one row each
+    q = q.withColumn("freshness", coverage.merged_freshness(F.col("states")))
+    none = F.col("n_results") == 0
+    act = next_action(F.col("n_scopes") == 1, F.col("n_results"), F.col("freshness"))
+    tips = F.when(none, refinement(F.col("query")))
+    return q.select(
+        "query_id", "n_results", "scanned_message_count", "complete", "freshness", act.alias("next_action"), F.when(none, diagnosis(F.col("freshness"))).alias("diagnosis"),
+        tips["suggested_queries"].alias("suggested_queries"),
+    )
+
+
+def read_range(requests: DataFrame, messages: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, now: str, before: int = read.BEFORE, after: int = read.AFTER, limit: int = read.MAX_CHARS) -> DataFrame:
+    """Messages round what answers each request (request_id, session_key, query, and seq if that is known).
+
+    A request without an anchor comes as one row with its status and no message.  Texts over
+    ``limit`` are cut to the part round the query.
+    """
+    asked = requests if "seq" in requests.columns else requests.withColumn("seq", F.lit(None).cast("long"))
+    open_ = asked.where("seq is null and query <> ''").select(F.col("request_id").alias("query_id"), "session_key", "query")
+    hits = find(open_, documents, sessions, index, now=now, limit=4, per_source=True)
+    resolved = keep(read.resolve_anchors(asked, hits))
+    anchors = resolved.where("anchor_seq is not null").select(F.col("request_id").alias("anchor_id"), "session_key", F.col("anchor_seq").alias("seq"), F.lit(before).alias("before"), F.lit(after).alias("after"), "query")
+    near = read.neighbourhood(messages, anchors).withColumn("elision", read.elide(F.col("body_text"), F.col("query"), limit))
+    near = near.select(F.col("anchor_id").alias("request_id"), "seq", "role", "timestamp", "elision")
+    return resolved.select("request_id", "session_key", "anchor_seq", "status").join(near, "request_id", "left")

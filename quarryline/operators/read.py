@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quarryline.functions.text import let, query_terms
+from quarryline.functions.text import let, literal_pattern, query_terms
 
 #: Defaults of reads, and sizes of snippets.
 BEFORE, AFTER, PAGE, MAX_CHARS = 2, 2, 40, 800
@@ -96,6 +96,13 @@ def evidence_action(seq: Column, query: Column, source: Column, ref: Column) ->
     )
 
 
+def with_evidence(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """Results with the action that reads their evidence, as struct ``evidence``."""
+    r = results.join(queries.select("query_id", "query"), "query_id")
+    action = evidence_action(F.col("match_seq"), F.col("query"), F.col("source_id"), F.col("session_ref"))
+    return r.withColumn("evidence", action).drop("query")
+
+
 def _units(s: str) -> list[str]:
     """UTF-16 units of a text, so that offsets count as the index's clients count them."""
     data = s.encode("utf-16-le", "surrogatepass")
@@ -166,7 +173,7 @@ def literal_snippet(text: Column, needle: Column) -> Column:
         t, n, at, size = v["t"], v["n"], v["at"], v["size"]
         a, b = F.greatest(at - CONTEXT_BEFORE, F.lit(0)), F.least(at + size + CONTEXT_AFTER, n)
         window = F.substring(t, a + 1, b - a)
-        marked = F.regexp_replace(window, F.concat(F.lit(r"(?iu)(\Q"), v["needle"], F.lit(r"\E)")), F.lit("<mark>$1</mark>"))
+        marked = F.regexp_replace(window, F.concat(F.lit("(?iu)("), literal_pattern(v["needle"]), F.lit(")")), F.lit("<mark>$1</mark>"))
         return F.when(at < 0, F.substring(t, 1, PLAIN)).otherwise(F.concat(F.when(a > 0, "…").otherwise(""), marked, F.when(b < n, "…").otherwise("")))
 
     return let(F.struct(text.alias("t"), F.length(text).alias("n"), (F.instr(F.lower(text), F.lower(needle)) - 1).alias("at"), F.length(needle).alias("size"), needle.alias("needle")), cut)

@@ -54,8 +54,8 @@ def canonical(text: Column, default_source: str = "codex", default_root: str | N
 
 
 def storage_key(s: Column) -> Column:
-    """Canonical JSON: fixed order, absent fields left out."""
-    return F.to_json(F.struct(*(s[f].alias(f) for f in ("kind", "source", "root", "cwd", "fromDate", "toDate"))))
+    """Canonical JSON: fixed order, absent fields left out; null for no selector."""
+    return F.when(s.isNotNull(), F.to_json(F.struct(*(s[f].alias(f) for f in ("kind", "source", "root", "cwd", "fromDate", "toDate")))))
 
 
 def under(path: Column, root: Column) -> Column:

@@ -51,6 +51,14 @@ def transition(before: DataFrame, after: DataFrame, proofs: DataFrame) -> DataFr
     return s.select("source_id", kind.alias("kind"), reason.alias("reason"), F.when(kind == "rejected", F.array().cast("array<string>")).otherwise(F.col("deferred")).alias("deferred"))
 
 
+def same_file_sets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source_id, same): does a source have the same files at both looks?"""
+    a, b = (df.select("source_id", "file_path") for df in (before, after))
+    moved = a.exceptAll(b).unionByName(b.exceptAll(a)).select("source_id").distinct().withColumn("same", F.lit(False))
+    sources = a.unionByName(b).select("source_id").distinct()
+    return sources.join(moved, "source_id", "left").withColumn("same", F.coalesce("same", F.lit(True)))
+
+
 def prune(sessions: DataFrame, hot_paths: DataFrame, cold: DataFrame) -> DataFrame:
     """Sessions with what becomes of them: kept (file is there), retained_cold (archived), removed."""
     hot, arch = hot_paths.select("source_id", "file_path").distinct().withColumn("hot", F.lit(True)), cold.select("native_session_id").distinct().withColumn("cold", F.lit(True))

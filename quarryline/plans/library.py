@@ -59,7 +59,7 @@ def cwds(spark, sf_dir):
 
 @register("inventory_by_cwd", DOC_SQL + " SELECT source_id, cwd, count(*) AS files, min(path_date) AS from_date, max(path_date) AS to_date FROM doc_s GROUP BY 1, 2")
 def by_cwd(spark, sf_dir):
-    return catalog.inventory(docs(spark, sf_dir)[1])
+    return catalog.inventory(docs(spark, sf_dir)[1]).drop("place")
 
 
 def wanted_selectors(s: DataFrame) -> DataFrame:

@@ -109,8 +109,12 @@ def cold_ids(spark: SparkSession, roots: list[str]) -> DataFrame:
     out = None
     for root in roots:
         f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-        f = f.where(F.col("name").rlike(r"\.jsonl(\.zst)?$"))
-        ids = F.regexp_extract_all(F.lower("name"), F.lit(f"({UUID})"), F.lit(1))
-        f = f.where(F.size(ids) > 0).select(F.element_at(ids, -1).alias("native_session_id"))
         out = f if out is None else out.unionByName(f)
-    return out.distinct()
+    return ids_of_names(out)
+
+
+def ids_of_names(names: DataFrame) -> DataFrame:
+    """Distinct native_session_id: the last UUID of each transcript's file name."""
+    names = names.where(F.col("name").rlike(r"\.jsonl(\.zst)?$"))
+    ids = F.regexp_extract_all(F.lower("name"), F.lit(f"({UUID})"), F.lit(1))
+    return names.where(F.size(ids) > 0).select(F.element_at(ids, -1).alias("native_session_id")).distinct()
