@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_folder, stash
+from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_path, stash
 
 GRAM = 32
 _SEGMENT = 1 << 20
@@ -220,9 +220,9 @@ def _scan(rows: DataFrame, crowd: int) -> DataFrame:
     kind = F.col("kind").bitwiseAND(F.lit(OLD - 1))
     marked = F.max((kind == MARKER).cast("int")).over(same_key) > 0
     run = F.struct("run", "run2")
-    flagged = rows.withColumns({
-        "first_row": F.first("row").over(same_run),
-        "first_place": F.first("place").over(same_run),
+    # The finer order first: it serves both windows.
+    flagged = rows.withColumns({"first_row": F.first("row").over(same_run), "first_place": F.first("place").over(same_run)})
+    flagged = flagged.withColumns({
         "mixed": F.min(run).over(same_key) != F.max(run).over(same_key),
         "crowded": marked | (F.count("*").over(same_key) > crowd),
         "touched": F.min("kind").over(same_key) < OLD,
@@ -269,17 +269,18 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame, *, last: bool = False) -> None:
         """docs: (row, text), no text shorter than a window.  ``last``: nothing follows, so the batch needs no level."""
-        dealt = docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).repartition(self.buckets, "key")
-        batch = self._write(dealt)
-        rows = self.spark.table(batch)
+        held = shared_path(self.spark)
+        docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).write.option("compression", "zstd").parquet(held)
+        batch = self.spark.read.schema(ENTRIES).parquet(held)
+        rows = batch.repartition(self.buckets, "key")
         # Of a level, only keys that the batch has matter; its bucket is probed where it lies.
-        keys = rows.select("key").hint("shuffle_hash")
+        keys = batch.select("key").repartition(self.buckets, "key").hint("shuffle_hash")
         for _, name in self.levels:
             level = self._level(name).join(keys, "key", "left_semi")
             rows = rows.unionByName(level.withColumn("kind", (F.col("kind") + OLD).cast("int")))
         found = _scan(rows, self.crowd)
         name = self._write(found.where("matched") if last else found, "matched")
-        self._drop(batch)
+        remove_folder(self.spark, held)
         self.found.append(name)
         if last:
             return
@@ -318,7 +319,7 @@ def save_bucketed(rows: DataFrame, buckets: int, key: str, *parts: str) -> tuple
 
     Rows that are already dealt to the buckets are not moved.
     """
-    path = shared_folder(rows.sparkSession)
+    path = shared_path(rows.sparkSession)
     name = f"quarryline_{uuid.uuid4().hex}"
     writer = rows.write.format("parquet").bucketBy(buckets, key).sortBy(key)
     writer = writer.partitionBy(*parts) if parts else writer

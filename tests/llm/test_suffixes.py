@@ -105,3 +105,19 @@ def test_query_on_small_tables(spark):
     got = queries.op9_suffix_dedup(spark, sf).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
     assert sum(r["n_removed"] for r in got) > 0
+
+
+def test_levels_are_not_shuffled(spark):
+    """What is scanned of the levels is neither dealt out again nor sorted twice."""
+    rows = spark.range(3000).selectExpr("encode(cast(id % 300 as string), 'UTF-8') key", "id run", "id run2", "id row", "id place", "cast(0 as int) kind")
+    index = suffixes.SuffixIndex(spark, 8)
+    try:
+        level = index._level(index._write(suffixes._scan(rows.repartition(8, "key"), 100), "matched"))
+        keys = rows.select("key").repartition(8, "key").hint("shuffle_hash")
+        both = rows.repartition(8, "key").unionByName(level.join(keys, "key", "left_semi"))
+        plan = suffixes._scan(both, 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        index.close()
+    above, _, below = plan.partition("Union")
+    assert "Exchange" not in above and above.count("Sort ") == 1
+    assert below.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in below
