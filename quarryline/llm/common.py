@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.storage import remove_folder, shared_path
+
+__all__ = ["remove_folder", "shared_path"]
+
 #: Words as the mixing, rule and SimHash operators see them: runs of anything but blanks.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 #: Words as the licence and benchmark operators see them: runs of 0-9, a-z and non-ASCII.
@@ -36,22 +38,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it; only where nothing names one, as in local
-    runs, a folder of this machine is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return f"{base.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """The session with these settings, and afterwards with those it had."""
@@ -74,7 +60,7 @@ CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 def stash(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again; cuts the lineage."""
-    path = shared_folder(df.sparkSession)
+    path = shared_path(df.sparkSession)
     with settings(df.sparkSession, CLEAN):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -112,13 +98,6 @@ def join_counted(rows: DataFrame, labels: DataFrame, key: str, count: str) -> Da
     return there.unionByName(rest.join(labels.where(F.col(count) <= most).drop(count), key))
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of this library's own in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_folder, stash
+from quarryline.llm.common import CLEAN, join_counted, remove_folder, settings, shared_path, stash
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -241,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
 
     def save(df):
-        path = shared_folder(spark)
+        path = shared_path(spark)
         with settings(spark, CLEAN):
             df.write.parquet(path)
         back = spark.read.schema("u bigint, v bigint").parquet(path)

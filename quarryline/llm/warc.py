@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import shared_folder, stash, trained_dictionary
+from quarryline.llm.common import shared_path, stash, trained_dictionary
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -279,7 +279,7 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = True
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back."""
-    folder = shared_folder(pages.sparkSession)
+    folder = shared_path(pages.sparkSession)
     return read_archives(write_archives(pages, folder, **options), folder, with_payload=False)
 
 

@@ -5,8 +5,8 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from quarryline.llm import queries
 
-from .test_secrets import expected
-from .test_simhash import brute_components, brute_fp
+from .test_jaccard import brute
+from .test_secrets import masked
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,15 +15,6 @@ def plain(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
-def masked(text):
-    out, at = [], 0
-    for s, _, e in expected(text)[1]:
-        if s > at or not out and s == at:
-            out += [text[at:s], "[SECRET]"]
-        at = max(at, e)
-    return "".join(out) + text[at:]
-
-
 def test_stages_match_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = []
@@ -34,8 +25,8 @@ def test_stages_match_brute_force(spark):
     good = {r["doc_id"] for r in queries.op1_quality_classifier(spark, SF).where("predicted = 1").collect()}
     assert set(kept[0]) == good
     ids = sorted(kept[0])
-    roots = brute_components(ids, [brute_fp(kept[0][i]["text"]) for i in ids])
-    assert set(kept[1]) == set(roots)
+    # The stage's rule is a Jaccard similarity of 0.8 over five words, not op4's digest rule.
+    assert set(kept[1]) == {ids[i] for i in brute([kept[0][i]["text"] for i in ids])}
     grams = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = plain(r["text"])

@@ -1,12 +1,17 @@
 """Quality classifier, mixing and decontamination: odd rows, and ways that must agree."""
 
+import math
+import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
+import zstandard
 from pyspark.sql import functions as F
 
 from quarryline.llm import decontaminate, mixing, queries
+from quarryline.llm.common import trained_dictionary
 from quarryline.llm.quality import fit_compression_model
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +41,52 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
 
 
+def test_scores_match_brute_force(spark):
+    """Sizes under the two dictionaries, piece by piece, and the curve, for every text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_compression_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(model.good) > 0 and len(model.bad) > 0 and abs(len(model.good) - len(model.bad)) < 0.2 * len(model.good)
+    packers = [zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in docs.select("text", model.score(F.col("text")).alias("score")).collect():
+        data = (r["text"] or "").encode()
+        good, bad = (sum(len(p.compress(data[i : i + model.piece_bytes])) for i in range(0, len(data), model.piece_bytes)) for p in packers)
+        x = (bad - good) / (bad + good) if bad + good else 0.0
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * x + model.intercept)))) < 1e-6
+
+
+def test_few_samples_give_trained_dictionaries():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    line = lambda k: " ".join(rng.choice(words) for _ in range(k)).encode()
+    magic = b"\x37\xa4\x30\xec"  # of trained dictionaries
+    for n, k in ((3, 300), (20, 60), (200, 60), (3000, 20)):
+        d = trained_dictionary([line(k) for _ in range(n)], 65536)
+        assert d[:4] == magic and len(d) <= max(256, n * k)
+    assert trained_dictionary([b"one"], 65536) == b"one"
+    assert trained_dictionary([b"same " * 5] * 3, 65536)
+
+
+def test_size_of_the_window_set_is_bounded_by_what_is_reckoned():
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([3, 30, 90]))).encode()) for i in range(2000)]
+    tracemalloc.start()
+    held = decontaminate.WindowSet(items, 10)
+    took = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    sizes = [len(t.split()) for _, t in items]
+    need = sum(max(n - 9, 1) for n in sizes) * decontaminate.WINDOW_BYTES + sum(sizes) * decontaminate.WORD_BYTES + sum(len(t) for _, t in items) + len(items) * decontaminate.ITEM_BYTES
+    assert sum(map(len, held.windows.values())) > 50_000 and need / 3 < took <= need
+
+
+def test_benchmark_ids_may_be_strings(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(1, text), (2, "other")], "doc_id long, text string").withColumn("hits", F.lit("clash"))
+    b = spark.createDataFrame([("gsm-2", text), ("gsm-10", text), (None, text)], "item_id string, text string")
+    for limit in (16 << 20, 0):
+        got = {r["doc_id"]: r["hits"]["items"] for r in decontaminate.find_contamination(d, b, broadcast_bytes=limit).collect()}
+        assert got == {1: ["gsm-10", "gsm-2"], 2: []}
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 50000), (3, "word " * 50000), (None, "x")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     none = spark.createDataFrame([], "doc_id long, quality int")
