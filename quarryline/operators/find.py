@@ -18,9 +18,13 @@ def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: Dat
 
     A document that several forms find counts once, for the first of them.
     """
-    strict = keep(candidates(queries, documents, sessions, index, texts=False, **options))
-    missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    forms = missed.select(*(c for c in missed.columns if c != "query"), F.posexplode(relaxed_queries(F.col("query"))).alias("form", "query"))
+    strict = candidates(queries, documents, sessions, index, texts=False, **options)
+    open_ = queries.where(F.size(relaxed_queries(F.col("query"))) > 0)
+    if open_.isEmpty():  # no query has other forms
+        return strict
+    strict = keep(strict)
+    missed = open_.join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    forms = missed.select(*(c for c in missed.columns if c not in ("query", "a")), F.posexplode(relaxed_queries(F.col("query"))).alias("form", "query"))
     forms = keep(forms).withColumns({"whole_id": F.col("query_id"), "query_id": F.concat_ws("\x01", F.col("query_id").cast("string"), F.col("form").cast("string"))})
     if forms.isEmpty():
         return strict
@@ -36,8 +40,10 @@ def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: Dat
 
 def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, now: str, limit: int = 10, sort: str = "relevance", scope: Column | None = None, exclude: DataFrame | None = None, per_source: bool = False) -> DataFrame:
     """Ranked sessions of each query (query_id, query); merged over the sources unless ``per_source``."""
-    q = analyzed_queries(queries)
-    found = recall_with_fallback(queries, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
+    q = keep(analyzed_queries(queries))
+    found = recall_with_fallback(q, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
+    if sort != "relevance":  # these look at the candidates twice
+        found = keep(found)
     ranked = rank(found, q, now, limit=limit, sort=sort, documents=documents)
     return ranked if per_source else merge(ranked, limit=limit, sort=sort)
 

@@ -30,7 +30,7 @@ def analyzed_queries(queries: DataFrame) -> DataFrame:
 
 
 def term_documents(terms: DataFrame, index: Index) -> DataFrame:
-    """(term, doc_id, f, df) of distinct query terms: weighted frequency and document frequency.
+    """(token, doc_id, f) of distinct query terms and the documents that hold them: the weighted frequency.
 
     Each distinct term is looked up once however many queries share it.
     """
@@ -44,8 +44,7 @@ def term_documents(terms: DataFrame, index: Index) -> DataFrame:
     multi = moved.groupBy("token", "doc_id", "field").agg(F.first("k").alias("k"), F.collect_list("starts").alias("all"))
     both = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
     multi = multi.where("size(all) = k").select("token", "doc_id", "field", F.size(both).alias("count")).where("count > 0")
-    f = single.unionByName(multi).groupBy("token", "doc_id").agg(F.sum(F.col("count") * weight).alias("f"))
-    return f.join(f.groupBy("token").agg(F.count("*").alias("df")), "token")
+    return single.unionByName(multi).groupBy("token", "doc_id").agg(F.sum(F.col("count") * weight).alias("f"))
 
 
 def scored(queries: DataFrame, index: Index) -> DataFrame:
@@ -54,14 +53,14 @@ def scored(queries: DataFrame, index: Index) -> DataFrame:
     The rarest term's documents are the candidates; the other terms are joined to
     these only, so a frequent word costs no more than the rare one it stands beside.
     """
-    terms = keep(queries.where("a.mode = 'terms'").select("query_id", F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token")))
+    terms = queries.where("a.mode = 'terms'").select("query_id", F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token"))
     td = keep(term_documents(terms, index))
-    df = td.groupBy("token").agg(F.first("df").alias("df"))
+    df = td.groupBy("token").agg(F.count("*").alias("df"))
     known = terms.join(df, "token")
     rank = Window.partitionBy("query_id").orderBy("df", "token")
     known = known.withColumns({"place": F.row_number().over(rank), "known": F.count("*").over(Window.partitionBy("query_id"))}).where("known = n_terms")
     rare = known.where("place = 1").select("query_id", "n_terms", "token").join(td.select("token", "doc_id"), "token").drop("token")
-    pairs = rare.join(known.select("query_id", "token"), "query_id").join(td, ["token", "doc_id"])
+    pairs = rare.join(known.select("query_id", "token", "df"), "query_id").join(td, ["token", "doc_id"])
     pairs = pairs.join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.corpus))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(1e-6)

@@ -96,7 +96,7 @@ def publish(tables: dict[str, DataFrame], base: str, violations: DataFrame | Non
 
 def current(spark, base: str) -> str:
     """Path of the version in force."""
-    return f"{base}/versions/" + spark.read.parquet(f"{base}/current").orderBy(F.desc("published_at")).first()["version"]
+    return f"{base}/versions/" + spark.read.parquet(f"{base}/current").orderBy(F.desc("published_at"), F.desc("version")).first()["version"]
 
 
 def add_cold_roots(registry: DataFrame, new: DataFrame) -> DataFrame:

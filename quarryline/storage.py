@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; where nothing names a folder, as in local runs, one of this machine."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    Where nothing names a folder, a local session gets one of this machine; on a cluster
+    executors would not see it, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarryline-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
-    return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear_quietly, spark)
+    _made.append(f"{base.rstrip('/')}/step-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -25,3 +38,22 @@ def keep(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the library's own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the steps of this process have written; nothing that reads it may be used afterwards."""
+    while _made:
+        remove_folder(spark, _made.pop())
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        clear(spark)
+    except Exception:  # the session is gone, and its folder is the cluster's to clear
+        _made.clear()

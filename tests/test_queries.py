@@ -33,7 +33,7 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
     if name not in ORACLES:
-        assert name == "find_snippets" and got
+        assert name == "find_snippets" and got  # its windows by terms are held against fixed cases in test_rank
         return
     rel = duck.sql("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({ORACLES[name]})")
     assert got == sorted((tuple(map(plain, r)) for r in rel.fetchall()), key=repr)

@@ -11,7 +11,7 @@ from quarryline.operators.evaluate import keyword_check, read_goldens, scoreboar
 from quarryline.sources import adapters, jsonl
 from quarryline.streaming import sessions as stream
 
-UUID = "10000000-0000-4000-8000-000000000001"
+UUID = "5b1d0c2e-91a4-4f61-8b1c-3d1e5a7f9021"
 
 
 def write(path, data):
@@ -211,3 +211,50 @@ def test_index_sink_equals_rebuild(spark, tmp_path):
 
     key = lambda df: sorted(tuple(map(str, r)) for r in df.select("term", "doc_id", "field", "positions").collect())
     assert key(spark.read.parquet(f"{tmp_path}/postings")) == key(build_index(docs).postings.withColumn("doc_id", F.col("doc_id")))
+
+
+def test_streamed_index_can_be_read(spark, tmp_path):
+    from quarryline.operators.index import build_index, term_stats
+
+    docs = spark.createDataFrame([(str(i), f"text number {i % 3} text", "", "", "", "") for i in range(6)], "doc_id string, body_text string, title_text string, summary_text string, compact_text string, reasoning_text string")
+    sink = stream.index_sink(str(tmp_path))
+    for n in (0, 1, 1):
+        sink(docs.where(F.col("doc_id").cast("int") % 2 == n), n)
+    index, df = stream.streamed_index(spark, str(tmp_path))
+    whole = build_index(docs)
+    assert tuple(index.corpus.first()) == tuple(whole.corpus.first())
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in term_stats(whole).collect()}
+
+
+def test_stream_of_sessions_in_several_files(spark, tmp_path):
+    """Offsets count per file, repeats do not count, and summaries stay distinct and in order."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [f.split()[0] for f in stream.EVENTS.split(", ")]
+    row = lambda path, at, role, text: dict(zip(columns, ("codex", "codex:s", path, at, role, f"2024-01-0{1 + at % 9}", text)))
+    first = [row("/a", i, "user", f"a{i}") for i in range(3)] + [row("/a", 3, "compact", "so  far"), row("/a", 4, "compact", "so far")]
+    second = [row("/b", i, "assistant", f"b{i}") for i in range(3)] + [row("/b", 3, "compact", "and more")]
+    inbox, out, log = tmp_path / "in", tmp_path / "out", tmp_path / "log"
+    for n, rows in enumerate((first, second + first, second)):
+        write(inbox / f"{n}.json", "".join(json.dumps(r) + "\n" for r in rows))
+        events = stream.drop_repeats(stream.read_segments(spark, str(inbox)))
+        q = stream.reduce_sessions(events).writeStream.outputMode("update").option("checkpointLocation", str(log)).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{out}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.parquet(str(out)).orderBy(F.desc("next_seq"), F.desc(F.length("compact_text"))).first()
+    assert (got["next_seq"], got["first_user"], got["last_assistant"], got["compact_text"]) == (6, "a0", "b2", "so far | and more")
+
+
+def test_syncs_from_version_to_version(spark, tmp_path):
+    """A first sync by a version on disk, a second that finds nothing new."""
+    from quarryline.operators import refresh
+
+    lines = "".join(json.dumps(o) + "\n" for o in ({"type": "user", "sessionId": "c1", "cwd": "/c", "timestamp": "2024-01-01T00:00:00Z", "content": "hello"}, {"type": "assistant", "sessionId": "c1", "content": "hi"}))
+    row = ("claude-code", "/l", "/l/x.jsonl", len(lines), 1.0, lines.encode(), None)
+    files = spark.createDataFrame([row], "source_id string, source_root string, file_path string, size long, mtime_ms double, content binary, error string")
+    first = refresh.refresh(files, refresh.empty_tables(spark))
+    refresh.published(first.tables, str(tmp_path / "base"))
+    again = refresh.refresh(files, refresh.current_tables(spark, str(tmp_path / "base")))
+    assert [(r["added"], r["skipped"]) for r in (first.report.first(), again.report.first())] == [(1, 0), (0, 1)]
+    assert again.tables["documents"].count() == 3 and again.tables["coverage"].count() == 1
+    bad = files.withColumns({"error": F.lit("gone"), "content": F.lit(None).cast("binary")})
+    strict = refresh.refresh(bad, again.tables)
+    assert strict.status == "failed" and strict.tables["coverage"].isEmpty() and strict.tables["sessions"].count() == 1
