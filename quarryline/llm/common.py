@@ -91,6 +91,7 @@ def join_counted(rows: DataFrame, labels: DataFrame, key: str, count: str) -> Da
     partitions.  Their labels, of bounded width, go to the tasks, so their rows are not dealt by the key.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = stash(labels)
     most = max(32, (labels.agg(F.sum(count)).first()[0] or 0) // (4 * parts))
     hot = labels.where(F.col(count) > most).drop(count)
     there = rows.join(F.broadcast(hot), key)

@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = stash(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n_rows")))
     roots = components(links(nodes, distance=distance))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = grouped.join(named, "root").select("fp", "component_id")
+    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    joined = join_counted(grouped.select("root", "fp"), named, "root", "n").select("fp", "component_id")
     label = nodes.join(joined, "fp", "left").select("fp", "n_rows", F.coalesce("component_id", "least").alias("component_id"))
     return join_counted(marked, label, "fp", "n_rows").select("id", "fp", "component_id")
