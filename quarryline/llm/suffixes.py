@@ -5,7 +5,7 @@ earlier: in an earlier document, or earlier in the same one.
 
 Equal texts are settled by their SHA-256: all but the first are removed whole, and
 only distinct texts go on.  These are numbered in the order of their first id, and
-come in batches of rising number, each of about ``batch_bytes``, eight at least.
+come in batches of rising number, each of about ``batch_bytes``, six at least.
 
 A batch gets a sparse suffix array: of each run of windows that agree on their
 smallest 32-byte string, the suffix that starts with that string is kept, and the
@@ -270,7 +270,7 @@ class SuffixIndex:
     def add(self, docs: DataFrame, *, last: bool = False) -> None:
         """docs: (row, text), no text shorter than a window.  ``last``: nothing follows, so the batch needs no level."""
         held = shared_path(self.spark)
-        docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).write.option("compression", "zstd").parquet(held)
+        docs.select("row", "text").mapInArrow(_build(self.length), ENTRIES).write.parquet(held)
         batch = self.spark.read.schema(ENTRIES).parquet(held)
         rows = batch.repartition(self.buckets, "key")
         # Of a level, only keys that the batch has matter; its bucket is probed where it lies.
@@ -476,7 +476,7 @@ def remove_repeats(
     own = docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), text.alias("text"))
     slim = stash(own.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
-    batches = batches or max(8, -(-total // batch_bytes))
+    batches = batches or max(6, -(-total // batch_bytes))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     numbered = _number(slim, length, batches)
     index = SuffixIndex(spark, buckets, length)

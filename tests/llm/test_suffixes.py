@@ -64,6 +64,7 @@ def test_edge_cases(spark):
     rows = base + [(900, None), (901, ""), (902, "a" * 99), (903, "a" * 100), (904, "a" * 350), (905, "ab" * 200), (None, text), (None, text + "!"), (7, text), (7, text), (7, text[5:] + "other"), (-3, text)]
     check(spark, rows)
     check(spark, rows, batches=1)
+    check(spark, rows, batches=9)  # levels of four, two and one
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeats(empty).count() == 0
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quarryline_")]
