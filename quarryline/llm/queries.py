@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, fim, html, licenses, mixing, rules, secrets, simhash, suffixes, warc
+from quarryline.llm import blocks, decontaminate, fim, html, licenses, mixing, rules, secrets, simhash, suffixes, warc
 from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -89,6 +89,11 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.assemble(fim.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.withColumnRenamed("id", "doc_id").select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc_archives": op10_warc_archives,
+    "op11_passage_dedup": op11_passage_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
