@@ -91,3 +91,17 @@ def test_bits_come_back_in_order():
     assert [r["bucket"] for r in sent] == list(range(9))
     back = keys.returned([{"bucket": r["bucket"], "bits": r["many"]} for r in sent])
     assert (back == keys.many).all()
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab\0é \t\n\x0b\x1f\x85") for _ in range(rng.randint(0, 120))).encode() for _ in range(200)]
+    texts += [b"", b" ", b"x" * 5000, b"x" * 4999 + b"y"]
+    h, sizes = blocks.word_hashes(texts)
+    words = [t.split() for t in texts]
+    assert list(sizes) == list(map(len, words))
+    of = {}
+    for w, x in zip((w for ws in words for w in ws), h.tolist()):
+        assert of.setdefault(w, x) == x
+    assert len(set(of.values())) == len(of) > 700
+    assert blocks.word_hashes([])[0].size == 0
