@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import blocks, decontaminate, fim, html, licenses, mixing, rules, secrets, simhash, suffixes, warc
+from quarryline.llm import alignment, blocks, decontaminate, fim, html, licenses, mixing, rules, secrets, simhash, suffixes, warc
 from quarryline.llm.common import held_out, stash, table
 from quarryline.llm.quality import fit_compression_model
 
@@ -99,6 +99,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, vocabularies: str = "/opt/tokenizers") -> DataFrame:
+    held = alignment.Tokenizers.read(f"{vocabularies}/byte_bpe_50k.json", f"{vocabularies}/piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -112,6 +117,7 @@ QUERIES = {
     "op10_warc_archives": op10_warc_archives,
     "op11_passage_dedup": op11_passage_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.MIXING_SQL,
