@@ -38,10 +38,10 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.chunks import chunked
+from quarryline.llm.chunks import chunked, stash_in_batches
 from quarryline.llm.common import stash
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens of A that are laid out at once.
 SLICE_TOKENS = 1 << 19
 #: Fixed value: how the byte-level BPE splits a text before its merges.
@@ -275,7 +275,8 @@ def encode(docs: DataFrame, held: Tokenizers, *, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     counted = ", ".join(f"{c} array<bigint>" for c in _COUNTED)
     schema = f"chunk bigint, ids array<{kind}>, a array<array<int>>, b array<array<int>>, {counted}, groups_sha256 array<string>, pairs array<struct<a:int,b:int,n:bigint>>"
-    return stash(chunked(docs, id_col, text_col, chunk_bytes).select("chunk", "ids", "texts").mapInArrow(_encoder(sent), schema))
+    texts = chunked(docs, id_col, text_col, chunk_bytes).select("chunk", "ids", "texts")
+    return stash_in_batches(texts.mapInArrow(_encoder(sent), schema), 1)
 
 
 def pair_counts(encoded: DataFrame) -> DataFrame:

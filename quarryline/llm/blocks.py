@@ -36,13 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.chunks import chunked
-from quarryline.llm.common import stash
+from quarryline.llm.chunks import chunked, stash_in_batches
 
 #: For executors with 1 GB a core.  A bucket gets about CHUNK_BYTES * BUCKET_BYTES / (6 * all bytes) fingerprints
 #: of a chunk in one row; 64 MB and 256 MB (some 3 GB a core) keep that above 20 at 100 TB.
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 SENT = "bucket int, chunk bigint, keys binary, many binary, ours binary"
 BITS = "chunk bigint, bucket int, bits binary"
 
@@ -278,10 +277,10 @@ def remove_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = chunked(docs, id_col, text_col, chunk_bytes)
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = _Plan(window, max(2 * parts, -(-total // bucket_bytes)))
-    hits = stash(_come_back(texts.select("chunk", "texts").mapInArrow(plan.probe, SENT), np.uint32, "hits"))
+    plan = _Plan(window, max(4 * parts, -(-total // bucket_bytes)))
+    hits = stash_in_batches(_come_back(texts.select("chunk", "texts").mapInArrow(plan.probe, SENT), np.uint32, "hits"), 4)
     open_ = texts.select("chunk", "texts").join(hits, "chunk")
-    repeats = stash(_come_back(open_.mapInArrow(plan.extend, SENT), np.uint64, "repeats"))
+    repeats = stash_in_batches(_come_back(open_.mapInArrow(plan.extend, SENT), np.uint64, "repeats"), 4)
     known = repeats.join(hits, "chunk")
     kind = docs.schema[id_col].dataType.simpleString()
     result = f"{{}} {kind}, n_words bigint, n_removed bigint, span_starts array<bigint>, span_ends array<bigint>, kept_sha256 string"

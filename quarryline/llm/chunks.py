@@ -8,7 +8,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import stash
+from quarryline.llm.common import settings, stash
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash_in_batches(df: DataFrame, rows: int) -> DataFrame:
+    """``stash``, with so many rows at most on their way to a worker at once."""
+    with settings(df.sparkSession, {BATCH: str(rows)}):
+        return stash(df)
 
 
 def _packer(chunk_bytes: int):
@@ -44,4 +52,5 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Da
     """
     key, text = F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")
     kind = docs.schema[id_col].dataType.simpleString()
-    return stash(docs.select(key, text).mapInArrow(_packer(chunk_bytes), f"chunk bigint, n_bytes bigint, ids array<{kind}>, texts array<binary>"))
+    packed = docs.select(key, text).mapInArrow(_packer(chunk_bytes), f"chunk bigint, n_bytes bigint, ids array<{kind}>, texts array<binary>")
+    return stash_in_batches(packed, 512)
