@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quarryline.llm.chunks import chunked, stash_in_batches
 from quarryline.llm.common import stash
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens of A that are laid out at once.
 SLICE_TOKENS = 1 << 19
 #: Fixed value: how the byte-level BPE splits a text before its merges.
@@ -86,6 +86,11 @@ class Tokenizers:
             out.append(b"" if model.is_control(i) or model.is_unknown(i) else whole)
         return pa.array(out, pa.binary())
 
+    @cached_property
+    def width(self) -> str:
+        """How an id is packed."""
+        return "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+
     @cached_property
     def _a(self) -> tiktoken.Encoding:
         return tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=self.a_entries, special_tokens={})
@@ -156,9 +161,16 @@ def _encoded_chunk(t: Tokenizers, number: int, ids: pa.Array, texts: list[bytes]
         pairs.append(layout.pairs())
     found = pa.concat_tables(pairs).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
     pairs_row = pa.StructArray.from_arrays([found[c].combine_chunks() for c in ("a", "b", "n")], ["a", "b", "n"])
-    rows = [ids, a, b, *(pa.array(c, pa.int64()) for c in np.concatenate(counts, axis=1)), pa.array(digests, pa.string()), pairs_row]
+    rows = [ids, *(pa.array(c, pa.int64()) for c in np.concatenate(counts, axis=1)), pa.array(digests, pa.string()), pairs_row]
     held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows]
-    return pa.record_batch([pa.array([number]), *held], ["chunk", "ids", "a", "b", *_COUNTED, "groups_sha256", "pairs"])
+    packed = [pa.array([np.concatenate(x).astype(t.width).tobytes()], pa.binary()) for x in sides]
+    return pa.record_batch([pa.array([number]), *packed, *held], ["chunk", "a", "b", "ids", *_COUNTED, "groups_sha256", "pairs"])
+
+
+def _unpacked(t: Tokenizers, ids: bytes, sizes: pa.Array) -> pa.ListArray:
+    """Lists of token ids by document."""
+    ends = np.concatenate(([0], np.cumsum(sizes.to_numpy())))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, t.width).astype(np.int32)))
 
 
 def _places(tokens: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,9 +263,10 @@ def _finisher(sent):
         code, n, best = code[order], counts["n"].to_numpy()[order], counts["best"].to_numpy()[order]
         out = []
         for row in range(len(encoded)):
-            held = {c: encoded[c][row].values for c in encoded.column_names if c != "chunk"}
+            held = {c: encoded[c][row].values for c in ("ids", *_COUNTED, "groups_sha256")}
+            a, b = (_unpacked(t, encoded[c][row].as_py(), held[f"n_{c}"]) for c in ("a", "b"))
             sums: tuple[list, list] = ([], [])
-            for _, _, layout in _slices(t, held["a"], held["b"]):
+            for _, _, layout in _slices(t, a, b):
                 at = np.searchsorted(code, layout.link_a.astype(np.int64) << 32 | layout.link_b)
                 for side, value in zip(sums, (best, n)):
                     side.append(layout.sums(value[at]))
@@ -268,13 +281,13 @@ def _finisher(sent):
 def encode(docs: DataFrame, held: Tokenizers, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Documents by chunk, written to the shared folder.
 
-    (chunk, ids, a, b, n_a, n_b, n_groups, n_links, groups_sha256, pairs): lists with an entry for each
-    document, ``a`` and ``b`` of token ids; ``pairs`` counts the chunk's links by id pair.
+    (chunk, a, b, ids, n_a, n_b, n_groups, n_links, groups_sha256, pairs): all token ids of a chunk, packed, and lists
+    with an entry for each document; ``pairs`` counts the chunk's links by id pair.
     """
     sent = docs.sparkSession.sparkContext.broadcast(held)
     kind = docs.schema[id_col].dataType.simpleString()
     counted = ", ".join(f"{c} array<bigint>" for c in _COUNTED)
-    schema = f"chunk bigint, ids array<{kind}>, a array<array<int>>, b array<array<int>>, {counted}, groups_sha256 array<string>, pairs array<struct<a:int,b:int,n:bigint>>"
+    schema = f"chunk bigint, a binary, b binary, ids array<{kind}>, {counted}, groups_sha256 array<string>, pairs array<struct<a:int,b:int,n:bigint>>"
     texts = chunked(docs, id_col, text_col, chunk_bytes).select("chunk", "ids", "texts")
     return stash_in_batches(texts.mapInArrow(_encoder(sent), schema), 1)
 
