@@ -4,7 +4,7 @@ A text (with a space before it) is encoded by A, a byte-level BPE, and by B, a B
 pieces.  Tokens are bytes, so both cut the text's bytes, and an A and a B token are linked
 wherever their bytes overlap.  The offsets where both end cut the tokens into groups.
 
-Documents come in chunks of bounded size, are encoded once, and their ids are written.
+Documents are encoded once, in chunks of bounded size, and their packed ids are written.
 Inside a chunk all work is on columns: token lists are flattened with their parents'
 numbers, lengths are summed up within each document to end offsets, and the ends of both
 sides meet in a hash join on (document, end), whose rows are the ends of groups.  A
@@ -35,10 +35,11 @@ import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 import tokenizers
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.chunks import chunked, stash_in_batches
+from quarryline.llm.chunks import keyed, packer, stash_in_batches
 from quarryline.llm.common import stash
 
 CHUNK_BYTES = 4 << 20
@@ -123,10 +124,10 @@ def _loaded(held: Tokenizers) -> Tokenizers:
     return held
 
 
-def _encoder(sent):
+def _encoder(sent, chunk_bytes: int):
     def encoded(batches):
         t = _loaded(sent.value)
-        for batch in batches:
+        for batch in packer(chunk_bytes)(batches):
             for number, ids, texts in zip(batch["chunk"].to_pylist(), batch["ids"], batch["texts"]):
                 yield _encoded_chunk(t, number, ids.values, texts.as_py())
 
@@ -163,14 +164,15 @@ def _encoded_chunk(t: Tokenizers, number: int, ids: pa.Array, texts: list[bytes]
     pairs_row = pa.StructArray.from_arrays([found[c].combine_chunks() for c in ("a", "b", "n")], ["a", "b", "n"])
     rows = [ids, *(pa.array(c, pa.int64()) for c in np.concatenate(counts, axis=1)), pa.array(digests, pa.string()), pairs_row]
     held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows]
-    packed = [pa.array([np.concatenate(x).astype(t.width).tobytes()], pa.binary()) for x in sides]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    packed = [pa.array([pack(np.concatenate(x).astype(t.width).tobytes())], pa.binary()) for x in sides]
     return pa.record_batch([pa.array([number]), *packed, *held], ["chunk", "a", "b", "ids", *_COUNTED, "groups_sha256", "pairs"])
 
 
 def _unpacked(t: Tokenizers, ids: bytes, sizes: pa.Array) -> pa.ListArray:
     """Lists of token ids by document."""
     ends = np.concatenate(([0], np.cumsum(sizes.to_numpy())))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, t.width).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(zstandard.decompress(ids), t.width).astype(np.int32)))
 
 
 def _places(tokens: pa.Array, table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,8 +290,7 @@ def encode(docs: DataFrame, held: Tokenizers, *, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     counted = ", ".join(f"{c} array<bigint>" for c in _COUNTED)
     schema = f"chunk bigint, a binary, b binary, ids array<{kind}>, {counted}, groups_sha256 array<string>, pairs array<struct<a:int,b:int,n:bigint>>"
-    texts = chunked(docs, id_col, text_col, chunk_bytes).select("chunk", "ids", "texts")
-    return stash_in_batches(texts.mapInArrow(_encoder(sent), schema), 1)
+    return stash_in_batches(keyed(docs, id_col, text_col).mapInArrow(_encoder(sent, chunk_bytes), schema), 512)
 
 
 def pair_counts(encoded: DataFrame) -> DataFrame:

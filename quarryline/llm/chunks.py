@@ -19,7 +19,9 @@ def stash_in_batches(df: DataFrame, rows: int) -> DataFrame:
         return stash(df)
 
 
-def _packer(chunk_bytes: int):
+def packer(chunk_bytes: int):
+    """Batches (id, text) to rows (chunk, n_bytes, ids, texts)."""
+
     def packed(batches):
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
@@ -45,12 +47,16 @@ def _packer(chunk_bytes: int):
     return packed
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of documents, texts as bytes; null texts are empty."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, n_bytes, ids, texts) of documents, written to the shared folder; null texts are empty.
+    """(chunk, n_bytes, ids, texts) of documents, written to the shared folder.
 
     A chunk holds ``chunk_bytes`` of text at most, or one longer document.
     """
-    key, text = F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = docs.select(key, text).mapInArrow(_packer(chunk_bytes), f"chunk bigint, n_bytes bigint, ids array<{kind}>, texts array<binary>")
+    packed = keyed(docs, id_col, text_col).mapInArrow(packer(chunk_bytes), f"chunk bigint, n_bytes bigint, ids array<{kind}>, texts array<binary>")
     return stash_in_batches(packed, 512)
