@@ -29,26 +29,44 @@ def classify_files(scan: DataFrame, state: DataFrame) -> DataFrame:
     return j.withColumns({"action": action, "reason": F.when(action == "full", reason)})
 
 
-def transition(before: DataFrame, after: DataFrame, proofs: DataFrame) -> DataFrame:
-    """Per source: did its files stay put between two looks (stable, append_only, deferred, rejected)?
+#: What rules out that a source stayed as it was, first of all what weighs most.
+REJECTED = ("source_file_set_changed", "non_codex_source_changed", "source_not_append_only", "projected_prefix_not_proven")
+
 
-    Files: source_id, file_path, size, mtime_ms; ``proofs``: file_path, prefix_matches, was_indexed, projected.
+def file_transitions(before: DataFrame, after: DataFrame, proofs: DataFrame) -> DataFrame:
+    """(source_id, file_path, state) of all files at two looks: same, append, defer, or one of ``REJECTED``.
+
+    Files: source_id, file_path, size, mtime_ms; ``proofs``: file_path (and source_id), prefix_matches, was_indexed, projected.
     """
     b = before.select("source_id", "file_path", F.col("size").alias("b_size"), F.col("mtime_ms").alias("b_time"))
     a = after.select("source_id", "file_path", F.col("size").alias("a_size"), F.col("mtime_ms").alias("a_time"))
-    j = b.join(a, ["source_id", "file_path"], "full").join(proofs, "file_path", "left")
+    on = [c for c in ("source_id", "file_path") if c in proofs.columns]
+    j = b.join(a, ["source_id", "file_path"], "full").join(proofs, on, "left")
     changed = (F.col("b_size") != F.col("a_size")) | (F.col("b_time") != F.col("a_time"))
     proven, done = F.coalesce("prefix_matches", F.lit(False)), F.coalesce("projected", F.lit(False))
     state = (
         F.when(F.col("b_size").isNull() | F.col("a_size").isNull(), "source_file_set_changed").when(~changed, "same").when(F.col("source_id") != "codex", "non_codex_source_changed")
         .when(F.col("a_size") <= F.col("b_size"), "source_not_append_only").when(done & ~proven, "projected_prefix_not_proven").when(done & ~F.coalesce("was_indexed", F.lit(False)), "defer").when(~proven, "defer").otherwise("append")
     )
-    rejected = ["source_file_set_changed", "non_codex_source_changed", "source_not_append_only", "projected_prefix_not_proven"]
-    s = j.withColumn("state", state).groupBy("source_id").agg(F.collect_set("state").alias("states"), F.sort_array(F.collect_list(F.when(F.col("state") == "defer", F.col("file_path")))).alias("deferred"))
-    why = F.get(F.filter(F.array(*map(F.lit, rejected)), lambda r: F.array_contains("states", r)), F.lit(0))
+    return j.select("source_id", "file_path", state.alias("state"))
+
+
+def verdicts(states: DataFrame) -> DataFrame:
+    """Per source kind (stable, append_only, deferred, rejected) and reason."""
+    s = states.groupBy("source_id").agg(F.collect_set("state").alias("states"))  # seven states at most
+    why = F.get(F.filter(F.array(*map(F.lit, REJECTED)), lambda r: F.array_contains("states", r)), F.lit(0))
     kind = F.when(why.isNotNull(), "rejected").when(F.array_contains("states", "defer"), "deferred").when(F.array_contains("states", "append"), "append_only").otherwise("stable")
     reason = F.coalesce(why, F.when(kind == "deferred", "active_source_deferred").when(kind == "append_only", "source_content_changed"))
-    return s.select("source_id", kind.alias("kind"), reason.alias("reason"), F.when(kind == "rejected", F.array().cast("array<string>")).otherwise(F.col("deferred")).alias("deferred"))
+    return s.select("source_id", kind.alias("kind"), reason.alias("reason"))
+
+
+def transition(before: DataFrame, after: DataFrame, proofs: DataFrame) -> DataFrame:
+    """Per source: did its files stay put between two looks, and which of them are deferred; a list, for small sources."""
+    states = file_transitions(before, after, proofs)
+    waiting = states.where("state = 'defer'").groupBy("source_id").agg(F.sort_array(F.collect_list("file_path")).alias("waiting"))
+    none = F.array().cast("array<string>")
+    deferred = F.when(F.col("kind") == "rejected", none).otherwise(F.coalesce("waiting", none))
+    return verdicts(states).join(waiting, "source_id", "left").select("source_id", "kind", "reason", deferred.alias("deferred"))
 
 
 def same_file_sets(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -14,4 +14,4 @@ ORACLES: dict[str, str] = {}
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quarryline.plans import details, library, search, upkeep  # noqa: F401
+    from quarryline.plans import details, folders, library, search, upkeep  # noqa: F401

@@ -270,3 +270,30 @@ ORACLES["zero_result_refinement"] = CONV_SQL + f"""
 u AS (SELECT session_key, nq, len(terms) AS n, list_transform(list_sort(list_transform(list_filter(terms, lambda x: regexp_matches(x, '[A-Za-z0-9_]') AND NOT list_contains([{_stop}], x)), lambda x: {{'n': -length(x), 'x': x}}))[1:2], lambda s: s.x) AS asc_ FROM t)
 SELECT session_key, n >= 4 AS over_constrained, coalesce(array_to_string(list_filter(asc_, lambda x: x <> nq), '|'), '') AS suggested, n::BIGINT AS n_terms FROM u
 """
+
+
+def q_analysis_all(spark, sf_dir):
+    """Query analysis of every message."""
+    a = conv(spark, sf_dir).messages.select("session_key", "seq", T.analyze_query(F.col("body_text")).alias("a"))
+    return a.select("session_key", "seq", "a.normalized", F.array_join("a.terms", " ").alias("terms"), "a.is_multi_term", "a.is_path_like", "a.mode")
+
+
+QUERIES["analyze_queries_all"] = q_analysis_all
+ORACLES["analyze_queries_all"] = CONV_SQL + f"""
+, t AS (SELECT session_key, seq, trim(body_text) AS t, {ix.tokens_sql("body_text")} AS toks FROM conv_m),
+x AS (SELECT session_key, seq, x, min(i) AS i FROM (SELECT session_key, seq, unnest(toks) AS x, unnest(range(len(toks))) AS i FROM t) GROUP BY 1, 2, 3),
+u AS (SELECT session_key, seq, string_agg(x, ' ' ORDER BY i) AS terms FROM x GROUP BY 1, 2)
+SELECT session_key, seq, lower(t) AS normalized, coalesce(terms, '') AS terms, regexp_matches(t, '\\s') AS is_multi_term,
+       regexp_matches(t, '\\s') AND regexp_matches(t, '[\\\\/._:-]') AS is_path_like, CASE WHEN terms IS NULL THEN 'empty' ELSE 'terms' END AS mode
+FROM t LEFT JOIN u USING (session_key, seq)
+"""
+
+
+def q_refine_all(spark, sf_dir):
+    """What would be suggested for every message, were it a query without results."""
+    r = conv(spark, sf_dir).messages.select("session_key", "seq", refinement(F.col("body_text")).alias("r"))
+    return r.select("session_key", "seq", "r.over_constrained", F.array_join("r.suggested_queries", "|").alias("suggested"), F.col("r.n_terms").cast("long").alias("n_terms"))
+
+
+QUERIES["zero_result_refinement_all"] = q_refine_all
+ORACLES["zero_result_refinement_all"] = ORACLES["zero_result_refinement"].replace(" FROM conv_m WHERE seq = 0", " FROM conv_m").replace("SELECT session_key,", "SELECT session_key, seq,")

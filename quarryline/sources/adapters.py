@@ -188,10 +188,10 @@ def project_files(events: DataFrame, roots: DataFrame | None = None) -> tuple[Da
         F.when(F.col("messages") > 0, "projected").when((F.col("source_id") == "pi") & (F.col("compactions") > 0), "projected").when(F.col("filtered") > 0, "filtered").otherwise("skipped").alias("outcome"),
         F.col("filtered").alias("filtered_count"), F.concat(F.lit("accepted-v1:"), "source_id", F.lit(":"), digest).alias("accepted_fingerprint"), "meta_low", "meta_high",
     )
-    order = Window.partitionBy("file_path").orderBy("line_no")
+    order = Window.partitionBy("source_id", "file_path").orderBy("line_no")
     m = events.where(is_("message")).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
-    m = m.select("file_path", "seq", "role", "timestamp", F.col("text").alias("body_text"), "raw_start", "raw_end")
+    m = m.select("source_id", "file_path", "seq", "role", "timestamp", F.col("text").alias("body_text"), "raw_start", "raw_end")
     o = outcomes.select("source_id", "native_session_id", "session_key", "session_uuid", "file_path", "cwd", "path_date")
     root = F.regexp_extract("file_path", r"^(/[^/]+/[^/]+)", 1)
-    messages = m.join(o, "file_path").withColumn("source_root", root)
+    messages = m.join(o, ["source_id", "file_path"]).withColumn("source_root", root)
     return messages, outcomes

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def lines(files: DataFrame, *, limit: int | None = None, parse_from: Column | in
     """(source_id, file_path, line_no, raw_start, raw_end, value) of a file's records.
 
     A record ends with a newline; offsets leave it, and a carriage return before
-    it, out.  Blank lines are passed over.  The unterminated tail is no record,
+    it, out.  Blank lines are passed over, and lines that are not UTF-8.  The unterminated tail is no record,
     unless ``keep_tail`` asks for it and the whole file was read.  ``limit`` bounds
     the bytes read, ``parse_from`` skips what was read before.
     """
@@ -43,35 +44,50 @@ def lines(files: DataFrame, *, limit: int | None = None, parse_from: Column | in
     whole = F.lit(True) if limit is None else F.octet_length("content") <= limit
     # Bytes survive as Latin-1, so offsets are byte offsets whatever the text's encoding is.
     raw = files.select("source_id", "file_path", whole.alias("whole"), F.posexplode(F.split(F.decode(content, "ISO-8859-1"), "\n", -1)).alias("line_no", "raw"))
-    order = Window.partitionBy("file_path").orderBy("line_no")
+    order = Window.partitionBy("source_id", "file_path").orderBy("line_no")
     start = F.coalesce(F.sum(F.length("raw") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.lead("line_no").over(order).isNull()
     rows = raw.withColumns({"raw_start": start.cast("long"), "last": last})
     rows = rows.where((~F.col("last") | F.col("whole")) if keep_tail else ~F.col("last"))
     body = F.regexp_replace("raw", "\r$", "")
-    rows = rows.select("source_id", "file_path", F.col("line_no").cast("long"), "raw_start", (F.col("raw_start") + F.length(body)).alias("raw_end"), F.decode(F.encode(body, "ISO-8859-1"), "UTF-8").alias("value"))
-    return rows.where((F.trim("value") != "") & (F.col("raw_start") >= parse_from))
+    rows = rows.select("source_id", "file_path", F.col("line_no").cast("long"), "raw_start", (F.col("raw_start") + F.length(body)).alias("raw_end"), F.encode(body, "ISO-8859-1").cast("string").alias("value"))
+    return rows.where(F.is_valid_utf8("value") & (F.trim("value") != "") & (F.col("raw_start") >= parse_from))
 
 
 def _unpack(batches):
-    """(source_id, file_path, content) to the content's records; a cut last frame ends the file, other errors are rows."""
+    """(source_id, file_path, content) to the content's records; a cut last frame ends the file, other errors are rows.
+
+    A file is unpacked as a stream; no more than a block and a line of it is held.
+    """
+    schema = pa.schema([("source_id", pa.string()), ("file_path", pa.string()), ("line_no", pa.int64()), ("value", pa.string()), ("error", pa.string())])
+    made = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     for batch in batches:
-        out = []
         for source, path, content in zip(*(c.to_pylist() for c in batch.columns)):
-            data, error = b"", None
-            try:
-                with pa.input_stream(pa.py_buffer(content), compression="zstd") as stream:
-                    while part := stream.read(1 << 20):
-                        data += part
-            except OSError as e:
-                error = None if "runcated" in str(e) else str(e)
-            for i, line in enumerate(data.split(b"\n")[:-1]):
-                if line.strip():
-                    out.append((source, path, i, line.rstrip(b"\r").decode("utf-8", "replace"), None))
+            out, number, parts, error = [], 0, [], None
+            reader = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True)
+            while True:
+                try:
+                    block = reader.read(1 << 20)
+                except zstandard.ZstdError as e:
+                    error = str(e)
+                    break
+                if not block:  # the end, or as far as a cut frame goes
+                    break
+                *whole, rest = block.split(b"\n")
+                for piece in whole:
+                    line = b"".join([*parts, piece]).rstrip(b"\r")
+                    parts = []
+                    if line.strip():
+                        out.append((source, path, number, line.decode("utf-8", "replace"), None))
+                    number += 1
+                parts.append(rest)
+                if len(out) > 4096:
+                    yield made(out)
+                    out = []
             if error:
                 out.append((source, path, -1, None, error))
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], ["source_id", "file_path", "line_no", "value", "error"])
+            if out:
+                yield made(out)
 
 
 def lines_zstd(files: DataFrame) -> DataFrame:

@@ -1,46 +1,116 @@
-"""Tokens, query analysis, phrases, relaxation: fixed cases."""
+"""Tokens, query analysis, phrases, relaxation: random texts against plain versions of the rules, and fixed cases."""
 
-import pytest
+import random
+
+import regex
 from pyspark.sql import functions as F
 
 from quarryline.functions import relax
 from quarryline.functions import text as T
 
+CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+#: A few of each class that the rules tell apart.
+ALPHABET = ["q", "Z", "é", "Ä", "ß", "ж", "_", "\u0301", "4", "٧", "'", ".", ",", ":", ";", "·", "’", "-", "/", " ", "\n", "!", "森", "の", "ミ", "곰", "𠮟", "²", "😀"]
+
 
 def ask(spark, value, use):
     return spark.createDataFrame([(value,)], "t string").select(use(F.col("t")).alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("text,want", [
-    ("Ship 数据同步 into /opt/App/ui-v3/lib/log_parser.py", ["ship", "数据", "据同", "同步", "into", "opt", "app", "ui", "v3", "lib", "log_parser.py"]),
-    ("𠀋山川", ["𠀋山", "山川"]), ("𠀋B山", ["b"]), ("漢字カナ조선", ["漢字", "字カ", "カナ", "ナ조", "조선"]), ("山 B 川", ["b"]), ("𠀋", []),
-    ("Well, won't 7.25 GROSSE Größe mid-air", ["well", "won't", "7.25", "grosse", "größe", "mid", "air"]), ("", []), (None, []), ("___ --", []),
-])
-def test_tokenize(spark, text, want):
-    assert ask(spark, text, T.tokenize) == want
-
-
-def test_long_words_do_not_overflow(spark):
-    assert ask(spark, "a" * 200_000 + " b", T.tokenize) == ["a" * 200_000, "b"]
+def ask_all(spark, values, use):
+    return [r["r"] for r in spark.createDataFrame(list(enumerate(values)), "k long, t string").coalesce(1).select("k", use(F.col("t")).alias("r")).orderBy("k").collect()]
+
+
+def plain_tokens(text):
+    """Tokens by a walk over the characters: runs of CJK in pairs; words with the marks that join letters or digits."""
+    kind = lambda c: "cjk" if CJK.match(c) else "letter" if regex.match(r"[\p{L}\p{M}_]", c) else "digit" if regex.match(r"\p{Nd}", c) else ""
+    out, i, text = [], 0, text or ""
+    while i < len(text):
+        if kind(text[i]) == "cjk":
+            j = i
+            while j < len(text) and kind(text[j]) == "cjk":
+                j += 1
+            out += [text[k : k + 2] for k in range(i, j - 1)]
+            i = j
+            continue
+        j = i
+        while j < len(text):
+            here, before, after = kind(text[j]), text[j - 1] if j > i else "", text[j + 1] if j + 1 < len(text) else ""
+            joins_letters = text[j] in "'.:’·" and regex.match(r"[\p{L}\p{M}]", before) and regex.match(r"\p{L}", after) and not CJK.match(after)
+            joins_digits = text[j] in ".,;'" and regex.match(r"\p{Nd}", before) and regex.match(r"\p{Nd}", after)
+            if here in ("letter", "digit") or joins_letters or joins_digits:
+                j += 1
+            else:
+                break
+        if regex.search(r"[\p{L}\p{Nd}]", text[i:j]):
+            out.append(text[i:j].lower())
+        i = max(j, i + 1)
+    return out
+
+
+def random_texts(seed, n=400):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(ALPHABET, k=rng.randint(0, 24))) for _ in range(n)] + ["", None]
+
+
+def test_tokens_of_random_texts(spark):
+    texts = random_texts(1)
+    got = ask_all(spark, texts, T.tokenize)
+    assert got == [plain_tokens(t) for t in texts]
+    assert sum(map(len, got)) > 1000
+
+
+def test_query_terms_are_the_tokens_once(spark):
+    texts = random_texts(2)
+    assert ask_all(spark, texts, T.query_terms) == [list(dict.fromkeys(plain_tokens(t))) for t in texts]
+
+
+def test_index_terms_are_the_tokens_cut_and_folded(spark):
+    import unicodedata
+
+    def fold(word):
+        parts = [unicodedata.normalize("NFD", c) for c in word.lower()]
+        return "".join(p[0] if len(p) == 2 and unicodedata.combining(p[1]) else unicodedata.normalize("NFC", p) for p in parts)
+
+    texts = [t for t in random_texts(3) if t and "\u0301" not in t]
+    want = [[fold(x) for x in regex.findall(r"[\p{L}\p{N}]+", " ".join(plain_tokens(t)))] for t in texts]
+    assert ask_all(spark, texts, T.index_terms) == want
+
+
+def test_analysis_of_random_queries(spark):
+    texts = random_texts(4)
+    for text, a in zip(texts, ask_all(spark, texts, T.analyze_query)):
+        t = regex.sub(r"^\s+|\s+$", "", text or "")
+        terms = list(dict.fromkeys(plain_tokens(t)))
+        mode = "terms" if terms else "literal" if CJK.search(t) else "empty"
+        several = bool(regex.search(r"\s", t))
+        path = several and any(c in (text or "") for c in "\\/._:-")
+        assert (a["normalized"], a["terms"], a["is_multi_term"], a["is_path_like"], a["mode"]) == (t.lower(), terms, several, path, mode), text
+
+
+def test_escaped_patterns_match_only_themselves(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("xy%_\\", k=rng.randint(1, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = df.crossJoin(df.withColumnRenamed("t", "u")).withColumn("p", T.escape_like(F.col("t"))).where(F.expr("u like p"))
+    assert all(r["t"] == r["u"] for r in pairs.collect()) and pairs.count() >= 60
 
 
-def test_query_terms_and_index_terms(spark):
-    assert ask(spark, "同步同步 World world 同步", T.query_terms) == ["同步", "步同", "world"]
-    assert ask(spark, "log_parser.py Élan größe", T.index_terms) == ["log", "parser", "py", "elan", "große"]
+def test_quoted_terms_read_back(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices('kv" *', k=rng.randint(0, 6))) for _ in range(60)]
+    for text, quoted in zip(texts, ask_all(spark, texts, T.quote_term)):
+        assert quoted[0] == quoted[-1] == '"' and quoted[1:-1].replace('""', '"') == text and quoted.count('"') == 2 + 2 * text.count('"')
 
 
-def test_analysis(spark):
-    a = ask(spark, " open lib/main.py ", T.analyze_query)
-    assert (a["normalized"], a["terms"], a["is_multi_term"], a["is_path_like"], a["mode"]) == ("open lib/main.py", ["open", "lib", "main.py"], True, True, "terms")
-    assert ask(spark, "川", T.analyze_query)["mode"] == "literal"
-    assert ask(spark, "   ", T.analyze_query)["mode"] == "empty"
-    assert ask(spark, 'a"b* OR c', T.quote_term) == '"a""b* OR c"'
-    assert ask(spark, r"a\b%c_d", T.escape_like) == r"a\\b\%c\_d"
+def test_long_words_do_not_overflow(spark):
+    assert ask(spark, "a" * 200_000 + " b", T.tokenize) == ["a" * 200_000, "b"]
 
 
 def test_cjk_predicates(spark):
-    for text, any_, all_ in (("", False, False), ("山川b", True, False), ("ひら", True, True), ("조선", True, True), ("one𠀋two", True, False)):
-        assert (ask(spark, text, T.has_cjk), ask(spark, text, T.is_cjk_token)) == (any_, all_)
+    texts = [t or "" for t in random_texts(7)] + ["森の", "곰", ""]
+    got = list(zip(ask_all(spark, texts, T.has_cjk), ask_all(spark, texts, T.is_cjk_token)))
+    assert got == [(bool(CJK.search(t)), bool(t) and all(CJK.match(c) for c in t)) for t in texts]
 
 
 def test_bounded_phrases_and_arguments(spark):
