@@ -184,8 +184,12 @@ def template_hits(words: Column, index: LicenseIndex, share: float) -> Column:
         def step(acc, x):
             same = (acc["t"] == x["t"]) & (acc["d"] == x["d"])
             total = F.when(same, acc["sum"]).otherwise(F.lit(0.0)) + x["share"]
-            rest = F.when(same & (acc["sum"] >= share), F.slice(acc["found"], F.lit(1), F.size(acc["found"]) - 1)).otherwise(acc["found"])
-            found = F.when(total >= share, F.concat(rest, F.array(F.struct(x["t"].alias("t"), F.least(total, F.lit(1.0)).alias("share"))))).otherwise(acc["found"])
+            # Alignments come by template: the best of the one at hand is the last found, so no more are kept than templates.
+            last = F.try_element_at(acc["found"], F.lit(-1))
+            again = F.coalesce(last["t"] == x["t"], F.lit(False))
+            rest = F.when(again, F.slice(acc["found"], F.lit(1), F.size(acc["found"]) - 1)).otherwise(acc["found"])
+            best = F.greatest(F.least(total, F.lit(1.0)), F.when(again, last["share"]).otherwise(F.lit(0.0)))
+            found = F.when(total >= share, F.concat(rest, F.array(F.struct(x["t"].alias("t"), best.alias("share"))))).otherwise(acc["found"])
             return F.struct(x["t"].alias("t"), x["d"].alias("d"), total.alias("sum"), found.alias("found"))
 
         return F.aggregate(aligned, zero, step, lambda acc: acc["found"])

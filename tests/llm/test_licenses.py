@@ -67,3 +67,21 @@ def test_query(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan_licenses(df, licenses.build_index(df)).count() == 0
+
+
+def test_a_notice_many_times_over_is_found_in_time(spark):
+    """Time in proportion to the text: 16000 repeats of a notice."""
+    import time
+
+
+    df = spark.createDataFrame([(1, "permission is hereby granted free of charge to any person obtaining a copy of this software " * 10)], "doc_id long, text string")
+    index = licenses.build_index(df)
+    notice = next(t for t in licenses.TEMPLATES if t.label == "mit").text
+    took = []
+    for n in (2000, 16000):
+        long = spark.createDataFrame([(1, f"{notice} \n" * n)], "doc_id long, text string")
+        began = time.time()
+        [r] = licenses.scan_licenses(long, index).collect()
+        took.append(time.time() - began)
+        assert "mit" in [x["label"] for x in r["licenses"]["templates"]]
+    assert took[1] < 8 * took[0] + 10
