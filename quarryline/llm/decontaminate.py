@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
@@ -135,19 +135,15 @@ def _grams(words: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _merged_runs(spans: Column) -> Column:
-    """Struct of starts and ends of the runs that sorted (at, end) spans make together."""
-    first = F.struct(F.array().cast("array<int>").alias("s"), F.array().cast("array<int>").alias("e"))
-
-    def grow(acc, x):
-        last = F.try_element_at(acc["e"], F.lit(-1))
-        touches = F.coalesce(x["at"] <= last, F.lit(False))
-        others = F.slice(acc["e"], 1, F.greatest(F.size(acc["e"]) - 1, F.lit(0)))
-        longer = F.struct(acc["s"].alias("s"), F.concat(others, F.array(F.greatest(last, x["end"]))).alias("e"))
-        more = F.struct(F.concat(acc["s"], F.array(x["at"])).alias("s"), F.concat(acc["e"], F.array(x["end"])).alias("e"))
-        return F.when(touches, longer).otherwise(more)
-
-    return F.aggregate(spans, first, grow)
+def _merged_runs(spans: DataFrame, key: str) -> DataFrame:
+    """(key, s, e): starts and ends of the runs that spans (key, at, end) make together, in time n log n."""
+    order = Window.partitionBy(key).orderBy("at", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("at") > before, F.lit(True)).cast("int")
+    numbered = spans.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    runs = numbered.groupBy(key, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    sorted_ = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("runs"))  # of one text
+    return sorted_.select(key, F.transform("runs", lambda r: r["at"]).alias("s"), F.transform("runs", lambda r: r["end"]).alias("e"))
 
 
 def _by_join(docs: DataFrame, items: DataFrame, text_col: str, size: int, out: str) -> DataFrame:
@@ -171,9 +167,9 @@ def _by_join(docs: DataFrame, items: DataFrame, text_col: str, size: int, out: s
     places = grams.join(known.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
     places = places.groupBy(key, "n", "gram").agg(F.collect_list("at").alias("ats"))
     hits = places.join(known, ["n", "gram"])
-    span = F.transform("ats", lambda a: F.struct(a.alias("at"), (a + F.col("n")).alias("end")))
-    found = hits.groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(span)))).alias("spans"))
-    runs = found.select(key, "items", _merged_runs(F.col("spans")).alias("r"))
+    items_of = hits.groupBy(key).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    spans = hits.select(key, F.explode("ats").alias("at"), "n").select(key, "at", (F.col("at") + F.col("n")).alias("end")).distinct()
+    runs = items_of.join(_merged_runs(spans, key), key).select(key, "items", F.struct("s", "e").alias("r"))
     none = F.array().cast("array<int>")
     whole = texts.select(key, F.size("words").cast("long").alias("n")).join(runs, key, "left")
     item = items.schema["item"].dataType
