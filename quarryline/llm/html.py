@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,8 +49,9 @@ _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-#: Indents and table columns stop growing there, and rows at so many cells, so that a page's text stays in proportion to the page.
-MOST_INDENT, MOST_WIDTH, MOST_CELLS = 64, 120, 1000
+#: Indents and table columns stop growing there, and rows at so many cells; columns are halved until a table has
+#: at most so many times its text in blanks.  So a page's text stays in proportion to the page.
+MOST_INDENT, MOST_WIDTH, MOST_CELLS, MOST_PADDING = 64, 120, 1000, 8
 
 
 class Node:
@@ -169,11 +171,21 @@ def _seen(node: Node) -> bool:
     return not ("hidden" in attrs or _HIDDEN.search(attrs.get("style", "")) or (node.tag == "input" and attrs.get("type", "").lower() == "hidden"))
 
 
+class Rope:
+    """Text of a table within a cell, in pieces that are joined once, when the outermost cell is laid out."""
+
+    __slots__ = ("parts",)
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+
 class Flow:
     """Lines of text; blanks collapse, and breaks wait until text follows."""
 
     def __init__(self):
-        self.parts: list[str] = []
+        self.parts: list[str | Rope] = []
+        self.ropes = False
         self.breaks, self.blank, self.indent, self.mark = 0, False, 0, ""
 
     def text(self, s: str, pre: bool) -> None:
@@ -204,8 +216,54 @@ class Flow:
     def line(self, n: int) -> None:
         self.breaks, self.blank = max(self.breaks, n), False
 
+    def rope(self, pieces: list) -> None:
+        self._open()
+        self.parts.append(Rope(pieces))
+        self.ropes = True
+
     def value(self) -> str:
-        return "".join(self.parts)
+        if not self.ropes:
+            return "".join(self.parts)
+        out, open_ = [], [iter(self.parts)]
+        while open_:
+            for part in open_[-1]:
+                if isinstance(part, Rope):
+                    open_.append(iter(part.parts))
+                    break
+                out.append(part)
+            else:
+                open_.pop()
+        text = "".join(out)
+        return text.rstrip() if isinstance(self.parts[-1], Rope) else text
+
+
+class Row:
+    """Cells of a table's row with their columns, and the number of columns they take."""
+
+    __slots__ = ("cells", "n")
+
+    def __init__(self):
+        self.cells: list[tuple[int, str | Rope]] = []
+        self.n = 0
+
+    def add(self, cell: str | Rope, span: int) -> None:
+        if isinstance(cell, Rope) or cell:
+            self.cells.append((self.n, cell))
+        self.n += 1
+        self.n += max(min(span - 1, MOST_CELLS - self.n), 0)
+
+    def pieces(self) -> list:
+        """Of a table within a cell, where blanks collapse anyway: the cells with a blank between, none at the end."""
+        out = []
+        for column, cell in self.cells:
+            if isinstance(cell, Rope) or _BLANK.sub("", cell):
+                out += [" ", cell] if out or column else [cell]
+        while out and isinstance(out[-1], str) and not out[-1].strip():
+            out.pop()
+        if out:
+            held, at = (out, -1) if isinstance(out[-1], str) else (out[-1].parts, -1)
+            held[at] = held[at].rstrip() if isinstance(held[at], str) else held[at]
+        return out
 
 
 def render(page: str) -> str:
@@ -213,7 +271,8 @@ def render(page: str) -> str:
     flow, outer = Flow(), []  # outer: flows, tables and lists that wait for an inner one
     lists: list[list] = []
     work: list[tuple] = [("open", parse(page), False)]
-    tables: list[list[list[str]]] = []
+    tables: list[list[Row]] = []
+    cells = 0  # that are open
     while work:
         step, node, pre = work.pop()
         if step == "open":
@@ -244,12 +303,13 @@ def render(page: str) -> str:
                 outer.append(flow)
                 flow = Flow()
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].append(Row())
             elif tag in ("td", "th") and tables:
                 if not tables[-1]:
-                    tables[-1].append([])
+                    tables[-1].append(Row())
                 outer.append(flow)
                 flow = Flow()
+                cells += 1
             elif tag in ("ul", "ol", "menu"):
                 flow.line(1 if lists else 2)
                 start = node.attributes().get("start", "1") if tag == "ol" else ""
@@ -279,18 +339,30 @@ def render(page: str) -> str:
             continue
         tag = node.tag
         if tag == "table":
-            caption, flow = flow.value(), outer.pop()
-            for line in [*caption.split("\n"), *_aligned(tables.pop())]:
-                if line.strip():
+            caption, flow, rows = flow, outer.pop(), tables.pop()
+            if cells:
+                lines = [x.rstrip() for x in caption.value().split("\n") if x.strip()] if not caption.ropes else []
+                pieces = ["\n".join(lines)] if lines else []
+                for part in caption.parts if caption.ropes else ():  # lines of blanks in front don't count
+                    part = re.sub(r"^\s*\n", "", part) if isinstance(part, str) and not pieces else part
+                    pieces += [part] if part else []
+                for row in filter(None, (r.pieces() for r in rows)):
+                    pieces += ["\n", *row] if pieces else row
+                if any(isinstance(p, Rope) or p.strip() for p in pieces):
                     flow.line(1)
-                    flow.text(line.rstrip(), True)
+                    flow.rope(pieces)
+            else:
+                for line in [*caption.value().split("\n"), *_aligned(rows)]:
+                    if line.strip():
+                        flow.line(1)
+                        flow.text(line.rstrip(), True)
             flow.line(2)
         elif tag in ("td", "th") and outer and tables:
-            cell, flow = _BLANK.sub(" ", flow.value()), outer.pop()
+            cells -= 1
+            cell = Rope(flow.parts) if cells and flow.ropes else _BLANK.sub(" ", flow.value())
+            flow = outer.pop()
             span = node.attributes().get("colspan", "1")
-            row = tables[-1][-1]
-            more = int(span) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0
-            row += [cell] + [""] * max(min(more, MOST_CELLS - len(row)), 0)
+            tables[-1][-1].add(cell, int(span) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1)
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
             flow.indent -= 2
@@ -301,14 +373,29 @@ def render(page: str) -> str:
     return flow.value()
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
+def _aligned(rows: list[Row]) -> list[str]:
     """Rows with cells padded to their column's width."""
-    widths: list[int] = []
+    most, text = MOST_WIDTH, sum(len(cell) for row in rows for _, cell in row.cells)
+    while True:
+        widths = [0] * max((row.n for row in rows), default=0)
+        for row in rows:
+            for i, cell in row.cells:
+                widths[i] = max(widths[i], min(len(cell), most))
+        starts = [0, *accumulate(w + 2 for w in widths)]
+        if sum(starts[row.cells[-1][0]] for row in rows if row.cells) <= MOST_PADDING * text + 4096:
+            break
+        if not most:  # the blanks between empty columns alone are too many
+            return ["  ".join(cell for _, cell in row.cells) for row in rows]
+        most //= 2
+    out = []
     for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for i, cell in enumerate(row):
-            widths[i] = max(widths[i], min(len(cell), MOST_WIDTH))
-    return ["  ".join(cell.ljust(widths[i]) for i, cell in enumerate(row)) for row in rows]
+        parts, end, over = [], 0, 0  # over: by how much earlier cells were wider than their columns
+        for i, cell in row.cells:
+            parts += [" " * (starts[i] + over - end), cell]
+            end = starts[i] + over + len(cell)
+            over += max(len(cell) - widths[i], 0)
+        out.append("".join(parts))
+    return out
 
 
 @F.arrow_udf(StringType())
@@ -320,7 +407,7 @@ def visible_text(html: Column) -> Column:
     """Visible text of a page; "" for null and empty pages.
 
     Time and text stay in proportion to the page, also where tags, quotes or comments are
-    left open.  Left out are drawings, formulas, media, frames and the options of selections.
+    left open, tables stand in tables or cells span many columns.  Left out are drawings, formulas, media, frames and the options of selections.
     """
     return _visible(html)
 
