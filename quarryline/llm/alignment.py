@@ -44,7 +44,7 @@ from quarryline.llm.common import stash
 
 CHUNK_BYTES = 4 << 20
 #: Tokens of A that are laid out at once.
-SLICE_TOKENS = 1 << 19
+SLICE_TOKENS = 1 << 17
 #: Fixed value: how the byte-level BPE splits a text before its merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Blank runs from here on overflow the fast encoder's pattern.
