@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 _L = rf"[\p{{L}}&&[^{CJK}]]"
 #: A word: letters, marks and underscores, digit runs, and the punctuation that joins letters or digits.
-WORD = rf"(?:[_\p{{M}}\p{{L}}&&[^{CJK}]]++|\p{{Nd}}++|(?<=[\p{{L}}\p{{M}}])['.:’·](?={_L})|(?<=\p{{Nd}})[.,;'](?=\p{{Nd}}))++"
+WORD = rf"(?:[_\p{{M}}\p{{L}}&&[^{CJK}]]++|\p{{Nd}}++|(?<=[\p{{L}}\p{{M}}&&[^{CJK}]])['.:’·](?={_L})|(?<=\p{{Nd}})[.,;'](?=\p{{Nd}}))++"
 PIECE = rf"([{CJK}]{{2,}}+|{WORD})"
 #: Index terms are runs of letters and numbers.
 TERM = r"[\p{L}\p{N}\p{Co}]+"

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import index_terms, let
+from quarryline.functions.text import CJK, has_cjk, index_terms, let
 from quarryline.storage import keep, shared_path
 
 #: Field weights of the relevance score, and its two parameters.
@@ -21,15 +21,22 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, field, positions), doc_stats(doc_id, dl), corpus(n, avgdl; one row)."""
+    """postings(term, doc_id, field, positions), doc_stats(doc_id, dl), corpus(n, avgdl; one row), chars(char, doc_id).
+
+    ``chars`` are the CJK characters of each document, for queries that have no terms;
+    without it, these read all texts.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     corpus: DataFrame
+    chars: DataFrame | None = None
 
     def write(self, path: str) -> None:
         """Files are sorted by term, so a lookup skips most row groups; a frequent term spans files."""
         self.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        if self.chars is not None:
+            self.chars.sortWithinPartitions("char", "doc_id").write.parquet(f"{path}/chars")
         self.doc_stats.write.parquet(f"{path}/doc_stats")
         self.corpus.write.parquet(f"{path}/corpus")
 
@@ -37,16 +44,20 @@ class Index:
         """The index written once to the shared folder, as every batch of queries should use it."""
         path = shared_path(self.postings.sparkSession)
         self.write(path)
-        return Index.read(self.postings.sparkSession, path)
+        return Index.read(self.postings.sparkSession, path, chars=self.chars is not None)
 
     @staticmethod
-    def read(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "corpus")))
+    def read(spark, path: str, *, chars: bool = True) -> Index:
+        tables = ("postings", "doc_stats", "corpus", *(["chars"] if chars else []))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in tables))
 
 
 def analyzed(documents: DataFrame) -> DataFrame:
-    """(doc_id, fields): the terms of each field, in the order of the weights."""
-    return documents.select("doc_id", F.array(*(index_terms(F.col(f)) for f in WEIGHTS)).alias("fields"))
+    """(doc_id, fields, chars): the terms of each field, in the order of the weights, and the CJK characters of all."""
+    whole = F.concat_ws("", *(F.col(f) for f in WEIGHTS))
+    found = F.array_distinct(F.regexp_extract_all(whole, F.lit(f"([{CJK}])"), F.lit(1)))
+    chars = F.when(has_cjk(whole), found).otherwise(F.array().cast("array<string>"))
+    return documents.select("doc_id", F.array(*(index_terms(F.col(f)) for f in WEIGHTS)).alias("fields"), chars.alias("chars"))
 
 
 def term_positions(terms: Column) -> Column:
@@ -76,7 +87,7 @@ def build_index(documents: DataFrame) -> Index:
     # A document without terms counts too.
     doc_stats = a.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda n, t: n + F.size(t)).alias("dl"))
     corpus = doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings, doc_stats, corpus)
+    return Index(postings, doc_stats, corpus, a.select(F.explode("chars").alias("char"), "doc_id"))
 
 
 def term_stats(index: Index) -> DataFrame:

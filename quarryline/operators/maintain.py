@@ -17,6 +17,7 @@ from quarryline.operators.segments import Change, Layout, Store
 
 POSTINGS = "term string, doc_id string, field int, positions array<int>, session_key string"
 DOC_STATS = "doc_id string, dl bigint, session_key string"
+CHARS = "char string, doc_id string, session_key string"
 
 
 def open_store(spark: SparkSession, base: str) -> Store:
@@ -26,6 +27,7 @@ def open_store(spark: SparkSession, base: str) -> Store:
     layouts = {t: Layout(df.schema, refresh.KEYS[t], order.get(t, ())) for t, df in empty.items()}
     layouts["postings"] = Layout(POSTINGS, ("session_key",), ("term", "doc_id"))
     layouts["doc_stats"] = Layout(DOC_STATS, ("session_key",))
+    layouts["chars"] = Layout(CHARS, ("session_key",), ("char", "doc_id"))
     return Store(spark, base, layouts)
 
 
@@ -33,7 +35,7 @@ def index_change(documents: Change) -> dict[str, Change]:
     """What a change of the documents is to the index."""
     made = build_index(documents.rows)
     key = F.regexp_replace("doc_id", "#[0-9]*$", "").alias("session_key")
-    parts = {"postings": made.postings, "doc_stats": made.doc_stats}
+    parts = {"postings": made.postings, "doc_stats": made.doc_stats, "chars": made.chars}
     return {t: Change(df.select("*", key), documents.gone) for t, df in parts.items()}
 
 
@@ -41,7 +43,7 @@ def index_of(tables: dict[str, DataFrame]) -> Index:
     """The search index of a version's tables."""
     stats = tables["doc_stats"].select("doc_id", "dl")
     corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(tables["postings"].drop("session_key"), stats, corpus)
+    return Index(tables["postings"].drop("session_key"), stats, corpus, tables["chars"].drop("session_key"))
 
 
 def sync(store: Store, files: DataFrame, **options) -> refresh.Refreshed:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import analyze_query, phrase_of
+from quarryline.functions.text import CJK, analyze_query, phrase_of
 from quarryline.operators.index import K1, WEIGHTS, B, Index
 from quarryline.storage import keep
 
@@ -68,20 +68,32 @@ def scored(queries: DataFrame, index: Index) -> DataFrame:
     return pairs.groupBy("query_id", "doc_id").agg((-F.sum(gain)).alias("fts_score"), F.count("*").alias("hit"), F.first("n_terms").alias("n_terms")).where("hit = n_terms").select("query_id", "doc_id", "fts_score")
 
 
-def literal_matches(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, doc_id, fts_score 0) for queries of a single CJK character, which have no terms.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-    Reads all texts; case is ignored for A-Z only.  The queries are a stated set and are
-    few, so they go to the tasks, and each document is compared where it lies.
+
+def literal_matches(queries: DataFrame, documents: DataFrame, chars: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, fts_score 0) for queries of lone CJK characters, which have no terms.
+
+    With ``chars`` (char, doc_id) the documents that hold all of a needle's characters are
+    looked up, and texts are read only of those where the needle is more than one character.
+    Without it all texts are read; the queries are a stated set and are few, so they go to the
+    tasks.  Case is ignored for A-Z only.
     """
-    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    needles = queries.where("a.mode = 'literal'").select("query_id", F.translate("a.needle", up, low).alias("needle"))
+    needles = queries.where("a.mode = 'literal'").select("query_id", F.translate("a.needle", UPPER, LOWER).alias("needle"))
+    texts = [F.translate(F.col(c), UPPER, LOWER) for c in TEXT_FIELDS]
+    zero = F.lit(0.0).alias("fts_score")
+    if chars is not None:
+        parts = F.array_distinct(F.regexp_extract_all("needle", F.lit(f"([{CJK}])"), F.lit(1)))
+        wanted = needles.select("query_id", "needle", F.size(parts).alias("n"), F.explode(parts).alias("char"))
+        held = wanted.join(chars, "char").groupBy("query_id", "doc_id").agg(F.first("needle").alias("needle"), F.first("n").alias("n"), F.count("*").alias("got")).where("got = n")
+        sure = held.where(F.length("needle") == 1).select("query_id", "doc_id", zero)
+        unsure = held.where(F.length("needle") > 1).join(documents.select("doc_id", F.array(*texts).alias("texts")), "doc_id")
+        return sure.unionByName(unsure.where(F.exists("texts", lambda t: t.contains(F.col("needle")))).select("query_id", "doc_id", zero))
     # Without such queries no row is left, and Spark drops the scan of the texts.
     gathered = needles.agg(F.collect_list(F.struct("query_id", "needle")).alias("needles")).where(F.size("needles") > 0)
-    texts = [F.translate(F.col(c), up, low) for c in TEXT_FIELDS]
     whole = documents.select("doc_id", F.array(*texts).alias("texts")).crossJoin(F.broadcast(gathered))  # one row
     hit = F.filter("needles", lambda n: F.exists("texts", lambda t: t.contains(n["needle"])))
-    return whole.select("doc_id", F.explode(hit).alias("q")).select("q.query_id", "doc_id", F.lit(0.0).alias("fts_score"))
+    return whole.select("doc_id", F.explode(hit).alias("q")).select("q.query_id", "doc_id", zero)
 
 
 def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance", texts: bool = True) -> DataFrame:
@@ -93,7 +105,7 @@ def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, in
     texts are joined after it, or not at all without ``texts``.
     """
     q = queries if "a" in queries.columns else analyzed_queries(queries)
-    hits = scored(q, index).unionByName(literal_matches(q, documents))
+    hits = scored(q, index).unionByName(literal_matches(q, documents, index.chars))
     s = sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
     rows = hits.join(documents.drop(*TEXT_FIELDS), "doc_id").join(s, "session_key")
     if scope is not None:

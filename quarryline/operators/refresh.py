@@ -208,17 +208,17 @@ def refresh(files: DataFrame, tables: dict[str, DataFrame], *, roots: DataFrame
     archived ones (``cold``: native_session_id).
     """
     place = ["source_id", "source_root"]
+    files = keep(files)  # folders are listed once
     if roots is None:
-        roots = files.select("source_id", F.col("source_root").alias("root"))
-    roots = keep(roots.select("source_id", "root").distinct())
+        roots = keep(files.select("source_id", F.col("source_root").alias("root")).distinct())
+    roots = roots.select("source_id", "root").distinct()
     state = tables["source_files"].join(_below(roots), place, "left_semi")
+    if selector is None and look_again is None and _as_it_was(files, state) and _proven(tables, roots):
+        return Refreshed("unchanged", tables, _report_unchanged(files), {})
     found = keep(inspected(files, state))
     unread = files.where("error is not null").select(*FILE, "error").unionByName(found.where("error is not null").select(*FILE, "error"))
     found = found.where("error is null").drop("error")
     no_outcomes = found.select(*FILE, F.lit(None).cast("string").alias("outcome")).where("false")
-    work = found.agg(F.count_if(F.col("action") != "unchanged").alias("n"), F.count("*").alias("files")).first()
-    if selector is None and look_again is None and not work["n"] and unread.isEmpty() and _proven(tables, state, roots, work["files"]):
-        return Refreshed("unchanged", tables, _report(found, unread, no_outcomes, None), {})
 
     rows = keep(read_lines(found))
     faults = rows.where("error is not null").groupBy(*FILE).agg(F.min("error").alias("error"))
@@ -230,7 +230,7 @@ def refresh(files: DataFrame, tables: dict[str, DataFrame], *, roots: DataFrame
         unread = unread.unionByName(after.where("error is not null").select(*FILE, "error"))
         omitted = states.where(~F.col("state").isin("same", "append")).select(*FILE)
         unsure = roots.join(looks.where("kind in ('rejected', 'deferred')"), "source_id", "left_semi")
-    unread = keep(unread.distinct())
+    unread = unread.distinct()
     broken = not unread.isEmpty()
     rejected = looks is not None and not looks.where("kind = 'rejected'").isEmpty()
     if (broken or rejected) and not best_effort:
@@ -247,8 +247,9 @@ def refresh(files: DataFrame, tables: dict[str, DataFrame], *, roots: DataFrame
         outcomes = outcomes.where(_inside(selector))
         taken = keep(outcomes.select(*FILE).unionByName(found.where(~F.col("action").isin("full", "append") & _inside(selector)).select(*FILE)))
         found, events, messages = (df.join(taken, FILE, "left_semi") for df in (found, events, messages))
+        events = keep(events)
     messages = keep(messages.drop("source_root").join(found.select(*FILE, "source_root"), FILE))
-    touched = keep(_touched(found).select(*FILE))
+    touched = _touched(found).select(*FILE)
     outcomes = keep(touched.join(outcomes, FILE, "left").withColumn("outcome", F.coalesce("outcome", F.lit("skipped"))))
     sessions = keep(project.build_sessions(messages, outcomes))
     documents = keep(project.build_documents(messages, sessions))
@@ -272,7 +273,7 @@ def refresh(files: DataFrame, tables: dict[str, DataFrame], *, roots: DataFrame
     gone_sessions, gone_files = keep(gone_sessions.distinct()), keep(gone_files.distinct())
     changes = {
         "sessions": Change(sessions, gone_sessions), "documents": Change(documents, gone_sessions),
-        "events": Change(keep(events), gone_files), "source_files": Change(states, keep(gone_files.unionByName(states.select(*FILE)).distinct())),
+        "events": Change(events, gone_files), "source_files": Change(states, gone_files.unionByName(states.select(*FILE)).distinct()),
     }
     if broken:
         changes["coverage"] = _withdrawn(tables, roots)
@@ -291,10 +292,23 @@ def _finished(status: str, tables: dict[str, DataFrame], changes: dict[str, Chan
     return Refreshed(status, now, report, changes, looks)
 
 
-def _proven(tables: dict[str, DataFrame], state: DataFrame, roots: DataFrame, n_files: int) -> bool:
-    """Are the roots covered as they are: a current proof of all of each, and as many files as there were?"""
+def _as_it_was(files: DataFrame, state: DataFrame) -> bool:
+    """Is every listed file known with its size and time, and every known file listed?"""
+    s = state.select(*FILE, F.col("size").alias("s_size"), F.col("mtime_ms").alias("s_mtime"), F.col("epoch").alias("s_epoch"))
+    same = F.col("error").isNull() & (F.col("size") == F.col("s_size")) & (F.col("mtime_ms") == F.col("s_mtime")) & (F.col("s_epoch") == sync.EPOCH)
+    return files.select(*FILE, "size", "mtime_ms", "error").join(s, FILE, "full").where(~F.coalesce(same, F.lit(False))).isEmpty()
+
+
+def _report_unchanged(files: DataFrame) -> DataFrame:
+    n = F.count("*")
+    none = [F.lit(0).cast("long").alias(k) for k in ("filtered", "removed", "retained_cold", "errors")]
+    return files.groupBy("source_id").agg(n.alias("scanned"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("updated"), n.alias("skipped")).select("source_id", "scanned", "added", "updated", "skipped", *none)
+
+
+def _proven(tables: dict[str, DataFrame], roots: DataFrame) -> bool:
+    """Is there a current proof of all of each root?"""
     current = tables["coverage"].where(F.col("record_version") == project.INDEX_VERSION).select("selector_key")
-    return state.count() == n_files and _selected(roots, None).join(current, "selector_key", "left_anti").isEmpty()
+    return _selected(roots, None).join(current, "selector_key", "left_anti").isEmpty()
 
 
 def _selected(roots: DataFrame, selector: dict | None) -> DataFrame:

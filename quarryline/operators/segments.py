@@ -14,6 +14,7 @@ those go.  Manifests are as long as there are segments, so they may be read by t
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -22,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from quarryline.storage import remove_folder
 
-_MANIFEST = "table string, place int, segment string, n_rows bigint, n_gone bigint"
+_MANIFEST = "table string, place int, segment string, n_rows bigint, gone_in string, n_gone bigint"
 
 
 @dataclass(frozen=True)
@@ -44,9 +45,12 @@ class Change:
 
 @dataclass(frozen=True)
 class Segment:
+    """A segment's folder and the folder of its keys, which several tables may share."""
+
     table: str
     segment: str
     n_rows: int
+    gone_in: str
     n_gone: int
 
 
@@ -87,7 +91,7 @@ class Store:
         found: dict[str, list[Segment]] = {t: [] for t in self.layouts}
         if version is not None:
             for r in self.spark.read.schema(_MANIFEST).parquet(f"{self.base}/manifests/{version}").orderBy("place").collect():
-                found[r["table"]].append(Segment(r["table"], r["segment"], r["n_rows"], r["n_gone"]))
+                found[r["table"]].append(Segment(r["table"], r["segment"], r["n_rows"], r["gone_in"], r["n_gone"]))
         return found
 
     def tables(self, version: str | None = None) -> dict[str, DataFrame]:
@@ -103,13 +107,18 @@ class Store:
         newest = versions[-1] if versions else None
         if based_on is not None and based_on != newest:
             raise ValueError(f"version {newest} was published meanwhile; nothing was published")
-        held = self.manifest(newest)
-        for table, change in changes.items():
-            written = self._written(table, change)
-            if written.n_rows or written.n_gone:
-                held[table] = self._settled(table, [*held[table], written])
+        held, shared = self.manifest(newest), {}
+        for table, change in changes.items():  # tables with the same keys share them
+            shared.setdefault((id(change.gone), self.layouts[table].key), change.gone)
+        with ThreadPoolExecutor(8) as pool:  # the tables' jobs run side by side
+            keys = dict(zip(shared, pool.map(lambda k: self._keys(shared[k], k[1]), shared)))
+            place = {t: keys[id(c.gone), self.layouts[t].key] for t, c in changes.items()}
+            written = list(pool.map(lambda t: self._written(t, changes[t].rows, *place[t]), changes))
+            fresh = [w for w in written if w.n_rows or w.n_gone]
+            settled = pool.map(lambda w: self._settled(w.table, [*held[w.table], w]), fresh)
+            held |= dict(zip((w.table for w in fresh), settled))
         name = uuid.uuid4().hex
-        rows = [(t, i, s.segment, s.n_rows, s.n_gone) for t, segments in held.items() for i, s in enumerate(segments)]
+        rows = [(t, i, s.segment, s.n_rows, s.gone_in, s.n_gone) for t, segments in held.items() for i, s in enumerate(segments)]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{self.base}/manifests/{name}")
         pointer = self.spark.createDataFrame([(name, len(versions))], "version string, no bigint")
         pointer.coalesce(1).write.mode("append").parquet(f"{self.base}/current")
@@ -121,7 +130,7 @@ class Store:
         A reader of an older version must be done by then.
         """
         versions = self.versions()
-        used = {s.segment for v in versions[-keep:] for segments in self.manifest(v).values() for s in segments}
+        used = {f for v in versions[-keep:] for segments in self.manifest(v).values() for s in segments for f in (s.segment, s.gone_in)}
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/data")
         system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         there = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
@@ -137,26 +146,30 @@ class Store:
     def _change(self, s: Segment) -> Change:
         layout = self.layouts[s.table]
         empty = self.spark.createDataFrame([], layout.schema)
-        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.base}/data/{s.segment}/{part}")
-        rows = read("rows", empty.schema) if s.n_rows else empty
+        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{self.base}/data/{part}")
+        rows = read(f"{s.segment}/rows", empty.schema) if s.n_rows else empty
         keys = empty.select(*layout.key)
-        return Change(rows, read("gone", keys.schema) if s.n_gone else keys)
+        return Change(rows, read(f"{s.gone_in}/gone", keys.schema) if s.n_gone else keys)
 
     def _table(self, table: str, segments: list[Segment]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], self.layouts[table].schema)
         return merged([self._change(s) for s in segments], self.layouts[table].key)
 
-    def _written(self, table: str, change: Change) -> Segment:
+    def _saved(self, df: DataFrame, path: str) -> int:
+        """Writes a table and returns the number of its rows, by its files' footers."""
+        df.write.parquet(f"{self.base}/data/{path}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/data/{path}").count()
+
+    def _keys(self, gone: DataFrame, key: tuple[str, ...]) -> tuple[str, int]:
+        name = uuid.uuid4().hex
+        return name, self._saved(gone.select(*key), f"{name}/gone")
+
+    def _written(self, table: str, rows: DataFrame, gone_in: str, n_gone: int) -> Segment:
         layout, name = self.layouts[table], uuid.uuid4().hex
-        columns = self.spark.createDataFrame([], layout.schema).columns
-        rows = change.rows.select(*columns)
-        counts = []
-        for part, df in (("rows", rows.sortWithinPartitions(*layout.order) if layout.order else rows), ("gone", change.gone.select(*layout.key).distinct())):
-            path = f"{self.base}/data/{name}/{part}"
-            df.write.parquet(path)
-            counts.append(self.spark.read.schema(df.schema).parquet(path).count())
-        return Segment(table, name, *counts)
+        rows = rows.select(*self.spark.createDataFrame([], layout.schema).columns)
+        n = self._saved(rows.sortWithinPartitions(*layout.order) if layout.order else rows, f"{name}/rows")
+        return Segment(table, name, n, gone_in, n_gone)
 
     def _settled(self, table: str, segments: list[Segment]) -> list[Segment]:
         """The segments, the newest merged where they have grown; what the oldest replaces is nothing."""
@@ -165,6 +178,6 @@ class Store:
             return segments if first else [replace(segments[0], n_gone=0)]
         parts = [self._change(s) for s in segments[first:]]
         key = self.layouts[table].key
-        gone = reduce(DataFrame.unionByName, (p.gone for p in parts))
-        whole = Change(merged(parts, key), gone if first else gone.limit(0))
-        return [*segments[:first], self._written(table, whole)]
+        gone = reduce(DataFrame.unionByName, (p.gone for p in parts)).distinct()
+        place = self._keys(gone, key) if first else (segments[-1].gone_in, 0)
+        return [*segments[:first], self._written(table, merged(parts, key), *place)]

@@ -47,6 +47,18 @@ def literal(spark, sf_dir):
     return recall.literal_matches(recall.analyzed_queries(han_queries(spark)), d)
 
 
+_PAIRS = ("字 区", "小 机", "开")
+_PAIR_LIST = ", ".join(f"('{c}')" for c in _PAIRS)
+
+
+@register("recall_literal_indexed", HAN_CORPUS_SQL + f" SELECT n.c AS query_id, doc_id, 0.0::DOUBLE AS fts_score FROM conv_d, (VALUES {_PAIR_LIST}, {_HAN_LIST}) n(c) WHERE " + " OR ".join(f"contains({c}, n.c)" for c in ("body_text", "title_text", "summary_text")) + " GROUP BY ALL")
+def literal_indexed(spark, sf_dir):
+    """The same, and needles of several lone characters, by the index of characters."""
+    c = Corpus(han_messages(spark, sf_dir)).searchable()
+    queries = spark.createDataFrame([(x, x) for x in dict.fromkeys([*_PAIRS, *HAN])], "query_id string, query string")
+    return recall.literal_matches(recall.analyzed_queries(queries), c.documents, c.index.chars)
+
+
 _LITERAL_SQL = HAN_CORPUS_SQL + f"""
 , qq AS (SELECT c AS query_id, c AS query, c AS nq, []::VARCHAR[] AS terms FROM (VALUES {_HAN_LIST}) n(c)),
 hits AS (SELECT n.query_id, doc_id, 0.0::DOUBLE AS fts_score FROM conv_d, qq n WHERE contains({_CONTENT}, n.nq))

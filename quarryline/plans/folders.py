@@ -62,12 +62,24 @@ def _rooted(roots: DataFrame) -> DataFrame:
 
 def sync_folder(store: segments.Store, roots: DataFrame, **options) -> refresh.Refreshed:
     """A sync of everything below some roots."""
-    files = keep(where.listed(_rooted(roots)))
-    return maintain.sync(store, files, roots=roots, **options)
+    return maintain.sync(store, where.listed(_rooted(roots)), roots=roots, **options)
+
+
+_stores: dict[tuple, segments.Store] = {}
 
 
 def synced_store(spark: SparkSession, sf_dir: str, *, pruned: bool = False) -> segments.Store:
-    """A store after a first sync, one of all that changed, and if asked one that prunes what went away."""
+    """A store after a first sync, one of all that changed, and if asked one that prunes what went away.
+
+    Queries of one session over one folder share it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, pruned)
+    if key not in _stores:
+        _stores[key] = _synced(spark, sf_dir, pruned)
+    return _stores[key]
+
+
+def _synced(spark: SparkSession, sf_dir: str, pruned: bool) -> segments.Store:
     folder = shared_path(spark)
     base = where.plain(folder)
     store, roots = maintain.open_store(spark, f"{folder}/store"), roots_of(spark, base)
@@ -77,7 +89,7 @@ def synced_store(spark: SparkSession, sf_dir: str, *, pruned: bool = False) -> s
     sync_folder(store, roots)
     if pruned:
         left = where.listed(_rooted(roots)).where(~((F.col("source_id") == "pi") & (case_of(F.col("file_path")) == TOUCHED)))
-        maintain.sync(store, keep(left), roots=roots, prune=True)
+        maintain.sync(store, left, roots=roots, prune=True)
     return store
 
 

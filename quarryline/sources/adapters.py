@@ -159,15 +159,22 @@ def project_files(events: DataFrame, roots: DataFrame | None = None) -> tuple[Da
     codex, dsh = F.col("source_id") == "codex", F.col("source_id") == "dsh"
     first = lambda c, when=F.lit(True): F.min_by(said(c, when), F.when(when & (F.col(c) != ""), n))
     last = lambda c, when=F.lit(True): F.max_by(said(c, when), F.when(when & (F.col(c) != ""), n))
-    kept = F.sort_array(F.collect_list(F.when(~is_("filtered"), F.struct("line_no", "event", "role", "text", "timestamp", "id", "cwd", "model"))))
     gathered = lambda e: F.transform(F.sort_array(F.collect_list(F.when(is_(e), F.struct("line_no", "text")))), lambda s: s["text"])
-    files = events.groupBy("source_id", "file_path").agg(
+    # An event's SHA-256, with its place among those that count, gives four numbers; their sums tell a file's events apart.
+    in_file = Window.partitionBy("source_id", "file_path")
+    counts = F.sum(F.when(is_("filtered"), 0).otherwise(1)).over(in_file.orderBy("line_no"))
+    piece = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    parts = [piece(F.coalesce(F.col(f), F.lit(""))) for f in ("event", "role", "text", "timestamp", "id", "cwd", "model")]
+    hashed = F.when(~is_("filtered"), F.sha2(F.concat(counts.cast("string"), F.lit("\x1e"), *parts), 256))
+    word = lambda i: F.conv(F.substring("hashed", 1 + 8 * i, 8), 16, 10).cast("bigint")
+    digest = F.concat_ws(":", *(F.hex(F.coalesce(F.sum(word(i)), F.lit(0))) for i in range(4)))
+    files = events.withColumn("hashed", hashed).groupBy("source_id", "file_path").agg(
         F.count_if(is_("message")).alias("messages"), F.count_if(is_("filtered")).alias("filtered"), F.count_if(is_("compact")).alias("compactions"),
         first("id").alias("first_id"), last("cwd", is_("meta")).alias("last_meta_cwd"), first("cwd", is_("model")).alias("first_turn_cwd"), first("cwd").alias("first_cwd"),
         last("model").alias("model"), last("text", is_("title")).alias("title"), F.min(said("timestamp", is_("message"))).alias("low"),
         F.min(said("timestamp", is_("meta") | is_("compact"))).alias("meta_low"), F.max(said("timestamp", is_("meta") | is_("compact"))).alias("meta_high"),
         gathered("compact").alias("compact"), F.flatten(F.transform(gathered("reasoning"), lambda t: F.split(t, "\x1f"))).alias("reasoning"),
-        kept.alias("kept"),
+        digest.alias("digest"),
     )
     uuid = file_uuid(F.col("file_path"))
     stem = F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", "")
@@ -176,8 +183,6 @@ def project_files(events: DataFrame, roots: DataFrame | None = None) -> tuple[Da
     native = F.coalesce(F.when(codex & (uuid != ""), uuid), F.col("first_id"), F.when(dsh & (parent != ""), parent), fallback)
     cwd = F.when(codex, F.coalesce("last_meta_cwd", "first_turn_cwd", F.lit(""))).otherwise(F.coalesce("first_cwd", F.lit("")))
     key = F.concat_ws(":", "source_id", native)
-    piece = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
-    digest = F.sha2(F.array_join(F.transform("kept", lambda e: F.concat(*(piece(e[f]) for f in ("event", "role", "text", "timestamp", "id", "cwd", "model")))), "\x1e"), 256)
     pi_title = F.when((F.col("source_id") == "pi") & (F.col("messages") == 0), project.cut(F.get("compact", F.lit(0)), 120))
     outcomes = files.select(
         "source_id", "file_path", native.alias("native_session_id"), key.alias("session_key"), F.when(codex, native).otherwise(key).alias("session_uuid"), cwd.alias("cwd"),
@@ -186,7 +191,7 @@ def project_files(events: DataFrame, roots: DataFrame | None = None) -> tuple[Da
         F.when(codex, project.distinct_summary(F.col("compact"))).when(F.col("source_id") == "pi", project.joined_summary(F.col("compact"))).otherwise("").alias("compact_text"),
         F.when(codex, project.distinct_summary(F.col("reasoning"))).otherwise("").alias("reasoning_summary_text"),
         F.when(F.col("messages") > 0, "projected").when((F.col("source_id") == "pi") & (F.col("compactions") > 0), "projected").when(F.col("filtered") > 0, "filtered").otherwise("skipped").alias("outcome"),
-        F.col("filtered").alias("filtered_count"), F.concat(F.lit("accepted-v1:"), "source_id", F.lit(":"), digest).alias("accepted_fingerprint"), "meta_low", "meta_high",
+        F.col("filtered").alias("filtered_count"), F.concat(F.lit("accepted-v1:"), "source_id", F.lit(":"), "digest").alias("accepted_fingerprint"), "meta_low", "meta_high",
     )
     order = Window.partitionBy("source_id", "file_path").orderBy("line_no")
     m = events.where(is_("message")).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))

@@ -135,7 +135,7 @@ def _digests(path: str, prefix: int | None, size: int) -> tuple:
     try:
         system, inner = located(path)
         whole, first, at, last = hashlib.sha256(), None, 0, 0
-        with system.open_input_stream(inner) as f:
+        with system.open_input_stream(inner, compression=None) as f:
             while at < size:
                 edge = prefix if prefix is not None and at < prefix < size else size
                 block = f.read(min(_BLOCK, edge - at))

@@ -101,7 +101,7 @@ def index_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         index = build_index(batch)
         totals = index.doc_stats.agg(F.count("*").alias("n"), F.sum("dl").alias("terms"))
-        tables = {"postings": index.postings, "doc_stats": index.doc_stats, "term_stats": term_stats(index), "totals": totals}
+        tables = {"postings": index.postings, "doc_stats": index.doc_stats, "term_stats": term_stats(index), "totals": totals, "chars": index.chars}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
@@ -113,4 +113,4 @@ def streamed_index(spark: SparkSession, path: str) -> tuple[Index, DataFrame]:
     read = lambda t: spark.read.parquet(f"{path}/{t}").drop("batch")
     corpus = read("totals").agg(F.sum("n").alias("n"), (F.sum("terms") / F.sum("n")).alias("avgdl"))
     df = read("term_stats").groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(read("postings"), read("doc_stats"), corpus), df
+    return Index(read("postings"), read("doc_stats"), corpus, read("chars")), df
