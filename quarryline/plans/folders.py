@@ -39,7 +39,7 @@ def _writer(batches):
             if path.endswith(".zst"):
                 cut = len(content) // 2
                 content = b"".join(zstandard.ZstdCompressor().compress(part) for part in (content[:cut], content[cut:]))
-            with system.open_output_stream(inner) as f:
+            with system.open_output_stream(inner, compression=None) as f:
                 f.write(content)
             paths.append(path)
         yield pa.record_batch([pa.array(paths, pa.string())], ["file_path"])
