@@ -238,7 +238,10 @@ def _second_sync(spark: SparkSession, sf_dir: str) -> tuple[refresh.Refreshed, s
     sync_folder(store, roots)
 
     def look_again():
-        write_tree(files_now(spark, sf_dir).where((F.col("source_id") == "codex") & (case_of(F.col("file_path")) == GROWN)), base)
+        chosen = (F.col("source_id") == "codex") & (case_of(F.col("file_path")) == GROWN)
+        was = files_before(spark, sf_dir).where(chosen).select(*refresh.FILE, F.col("size").alias("was"))
+        # A file that has nothing more to say is not written: with a new time only, it would not be one that grew.
+        write_tree(files_now(spark, sf_dir).where(chosen).join(was, refresh.FILE).where("size > was").drop("was"), base)
         return where.listed(_rooted(roots))
 
     return sync_folder(store, roots, look_again=look_again), store

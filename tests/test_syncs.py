@@ -388,3 +388,15 @@ def test_selector_counts_by_running_sums(spark):
         hit = [r for r in rows if inside(r, sel)]
         want[i] = (len(hit), sum(r[5] for r in hit), sum(r[5] + 1 for r in hit))
     assert {r["selector_id"]: tuple(r)[1:] for r in catalog.selector_counts(s, w).collect()} == want
+
+
+def test_files_with_nothing_more_to_say_are_not_written_between_two_looks(spark, tmp_path):
+    """Of two files that may grow, one has one message only: it stays as it was, and its source only grew."""
+    from quarryline.plans.registry import QUERIES, load
+
+    load()
+    rows = [(4, 0, "user", "one word"), (4, 1, "assistant", "two words"), (84, 0, "user", "the only one"), *((i, 0, "user", "a word") for i in (5, 6, 7))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["source_id"]: (r["kind"], r["reason"]) for r in QUERIES["sync_second_look"](spark, str(tmp_path)).collect()}
+    stable = ("stable", None)
+    assert found == {"codex": ("append_only", "source_content_changed"), "claude-code": stable, "pi": stable, "dsh": stable}
