@@ -9,16 +9,16 @@ from quarryline.functions.relax import diagnosis, next_action, refinement, relax
 from quarryline.operators import coverage, read
 from quarryline.operators.index import Index
 from quarryline.operators.rank import merge, rank
-from quarryline.operators.recall import analyzed_queries, candidates
+from quarryline.operators.recall import analyzed_queries, candidates, distinct_candidates, distinct_queries, for_each
 from quarryline.storage import keep
 
 
 def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
-    """Candidates, without texts; a query without any gets those of its relaxed forms, in their order.
+    """Candidates, without texts, of distinct analysed queries; one without any gets those of its relaxed forms, in their order.
 
     A document that several forms find counts once, for the first of them.
     """
-    strict = candidates(queries, documents, sessions, index, texts=False, **options)
+    strict = distinct_candidates(queries, documents, sessions, index, **options)
     open_ = queries.where(F.size(relaxed_queries(F.col("query"))) > 0)
     if open_.isEmpty():  # no query has other forms
         return strict
@@ -39,13 +39,17 @@ def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: Dat
 
 
 def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, now: str, limit: int = 10, sort: str = "relevance", scope: Column | None = None, exclude: DataFrame | None = None, per_source: bool = False) -> DataFrame:
-    """Ranked sessions of each query (query_id, query); merged over the sources unless ``per_source``."""
-    q = keep(analyzed_queries(queries))
+    """Ranked sessions of each query (query_id, query); merged over the sources unless ``per_source``.
+
+    Queries that ask the same are searched, ranked and merged once.
+    """
+    one, ids = distinct_queries(queries)
+    q = keep(analyzed_queries(one))
     found = recall_with_fallback(q, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
     if sort != "relevance":  # these look at the candidates twice
         found = keep(found)
     ranked = rank(found, q, now, limit=limit, sort=sort, documents=documents)
-    return ranked if per_source else merge(ranked, limit=limit, sort=sort)
+    return for_each(ranked if per_source else merge(ranked, limit=limit, sort=sort), ids)
 
 
 def find_summary(queries: DataFrame, results: DataFrame, sessions: DataFrame, scopes: DataFrame, records: DataFrame) -> DataFrame:

@@ -143,8 +143,9 @@ def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sor
         w = Window.partitionBy(*part).orderBy(F.desc("at"), "pos", "session_key")
         newest = newest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit)
         cands = cands.join(newest.select(*part, "session_key"), [*part, "session_key"], "left_semi")
-    rows = cands if documents is None else with_texts(cands, documents)
-    rows = rows.join(queries.select("query_id", "a"), "query_id").withColumn("score", row_score(F.col("a"))).drop("a")
+    rows = cands.join(queries.select("query_id", "a"), "query_id")  # before the texts, which move once
+    rows = rows if documents is None else with_texts(rows, documents)
+    rows = rows.withColumn("score", row_score(F.col("a"))).drop("a")
     if documents is not None:
         rows = rows.drop(*TEXT_FIELDS)
     s = score_sessions(group_sessions(rows), queries, now)

@@ -8,6 +8,8 @@ and lengths are those of the whole index, not of the scope.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,25 +49,60 @@ def term_documents(terms: DataFrame, index: Index) -> DataFrame:
     return single.unionByName(multi).groupBy("token", "doc_id").agg(F.sum(F.col("count") * weight).alias("f"))
 
 
-def scored(queries: DataFrame, index: Index) -> DataFrame:
+def distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries that ask the same, once, under one of their ids; and (query_id, one): the id of each query's like.
+
+    The same are those of equal query and, where there are such columns, session_key and source_id.
+    """
+    asks = ["query", *(c for c in ("session_key", "source_id") if c in queries.columns)]
+    q = keep(queries.select("query_id", *asks))
+    one = q.groupBy(*asks).agg(F.min("query_id").alias("one"))
+    same = reduce(Column.__and__, (F.col(f"q.{c}").eqNullSafe(F.col(f"o.{c}")) for c in asks))
+    return one.withColumnRenamed("one", "query_id"), q.alias("q").join(one.alias("o"), same).select("q.query_id", "o.one")
+
+
+def for_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of distinct queries for every query that asks the same."""
+    return rows.withColumnRenamed("query_id", "one").join(ids, "one").select(*rows.columns)
+
+
+def scored(queries: DataFrame, index: Index, places: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, fts_score) of all documents that hold all terms of a query.
 
-    The rarest term's documents are the candidates; the other terms are joined to
-    these only, so a frequent word costs no more than the rare one it stands beside.
+    The rarest term's documents are the candidates; each meets the frequencies of its
+    document's terms once, so a frequent word costs no more than the rare one it stands beside.
+    With ``places`` (doc_id, session_key and more) only these documents count, come with what is
+    said of them, and a query with a session_key looks at the documents of its session only.
     """
-    terms = queries.where("a.mode = 'terms'").select("query_id", F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token"))
+    own = places is not None and "session_key" in queries.columns
+    session = F.col("session_key") if own else F.lit(None).cast("string")
+    terms = queries.where("a.mode = 'terms'").select("query_id", session.alias("own"), F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token"))
     td = keep(term_documents(terms, index))
     df = td.groupBy("token").agg(F.count("*").alias("df"))
-    known = terms.join(df, "token")
-    rank = Window.partitionBy("query_id").orderBy("df", "token")
-    known = known.withColumns({"place": F.row_number().over(rank), "known": F.count("*").over(Window.partitionBy("query_id"))}).where("known = n_terms")
-    rare = known.where("place = 1").select("query_id", "n_terms", "token").join(td.select("token", "doc_id"), "token").drop("token")
-    pairs = rare.join(known.select("query_id", "token", "df"), "query_id").join(td, ["token", "doc_id"])
-    pairs = pairs.join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.corpus))  # one row
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
-    gain = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return pairs.groupBy("query_id", "doc_id").agg((-F.sum(gain)).alias("fts_score"), F.count("*").alias("hit"), F.first("n_terms").alias("n_terms")).where("hit = n_terms").select("query_id", "doc_id", "fts_score")
+    # A query's own terms, the rarest first.
+    parts = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("parts")
+    asked = terms.join(df, "token").groupBy("query_id", "own", "n_terms").agg(parts).where("size(parts) = n_terms").select("query_id", "own", "parts", F.col("parts")[0]["token"].alias("token"))
+    said = [] if places is None else [c for c in places.columns if c != "doc_id"]
+    if own:
+        asked = keep(asked)
+        inside = td.join(places.select("doc_id", F.col("session_key").alias("own")), "doc_id").select("token", "own", "doc_id")
+        pairs = asked.where("own is null").join(td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
+        pairs = pairs.unionByName(asked.where("own is not null").join(inside, ["token", "own"]).select("query_id", "parts", "doc_id"))
+    else:
+        pairs = asked.join(td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
+    held = td.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "f"))).alias("held")).join(index.doc_stats, "doc_id")
+    if places is not None:
+        held = held.join(places, "doc_id")
+    pairs = pairs.join(held, "doc_id").where(F.forall("parts", lambda p: F.map_contains_key("held", p["token"])))
+    pairs = pairs.crossJoin(F.broadcast(index.corpus))  # one row
+
+    def gain(p):
+        raw = F.log((F.col("n") - p["df"] + 0.5) / (p["df"] + 0.5))
+        f = F.element_at("held", p["token"])
+        return F.when(raw > 0, raw).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    score = -F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + gain(p))
+    return pairs.select("query_id", "doc_id", score.alias("fts_score"), *said)
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -96,31 +133,40 @@ def literal_matches(queries: DataFrame, documents: DataFrame, chars: DataFrame |
     return whole.select("doc_id", F.explode(hit).alias("q")).select("q.query_id", "doc_id", zero)
 
 
-def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance", texts: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, texts: bool = True, **options) -> DataFrame:
     """Scoped candidates with document and session columns and cand_pos, at most a budget per query and source.
 
     ``queries`` holds query_id and query, and may hold session_key (search one session) and
-    source_id.  ``scope`` is a predicate on session columns and on those of documents that are
-    no texts, ``exclude`` has (source_id or null, ref) rows.  Scope applies before the budget,
-    texts are joined after it, or not at all without ``texts``.
+    source_id; those that ask the same are searched once.  Options are those of ``distinct_candidates``.
+    """
+    one, ids = distinct_queries(queries)
+    rows = for_each(distinct_candidates(keep(analyzed_queries(one)), documents, sessions, index, **options), ids)
+    return with_texts(rows, documents) if texts else rows
+
+
+def distinct_candidates(q: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
+    """Candidates, without texts, of analysed queries no two of which ask the same.
+
+    ``scope`` is a predicate on session columns and on those of documents that are
+    no texts, ``exclude`` has (source_id or null, ref) rows.  Both apply to the documents before
+    any query meets them; up to the budget a candidate carries only what orders it.
     """
-    q = queries if "a" in queries.columns else analyzed_queries(queries)
-    hits = scored(q, index).unionByName(literal_matches(q, documents, index.chars))
     s = sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
-    rows = hits.join(documents.drop(*TEXT_FIELDS), "doc_id").join(s, "session_key")
-    if scope is not None:
-        rows = rows.where(scope)
-    for column in ("session_key", "source_id"):
-        if column in queries.columns:
-            own = queries.select("query_id", F.col(column).alias("own"))
-            rows = rows.join(own, "query_id").where(F.col("own").isNull() | (F.col("own") == F.col(column))).drop("own")
+    whole = documents.drop(*TEXT_FIELDS).join(s, "session_key")
+    there = whole if scope is None else whole.where(scope)
     if exclude is not None:
-        rows = excluded(rows, exclude)
+        there = excluded(there, exclude)
     time = {"ended": "ended_at", "started": "started_at"}.get(sort)
-    order = [F.desc(time), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("ended_at"), F.coalesce("seq", F.lit(-1))]
+    places = there.select("doc_id", "session_key", "source_id", "seq", F.col(time or "ended_at").alias("at"))
+    rows = scored(q, index, places).unionByName(literal_matches(q, documents, index.chars).join(places, "doc_id"))
+    for column in ("session_key", "source_id"):
+        if column in q.columns:
+            own = q.select("query_id", F.col(column).alias("own"))
+            rows = rows.join(own, "query_id").where(F.col("own").isNull() | (F.col("own") == F.col(column))).drop("own")
+    order = [F.desc("at"), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("at"), F.coalesce("seq", F.lit(-1))]
     w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
     rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
-    return with_texts(rows, documents) if texts else rows
+    return rows.select("query_id", "doc_id", "fts_score", "cand_pos").join(whole, "doc_id")
 
 
 def with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
