@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.storage import remove_folder, shared_path
+from quarryline.storage import CLEAN, keep, remove_folder, settings, shared_path
 
-__all__ = ["remove_folder", "shared_path"]
+__all__ = ["CLEAN", "remove_folder", "settings", "shared_path"]
 
 #: Words as the mixing, rule and SimHash operators see them: runs of anything but blanks.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -38,32 +36,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """The session with these settings, and afterwards with those it had."""
-    old = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-#: Shuffle files of a query go when it ends; nothing reads them once its result is written.
-CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-
-
 def stash(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again; cuts the lineage."""
-    path = shared_path(df.sparkSession)
-    with settings(df.sparkSession, CLEAN):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return keep(df)
 
 
 def trained_dictionary(samples: list[bytes], size: int) -> bytes:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from quarryline.functions.relax import diagnosis, next_action, refinement, relaxed_queries
 from quarryline.operators import coverage, read
 from quarryline.operators.index import Index
-from quarryline.operators.rank import merge, rank
-from quarryline.operators.recall import analyzed_queries, candidates, distinct_candidates, distinct_queries, for_each
+from quarryline.operators.rank import merge, ranked_sessions, whole_results
+from quarryline.operators.recall import analyzed_queries, candidate_keys, distinct_candidates, distinct_queries, for_each
 from quarryline.storage import keep
 
 
 def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
-    """Candidates, without texts, of distinct analysed queries; one without any gets those of its relaxed forms, in their order.
+    """Keys of the candidates of distinct analysed queries; one without any gets those of its relaxed forms, in their order.
 
     A document that several forms find counts once, for the first of them.
     """
@@ -28,7 +28,7 @@ def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: Dat
     forms = keep(forms).withColumns({"whole_id": F.col("query_id"), "query_id": F.concat_ws("\x01", F.col("query_id").cast("string"), F.col("form").cast("string"))})
     if forms.isEmpty():
         return strict
-    more = candidates(forms.drop("whole_id", "form"), documents, sessions, index, texts=False, **options)
+    more = candidate_keys(forms.drop("whole_id", "form"), documents, sessions, index, **options)
     more = more.join(forms.select("query_id", "whole_id", "form"), "query_id")
     more = more.withColumn("query_id", F.col("whole_id").cast(queries.schema["query_id"].dataType)).drop("whole_id")
     once = Window.partitionBy("query_id", "doc_id").orderBy("form")
@@ -41,15 +41,15 @@ def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: Dat
 def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, now: str, limit: int = 10, sort: str = "relevance", scope: Column | None = None, exclude: DataFrame | None = None, per_source: bool = False) -> DataFrame:
     """Ranked sessions of each query (query_id, query); merged over the sources unless ``per_source``.
 
-    Queries that ask the same are searched, ranked and merged once.
+    Queries that ask the same are searched, ranked and merged once; texts are joined to
+    what is left.
     """
     one, ids = distinct_queries(queries)
     q = keep(analyzed_queries(one))
-    found = recall_with_fallback(q, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude)
-    if sort != "relevance":  # these look at the candidates twice
-        found = keep(found)
-    ranked = rank(found, q, now, limit=limit, sort=sort, documents=documents)
-    return for_each(ranked if per_source else merge(ranked, limit=limit, sort=sort), ids)
+    found = keep(recall_with_fallback(q, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude))
+    ranked = ranked_sessions(found, q, now, limit=limit, sort=sort, documents=documents, sessions=sessions)
+    ranked = keep(ranked if per_source else merge(ranked, limit=limit, sort=sort))
+    return whole_results(for_each(ranked.join(q.select("query_id", "a"), "query_id"), ids), documents, sessions)
 
 
 def find_summary(queries: DataFrame, results: DataFrame, sessions: DataFrame, scopes: DataFrame, records: DataFrame) -> DataFrame:

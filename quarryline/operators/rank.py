@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import has_bounded_phrase, has_trailing_arguments, let, shortest_ordered_span, term_hits, tokenize
-from quarryline.operators.recall import TEXT_FIELDS, with_texts
+from quarryline.operators.recall import TEXT_FIELDS, session_columns
 
 #: Fixed values of the session score.
 DAY_MS = 86_400_000.0
 #: Texts of the display row that results show or test.
 SHOWN_TEXTS = ("body_text", "compact_text", "reasoning_text")
+#: Columns of a candidate's session, and what results call them.
+SAID = {"session_summary": "summary_text"} | {c: c for c in ("session_uuid", "title", "cwd", "started_at", "ended_at", "message_count")}
 
 
 def is_message() -> Column:
@@ -82,12 +84,13 @@ def group_sessions(rows: DataFrame) -> DataFrame:
     """Candidates with a row score to one row a query and session.
 
     The display row is a message if any matched, then the best score, then the
-    earliest candidate; the score is of the best row of any kind.
+    earliest candidate; the score is of the best row of any kind.  Columns of the session
+    are kept where the candidates have them.
     """
     message = is_message().cast("int")
     texts = [c for c in SHOWN_TEXTS if c in rows.columns]
     shown = F.max_by(F.struct("kind", "seq", "role", "timestamp", "doc_id", *texts), F.struct(message, "score", -F.col("cand_pos")))
-    first = lambda c: F.min_by(c, "cand_pos").alias(c)
+    said = [F.min_by(c, "cand_pos").alias(n) for c, n in SAID.items() if c in rows.columns]
     return rows.groupBy("query_id", "source_id", "session_key").agg(
         F.max("score").alias("best"),
         shown.alias("shown"),
@@ -95,8 +98,7 @@ def group_sessions(rows: DataFrame) -> DataFrame:
         F.sum(1 - message).alias("profile_hits"),
         F.sum((is_message() & (F.col("role") == "user")).cast("int")).alias("user_hits"),
         F.min("cand_pos").alias("first_pos"),
-        F.min_by("session_summary", "cand_pos").alias("summary_text"),
-        *(first(c) for c in ("session_uuid", "title", "cwd", "started_at", "ended_at", "message_count")),
+        *said,
     )
 
 
@@ -127,12 +129,12 @@ def matched_fields(shown: Column, title: Column, summary: Column, a: Column) ->
     return F.when(shown["kind"] == "message", F.array(F.lit("message"))).otherwise(profile)
 
 
-def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None) -> DataFrame:
-    """Ranked sessions per query and source.
+def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """The first sessions per query and source, in order, with their display row.
 
-    Candidates come with their texts, or without them and with ``documents``, from which
-    they are then read for the score and again for the few rows that are left: grouping and
-    ordering move no texts.
+    Candidates come with all columns, or as keys and with ``documents`` and ``sessions``:
+    then a key meets its document, and its group its session, for the score only, and what
+    ``whole_results`` gives back is left there.
     Time sorts keep the newest 2 x limit sessions first and score only those; the
     final order is by time, then score.
     """
@@ -143,22 +145,36 @@ def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sor
         w = Window.partitionBy(*part).orderBy(F.desc("at"), "pos", "session_key")
         newest = newest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit)
         cands = cands.join(newest.select(*part, "session_key"), [*part, "session_key"], "left_semi")
-    rows = cands.join(queries.select("query_id", "a"), "query_id")  # before the texts, which move once
-    rows = rows if documents is None else with_texts(rows, documents)
+    rows = cands if documents is None else cands.select("query_id", "doc_id", "fts_score", "cand_pos")
+    rows = rows.join(queries.select("query_id", "a"), "query_id")
+    rows = rows if documents is None else rows.join(documents.select("doc_id", "source_id", "session_key", "kind", "seq", "role", "timestamp", *TEXT_FIELDS), "doc_id")
     rows = rows.withColumn("score", row_score(F.col("a"))).drop("a")
     if documents is not None:
         rows = rows.drop(*TEXT_FIELDS)
-    s = score_sessions(group_sessions(rows), queries, now)
+    grouped = group_sessions(rows)
+    if sessions is not None:
+        grouped = grouped.join(session_columns(sessions).select("session_key", *(F.col(c).alias(n) for c, n in SAID.items())), "session_key")
+    s = score_sessions(grouped, queries, now)
     s = s.withColumn("session_ref", session_ref(F.col("source_id"), F.col("session_uuid"), F.col("session_key")))
+    if sessions is not None:
+        s = s.select(*part, "session_key", "session_ref", "score", "started_at", "ended_at", "first_pos", "match_count", "shown")
     order = [F.desc(time), F.desc("score"), "source_id", "session_ref"] if time else [F.desc("score"), F.desc("ended_at"), "first_pos"]
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= limit)
-    if documents is not None:
-        texts = documents.select(F.col("doc_id").alias("shown_id"), F.struct(*SHOWN_TEXTS).alias("texts"))
-        s = s.join(texts, F.col("shown.doc_id") == F.col("shown_id"))
-        s = s.withColumn("shown", F.struct("shown.*", "texts.*"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= limit)
+
+
+def whole_results(ranked: DataFrame, documents: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Sessions ranked by keys, with their analysis a, as results show them."""
+    texts = documents.select(F.col("doc_id").alias("shown_id"), F.struct(*SHOWN_TEXTS).alias("texts"))
+    said = session_columns(sessions).select("session_key", *(F.col(c).alias(n) for c, n in SAID.items() if n not in ranked.columns))
+    s = ranked.join(texts, F.col("shown.doc_id") == F.col("shown_id")).join(said, "session_key")
+    return as_results(s.withColumn("shown", F.struct("shown.*", "texts.*")))
+
+
+def as_results(ranked: DataFrame) -> DataFrame:
+    """Ranked sessions with the texts of their display rows, as results show them."""
     shown = F.col("shown")
-    return s.select(
-        *part, "rank", "session_ref", "session_key", "session_uuid", "score", "title", "summary_text", "cwd", "started_at", "ended_at", "match_count",
+    return ranked.select(
+        "query_id", "source_id", "rank", "session_ref", "session_key", "session_uuid", "score", "title", "summary_text", "cwd", "started_at", "ended_at", "match_count",
         F.when(shown["kind"] == "message", "message").otherwise("session").alias("match_source"), shown["seq"].alias("match_seq"),
         F.when(shown["kind"] != "message", "session").when(shown["role"] == "user", "user").otherwise("assistant").alias("match_role"), shown["timestamp"].alias("match_timestamp"),
         matched_fields(shown, F.col("title"), F.col("summary_text"), F.col("a")).alias("matched_fields"), F.col("message_count").alias("session_message_count"),
@@ -166,6 +182,11 @@ def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sor
     )
 
 
+def rank(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance") -> DataFrame:
+    """Results per query and source from candidates with all columns."""
+    return as_results(ranked_sessions(cands, queries, now, limit=limit, sort=sort))
+
+
 def merge(results: DataFrame, *, limit: int = 10, sort: str = "relevance") -> DataFrame:
     """One list a query from the sources' lists.
 

@@ -133,27 +133,36 @@ def literal_matches(queries: DataFrame, documents: DataFrame, chars: DataFrame |
     return whole.select("doc_id", F.explode(hit).alias("q")).select("q.query_id", "doc_id", zero)
 
 
-def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, texts: bool = True, **options) -> DataFrame:
-    """Scoped candidates with document and session columns and cand_pos, at most a budget per query and source.
+def candidate_keys(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
+    """Scoped candidates (query_id, source_id, session_key, doc_id, fts_score, cand_pos), at most a budget per query and source.
 
     ``queries`` holds query_id and query, and may hold session_key (search one session) and
     source_id; those that ask the same are searched once.  Options are those of ``distinct_candidates``.
     """
     one, ids = distinct_queries(queries)
-    rows = for_each(distinct_candidates(keep(analyzed_queries(one)), documents, sessions, index, **options), ids)
-    return with_texts(rows, documents) if texts else rows
+    return for_each(keep(distinct_candidates(keep(analyzed_queries(one)), documents, sessions, index, **options)), ids)
+
+
+def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, texts: bool = True, **options) -> DataFrame:
+    """``candidate_keys`` with the columns of their documents and sessions."""
+    rows = candidate_keys(queries, documents, sessions, index, **options).select("query_id", "doc_id", "fts_score", "cand_pos")
+    return rows.join((documents if texts else documents.drop(*TEXT_FIELDS)).join(session_columns(sessions), "session_key"), "doc_id")
+
+
+def session_columns(sessions: DataFrame) -> DataFrame:
+    """What candidates and results say of their sessions."""
+    return sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
 
 
 def distinct_candidates(q: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
-    """Candidates, without texts, of analysed queries no two of which ask the same.
+    """The keys of the candidates of analysed queries no two of which ask the same; with the time if that orders them.
 
     ``scope`` is a predicate on session columns and on those of documents that are
     no texts, ``exclude`` has (source_id or null, ref) rows.  Both apply to the documents before
-    any query meets them; up to the budget a candidate carries only what orders it.
+    any query meets them; a candidate carries only what orders it.
     """
-    s = sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
-    whole = documents.drop(*TEXT_FIELDS).join(s, "session_key")
-    there = whole if scope is None else whole.where(scope)
+    there = documents.drop(*TEXT_FIELDS).join(session_columns(sessions), "session_key")
+    there = there if scope is None else there.where(scope)
     if exclude is not None:
         there = excluded(there, exclude)
     time = {"ended": "ended_at", "started": "started_at"}.get(sort)
@@ -166,12 +175,7 @@ def distinct_candidates(q: DataFrame, documents: DataFrame, sessions: DataFrame,
     order = [F.desc("at"), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("at"), F.coalesce("seq", F.lit(-1))]
     w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
     rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
-    return rows.select("query_id", "doc_id", "fts_score", "cand_pos").join(whole, "doc_id")
-
-
-def with_texts(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Rows with the texts of their documents."""
-    return rows.join(documents.select("doc_id", *TEXT_FIELDS), "doc_id")
+    return rows.select("query_id", "source_id", "session_key", "doc_id", "fts_score", "cand_pos", *([F.col("at").alias(time)] if time else []))
 
 
 def exclusions(values: DataFrame) -> DataFrame:

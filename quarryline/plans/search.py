@@ -196,7 +196,7 @@ ORACLES["index_term_stats"] = CONV_INDEX_SQL + " SELECT term, count(DISTINCT doc
 
 def q_recall(spark, sf_dir):
     c = conv(spark, sf_dir).searchable()
-    rows = recall.candidates(conversation_queries(c), c.documents, c.sessions, c.index)
+    rows = recall.candidate_keys(conversation_queries(c), c.documents, c.sessions, c.index)
     return rows.select("query_id", "source_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), F.col("cand_pos").cast("long").alias("cand_pos"))
 
 
@@ -208,7 +208,7 @@ def q_scoped(spark, sf_dir):
     c = conv(spark, sf_dir).searchable()
     scope = F.col("source_id").isin("codex", "pi") & F.lower("cwd").contains("/p3") & (F.col("ended_at") >= "2024-01-02") & F.col("path_date").between("2024-01-01", "2024-12-31") & F.col("file_path").startswith("/logs/")
     gone = recall.exclusions(c.sessions.where("native_session_id like '%1'").select(F.col("native_session_id").alias("value")))
-    rows = recall.candidates(conversation_queries(c), c.documents, c.sessions, c.index, scope=scope, exclude=gone)
+    rows = recall.candidate_keys(conversation_queries(c), c.documents, c.sessions, c.index, scope=scope, exclude=gone)
     return rows.select("query_id", "source_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), F.col("cand_pos").cast("long").alias("cand_pos"))
 
 
@@ -222,7 +222,7 @@ ORACLES["recall_scoped_excluding"] = (
 def q_in_session(spark, sf_dir):
     c = conv(spark, sf_dir).searchable()
     q = conversation_queries(c).withColumn("session_key", F.col("query_id"))
-    rows = recall.candidates(q, c.documents, c.sessions, c.index, limit=4)
+    rows = recall.candidate_keys(q, c.documents, c.sessions, c.index, limit=4)
     return rows.select("query_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), F.col("cand_pos").cast("long").alias("cand_pos"))
 
 

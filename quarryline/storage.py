@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,31 @@ def shared_path(spark: SparkSession) -> str:
     return _made[-1]
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with these settings, and afterwards with those it had."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Shuffle files of a query go when it ends; nothing reads them once its result is written.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes a step's result and reads it again: later steps neither repeat it nor carry its plan."""
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    with settings(df.sparkSession, CLEAN):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
