@@ -5,7 +5,7 @@ earlier: in an earlier document, or earlier in the same one.
 
 Equal texts are settled by their SHA-256: all but the first are removed whole, and
 only distinct texts go on.  These are numbered in the order of their first id, and
-come in batches of rising number, each of about ``batch_bytes``, six at least.
+come in batches of rising number, each of about ``batch_bytes``, four at least.
 
 A batch gets a sparse suffix array: of each run of windows that agree on their
 smallest 32-byte string, the suffix that starts with that string is kept, and the
@@ -43,6 +43,8 @@ GRAM = 32
 _SEGMENT = 1 << 20
 _TASK_BYTES = 32 << 20
 _CROWD = 64
+#: Least number of batches: each more costs another look at the levels, each less makes a batch's share of the disk larger.
+_BATCHES = 4
 _GROUP = 4096
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SECOND = 0xD1342543DE82EF95
@@ -476,7 +478,7 @@ def remove_repeats(
     own = docs.select(F.col(id_col).alias("id"), _digest(text).alias("digest"), text.alias("text"))
     slim = stash(own.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     total = slim.agg(F.sum("n_bytes")).first()[0] or 0
-    batches = batches or max(6, -(-total // batch_bytes))
+    batches = batches or max(_BATCHES, -(-total // batch_bytes))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     numbered = _number(slim, length, batches)
     index = SuffixIndex(spark, buckets, length)

@@ -122,3 +122,13 @@ def test_levels_are_not_shuffled(spark):
     above, _, below = plan.partition("Union")
     assert "Exchange" not in above and above.count("Sort ") == 1
     assert below.count("Exchange hashpartitioning") == 2 and "Bucketed: true" in below
+
+
+def test_levels_are_read_no_more_often_than_needed(spark, monkeypatch):
+    seen = []
+    merge, add = suffixes.SuffixIndex._merge, suffixes.SuffixIndex.add
+    monkeypatch.setattr(suffixes.SuffixIndex, "_merge", lambda self, a, b: (seen.append("merge"), merge(self, a, b))[1])
+    monkeypatch.setattr(suffixes.SuffixIndex, "add", lambda self, docs, **k: (seen.append(len(self.levels)), add(self, docs, **k))[1])
+    rows = [(i, f"{i} " * 40 + "the same words stand in every one of these texts, and they are more than a hundred bytes long, all of them. ") for i in range(8)]
+    check(spark, rows)
+    assert seen == [0, 1, "merge", 1, 2]
