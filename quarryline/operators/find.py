@@ -9,16 +9,15 @@ from quarryline.functions.relax import diagnosis, next_action, refinement, relax
 from quarryline.operators import coverage, read
 from quarryline.operators.index import Index
 from quarryline.operators.rank import merge, ranked_sessions, whole_results
-from quarryline.operators.recall import analyzed_queries, candidate_keys, distinct_candidates, distinct_queries, for_each
+from quarryline.operators.recall import analyzed_queries, candidate_keys, distinct_queries, for_each, in_batches
 from quarryline.storage import keep
 
 
-def recall_with_fallback(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
+def with_fallback(strict: DataFrame, queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, **options) -> DataFrame:
     """Keys of the candidates of distinct analysed queries; one without any gets those of its relaxed forms, in their order.
 
     A document that several forms find counts once, for the first of them.
     """
-    strict = distinct_candidates(queries, documents, sessions, index, **options)
     open_ = queries.where(F.size(relaxed_queries(F.col("query"))) > 0)
     if open_.isEmpty():  # no query has other forms
         return strict
@@ -46,9 +45,14 @@ def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: I
     """
     one, ids = distinct_queries(queries)
     q = keep(analyzed_queries(one))
-    found = keep(recall_with_fallback(q, documents, sessions, index, limit=limit, sort=sort, scope=scope, exclude=exclude))
-    ranked = ranked_sessions(found, q, now, limit=limit, sort=sort, documents=documents, sessions=sessions)
-    ranked = keep(ranked if per_source else merge(ranked, limit=limit, sort=sort))
+    options = {"limit": limit, "sort": sort, "scope": scope, "exclude": exclude}
+
+    def ranked_of(some: DataFrame, strict: DataFrame) -> DataFrame:
+        found = keep(with_fallback(strict, some, documents, sessions, index, **options))
+        rows = ranked_sessions(found, some, now, limit=limit, sort=sort, documents=documents, sessions=sessions)
+        return rows if per_source else merge(rows, limit=limit, sort=sort)
+
+    ranked = in_batches(q, documents, sessions, index, ranked_of, **options)
     return whole_results(for_each(ranked.join(q.select("query_id", "a"), "query_id"), ids), documents, sessions)
 
 

@@ -8,6 +8,8 @@ and lengths are those of the whole index, not of the scope.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import CJK, analyze_query, phrase_of
 from quarryline.operators.index import K1, WEIGHTS, B, Index
-from quarryline.storage import keep
+from quarryline.storage import keep, passing
 
 TEXT_FIELDS = list(WEIGHTS)
+#: Pairs of a query and a document of its rarest term that are looked at in one batch, if the index has not more postings of query terms.
+LEAST_PAIRS = 1 << 20
 SESSION_COLUMNS = ["title", "cwd", "started_at", "ended_at", "session_uuid", "native_session_id", "path_date", "file_path", "message_count"]
 
 
@@ -66,14 +70,22 @@ def for_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("query_id", "one").join(ids, "one").select(*rows.columns)
 
 
-def scored(queries: DataFrame, index: Index, places: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, fts_score) of all documents that hold all terms of a query.
+@dataclass(frozen=True)
+class Lookup:
+    """What the index says of the terms of many queries, each looked up once for all of them.
 
-    The rarest term's documents are the candidates; each meets the frequencies of its
-    document's terms once, so a frequent word costs no more than the rare one it stands beside.
-    With ``places`` (doc_id, session_key and more) only these documents count, come with what is
-    said of them, and a query with a session_key looks at the documents of its session only.
+    asked (query_id, own, parts, token, df): a query's terms with their document frequencies and the
+    rarest of them; td (token, doc_id, f) as ``term_documents`` has it; held: a document's
+    terms and their frequencies, its length and what is said of its place.
     """
+
+    asked: DataFrame
+    td: DataFrame
+    held: DataFrame
+
+
+def looked_up(queries: DataFrame, index: Index, places: DataFrame | None = None) -> Lookup:
+    """The terms of analysed queries, in documents of ``places`` only if given; see ``scored``."""
     own = places is not None and "session_key" in queries.columns
     session = F.col("session_key") if own else F.lit(None).cast("string")
     terms = queries.where("a.mode = 'terms'").select("query_id", session.alias("own"), F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token"))
@@ -81,19 +93,32 @@ def scored(queries: DataFrame, index: Index, places: DataFrame | None = None) ->
     df = td.groupBy("token").agg(F.count("*").alias("df"))
     # A query's own terms, the rarest first.
     parts = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("parts")
-    asked = terms.join(df, "token").groupBy("query_id", "own", "n_terms").agg(parts).where("size(parts) = n_terms").select("query_id", "own", "parts", F.col("parts")[0]["token"].alias("token"))
-    said = [] if places is None else [c for c in places.columns if c != "doc_id"]
-    if own:
-        asked = keep(asked)
-        inside = td.join(places.select("doc_id", F.col("session_key").alias("own")), "doc_id").select("token", "own", "doc_id")
-        pairs = asked.where("own is null").join(td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
-        pairs = pairs.unionByName(asked.where("own is not null").join(inside, ["token", "own"]).select("query_id", "parts", "doc_id"))
-    else:
-        pairs = asked.join(td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
+    asked = terms.join(df, "token").groupBy("query_id", "own", "n_terms").agg(parts).where("size(parts) = n_terms")
+    asked = keep(asked.select("query_id", "own", "parts", F.col("parts")[0]["token"].alias("token"), F.col("parts")[0]["df"].alias("df")))
     held = td.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "f"))).alias("held")).join(index.doc_stats, "doc_id")
+    return Lookup(asked, td, keep(held if places is None else held.join(places, "doc_id")))
+
+
+def batches_of(lookup: Lookup) -> int:
+    """Batches in which no more pairs than the terms have postings are looked at, so that these pairs' room goes with the index."""
+    pairs = lookup.asked.where("own is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-pairs // max(LEAST_PAIRS, lookup.td.count())))
+
+
+def scored(asked: DataFrame, lookup: Lookup, index: Index, places: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, fts_score) of all documents that hold all terms of a query, for some of those asked.
+
+    The rarest term's documents are the candidates; each meets the frequencies of its
+    document's terms once, so a frequent word costs no more than the rare one it stands beside.
+    With ``places`` (doc_id, session_key and more), as the lookup has them, only these documents
+    count, come with what is said of them, and a query with a session of its own looks at that only.
+    """
+    said = [] if places is None else [c for c in places.columns if c != "doc_id"]
+    pairs = asked.where("own is null").join(lookup.td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
     if places is not None:
-        held = held.join(places, "doc_id")
-    pairs = pairs.join(held, "doc_id").where(F.forall("parts", lambda p: F.map_contains_key("held", p["token"])))
+        inside = lookup.held.select(F.explode(F.map_keys("held")).alias("token"), F.col("session_key").alias("own"), "doc_id")
+        pairs = pairs.unionByName(asked.where("own is not null").join(inside, ["token", "own"]).select("query_id", "parts", "doc_id"))
+    pairs = pairs.join(lookup.held, "doc_id").where(F.forall("parts", lambda p: F.map_contains_key("held", p["token"])))
     pairs = pairs.crossJoin(F.broadcast(index.corpus))  # one row
 
     def gain(p):
@@ -137,10 +162,11 @@ def candidate_keys(queries: DataFrame, documents: DataFrame, sessions: DataFrame
     """Scoped candidates (query_id, source_id, session_key, doc_id, fts_score, cand_pos), at most a budget per query and source.
 
     ``queries`` holds query_id and query, and may hold session_key (search one session) and
-    source_id; those that ask the same are searched once.  Options are those of ``distinct_candidates``.
+    source_id; those that ask the same are searched once.  Options are those of ``in_batches``.
     """
     one, ids = distinct_queries(queries)
-    return for_each(keep(distinct_candidates(keep(analyzed_queries(one)), documents, sessions, index, **options)), ids)
+    ids = keep(ids)
+    return in_batches(keep(analyzed_queries(one)), documents, sessions, index, lambda q, found: for_each(found, ids), **options)
 
 
 def candidates(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, texts: bool = True, **options) -> DataFrame:
@@ -154,8 +180,12 @@ def session_columns(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
 
 
-def distinct_candidates(q: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
-    """The keys of the candidates of analysed queries no two of which ask the same; with the time if that orders them.
+def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, of: Callable[[DataFrame, DataFrame], DataFrame], *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
+    """What ``of`` makes of analysed queries, no two of which ask the same, and of the keys of their candidates (with the time if that orders them).
+
+    Terms are looked up once for all queries.  These then go by batches, each of which is written
+    before the next one starts, so that what is shuffled at a time goes with the index, not
+    with the pairs of all queries and documents.
 
     ``scope`` is a predicate on session columns and on those of documents that are
     no texts, ``exclude`` has (source_id or null, ref) rows.  Both apply to the documents before
@@ -167,15 +197,25 @@ def distinct_candidates(q: DataFrame, documents: DataFrame, sessions: DataFrame,
         there = excluded(there, exclude)
     time = {"ended": "ended_at", "started": "started_at"}.get(sort)
     places = there.select("doc_id", "session_key", "source_id", "seq", F.col(time or "ended_at").alias("at"))
-    rows = scored(q, index, places).unionByName(literal_matches(q, documents, index.chars).join(places, "doc_id"))
-    for column in ("session_key", "source_id"):
-        if column in q.columns:
-            own = q.select("query_id", F.col(column).alias("own"))
-            rows = rows.join(own, "query_id").where(F.col("own").isNull() | (F.col("own") == F.col(column))).drop("own")
     order = [F.desc("at"), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("at"), F.coalesce("seq", F.lit(-1))]
     w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
-    rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
-    return rows.select("query_id", "source_id", "session_key", "doc_id", "fts_score", "cand_pos", *([F.col("at").alias(time)] if time else []))
+    with passing(queries.sparkSession) as stay:
+        lookup = looked_up(queries, index, places)
+        literal = keep(literal_matches(queries, documents, index.chars).join(places, "doc_id"))
+        done, n = [], batches_of(lookup)
+        for i in range(n):
+            mine = F.lit(True) if n == 1 else F.pmod(F.xxhash64("query_id"), F.lit(n)) == i
+            with passing(queries.sparkSession):
+                q = queries.where(mine)
+                rows = scored(lookup.asked.where(mine), lookup, index, places).unionByName(literal.where(mine))
+                for column in ("session_key", "source_id"):
+                    if column in q.columns:
+                        own = q.select("query_id", F.col(column).alias("own"))
+                        rows = rows.join(own, "query_id").where(F.col("own").isNull() | (F.col("own") == F.col(column))).drop("own")
+                rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
+                rows = rows.select("query_id", "source_id", "session_key", "doc_id", "fts_score", "cand_pos", *([F.col("at").alias(time)] if time else []))
+                done.append(stay(of(q, rows)))
+    return reduce(DataFrame.unionByName, done)
 
 
 def exclusions(values: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from quarryline.operators import project, recall
 from quarryline.operators import rank as rk
 from quarryline.plans import corpora
 from quarryline.plans.registry import ORACLES, QUERIES
-from quarryline.storage import keep
+from quarryline.storage import keep, passing
 
 NOW = "2024-03-01T00:00:00.000Z"
 
@@ -30,7 +30,8 @@ class Corpus:
 
     @cached_property
     def index(self) -> ix.Index:
-        return ix.build_index(self.documents).saved()
+        with passing(self.documents.sparkSession):
+            return ix.build_index(self.documents).saved()
 
     def searchable(self) -> Corpus:
         self.sessions, self.documents = keep(self.sessions), keep(self.documents)

@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: Paths of the steps that go when the innermost ``passing`` ends; none outside of any.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_path(spark: SparkSession) -> str:
@@ -57,11 +60,39 @@ CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 def keep(df: DataFrame) -> DataFrame:
     """Writes a step's result and reads it again: later steps neither repeat it nor carry its plan."""
     path = shared_path(df.sparkSession)
+    if (held := _passing.get()) is not None:
+        held.append(path)
     with settings(df.sparkSession, CLEAN):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Steps that are kept inside go when this ends; what outlasts it is written by the function it gives.
+
+    Nothing else that reads such steps may be used afterwards.
+    """
+    outer, own = _passing.get(), []
+    mark = _passing.set(own)
+
+    def stay(df: DataFrame) -> DataFrame:
+        inner = _passing.set(outer)
+        try:
+            return keep(df)
+        finally:
+            _passing.reset(inner)
+
+    try:
+        yield stay
+    finally:
+        _passing.reset(mark)
+        for path in own:
+            if path in _made:
+                _made.remove(path)
+            remove_folder(spark, path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the library's own."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
