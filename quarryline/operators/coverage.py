@@ -9,15 +9,38 @@ from quarryline.operators import selectors
 from quarryline.operators.project import INDEX_VERSION
 
 
+_PLACE = ["__source", "__root"]
+
+
 def covering(records: DataFrame, requests: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
     """Pairs of requests (request_id, requested) and current records (selector, ...) that imply them.
 
-    Equality on source and root carries the join; the rest of the implication is a filter.
+    Records of a whole root meet all requests of it.  Others meet those of their directory and
+    of the days that are asked for in their range, by equality, so that no two are paired
+    that have nothing in common; the implication has the last word.
     """
-    r = records.where(F.col("record_version") == version).withColumns({"r_source": F.col("selector.source"), "r_root": F.col("selector.root")})
-    q = requests.withColumns({"q_source": F.col("requested.source"), "q_root": F.col("requested.root")})
-    on = (F.col("r_source") == F.col("q_source")) & (F.col("r_root") == F.col("q_root")) & selectors.implies(F.col("selector"), F.col("requested"))
-    return q.join(r, on).drop("r_source", "r_root", "q_source", "q_root")
+    own, asked = F.col("selector"), F.col("requested")
+    r = records.where(F.col("record_version") == version).withColumns(dict(zip(_PLACE, (own["source"], own["root"]))))
+    q = requests.withColumns(dict(zip(_PLACE, (asked["source"], asked["root"]))))
+    whole = q.join(r.where(own["kind"] == "all"), _PLACE)
+
+    none = F.lit("")
+    key = lambda kind, cwd=none, day=none: F.struct(F.lit(kind).alias("kind"), cwd.alias("cwd"), day.alias("day"))
+    dated, placed = asked["kind"].isin("date_range", "cwd_date_range"), asked["kind"].isin("cwd", "cwd_date_range")
+    keys = F.array(F.when(placed, key("cwd", asked["cwd"])), F.when(dated, key("date_range", day=asked["fromDate"])), F.when(dated & placed, key("cwd_date_range", asked["cwd"], asked["fromDate"])))
+    q = q.withColumn("__key", F.explode(F.filter(keys, lambda k: k.isNotNull())))
+
+    days = requests.where(dated).select(asked["source"].alias("__source"), asked["root"].alias("__root"), asked["fromDate"].alias("day")).groupBy(*_PLACE).agg(F.collect_set("day").alias("days"))  # of the calendar
+    in_range = F.filter("days", lambda d: (d >= own["fromDate"]) & (d <= own["toDate"]))
+    by_day = r.where(own["kind"].isin("date_range", "cwd_date_range"))
+    one_day = own["fromDate"] == own["toDate"]
+    wide = by_day.where(~one_day).join(days, _PLACE).withColumn("__day", F.explode(in_range)).drop("days")
+    by_day = by_day.where(one_day).withColumn("__day", own["fromDate"]).unionByName(wide)
+    narrow = r.where(own["kind"] == "cwd").withColumn("__day", none).unionByName(by_day)
+    cwd = F.when(own["kind"] == "date_range", none).otherwise(own["cwd"])
+    narrow = narrow.withColumn("__key", F.struct(own["kind"].alias("kind"), cwd.alias("cwd"), F.col("__day").alias("day"))).drop("__day")
+    met = q.join(narrow, [*_PLACE, "__key"]).where(selectors.implies(own, asked)).drop("__key")
+    return whole.unionByName(met).drop(*_PLACE)
 
 
 def stored_coverage(records: DataFrame, requests: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
@@ -49,12 +72,13 @@ def evaluate_requests(evaluated: DataFrame, requests: DataFrame, version: str =
     return j.select("request_id", (freshness == "fresh").alias("complete"), freshness.alias("freshness"), reason.alias("stale_reason"), action.alias("recommended_action"))
 
 
-def session_selectors(sessions: DataFrame) -> DataFrame:
-    """The two to four selectors that hold a session: all, its directory, its date, both."""
+def session_selectors(sessions: DataFrame, *, narrowest: bool = False) -> DataFrame:
+    """The two to four selectors that hold a session: all, its directory, its date, both; or the last of them only."""
     make = lambda kind, cwd=None, date=None: F.struct(F.lit(kind).alias("kind"), F.col("source_id").alias("source"), F.col("source_root").alias("root"), (cwd if cwd is not None else F.lit(None).cast("string")).alias("cwd"), (date if date is not None else F.lit(None).cast("string")).alias("fromDate"), (date if date is not None else F.lit(None).cast("string")).alias("toDate"))
     cwd, date = F.col("cwd"), F.col("path_date")
     some = F.array(make("all"), F.when(cwd != "", make("cwd", cwd)), F.when(date.isNotNull(), make("date_range", None, date)), F.when((cwd != "") & date.isNotNull(), make("cwd_date_range", cwd, date)))
-    return sessions.select("session_key", F.explode(F.filter(some, lambda x: x.isNotNull())).alias("requested"))
+    there = F.filter(some, lambda x: x.isNotNull())
+    return sessions.select("session_key", (F.element_at(there, -1) if narrowest else F.explode(there)).alias("requested"))
 
 
 def storage_key_of_all(source: Column, root: Column) -> Column:
@@ -65,7 +89,8 @@ def storage_key_of_all(source: Column, root: Column) -> Column:
 
 def session_coverage(sessions: DataFrame, records: DataFrame, version: str = INDEX_VERSION) -> DataFrame:
     """Per session (session_key) whether some current proof holds it, and the selectors of those that do."""
-    wanted = session_selectors(sessions).withColumn("request_id", F.col("session_key"))
+    # What implies any selector of a session implies its narrowest.
+    wanted = session_selectors(sessions, narrowest=True).withColumn("request_id", F.col("session_key"))
     hits = covering(records, wanted, version).groupBy("session_key").agg(F.array_sort(F.collect_set("selector_key")).alias("covering_selectors"))
     none = F.array().cast("array<string>")
     out = sessions.select("session_key").join(hits, "session_key", "left")
