@@ -48,8 +48,9 @@ def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: I
     options = {"limit": limit, "sort": sort, "scope": scope, "exclude": exclude}
 
     def ranked_of(some: DataFrame, strict: DataFrame) -> DataFrame:
+        # A batch of queries is sent to the tasks, so what meets the texts is keys only, and texts are not shuffled again.
         found = keep(with_fallback(strict, some, documents, sessions, index, **options))
-        rows = ranked_sessions(found, some, now, limit=limit, sort=sort, documents=documents, sessions=sessions)
+        rows = ranked_sessions(found, F.broadcast(some.select("query_id", "a")), now, limit=limit, sort=sort, documents=documents, sessions=sessions)
         return rows if per_source else merge(rows, limit=limit, sort=sort)
 
     ranked = in_batches(q, documents, sessions, index, ranked_of, **options)

@@ -34,11 +34,11 @@ class Index:
 
     def write(self, path: str) -> None:
         """Files are sorted by term, so a lookup skips most row groups; a frequent term spans files."""
-        self.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings", compression="zstd")
         if self.chars is not None:
-            self.chars.sortWithinPartitions("char", "doc_id").write.parquet(f"{path}/chars")
-        self.doc_stats.write.parquet(f"{path}/doc_stats")
-        self.corpus.write.parquet(f"{path}/corpus")
+            self.chars.sortWithinPartitions("char", "doc_id").write.parquet(f"{path}/chars", compression="zstd")
+        self.doc_stats.write.parquet(f"{path}/doc_stats", compression="zstd")
+        self.corpus.write.parquet(f"{path}/corpus", compression="zstd")
 
     def saved(self) -> Index:
         """The index written once to the shared folder, as every batch of queries should use it."""

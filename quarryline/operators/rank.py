@@ -145,9 +145,10 @@ def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: in
         w = Window.partitionBy(*part).orderBy(F.desc("at"), "pos", "session_key")
         newest = newest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit)
         cands = cands.join(newest.select(*part, "session_key"), [*part, "session_key"], "left_semi")
-    rows = cands if documents is None else cands.select("query_id", "doc_id", "fts_score", "cand_pos")
+    rows = cands
+    if documents is not None:
+        rows = cands.select("query_id", "doc_id", "fts_score", "cand_pos").join(documents.select("doc_id", "source_id", "session_key", "kind", "seq", "role", "timestamp", *TEXT_FIELDS), "doc_id")
     rows = rows.join(queries.select("query_id", "a"), "query_id")
-    rows = rows if documents is None else rows.join(documents.select("doc_id", "source_id", "session_key", "kind", "seq", "role", "timestamp", *TEXT_FIELDS), "doc_id")
     rows = rows.withColumn("score", row_score(F.col("a"))).drop("a")
     if documents is not None:
         rows = rows.drop(*TEXT_FIELDS)

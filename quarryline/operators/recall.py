@@ -9,7 +9,7 @@ and lengths are those of the whole index, not of the scope.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,8 @@ from quarryline.storage import keep, passing
 TEXT_FIELDS = list(WEIGHTS)
 #: Pairs of a query and a document of its rarest term that are looked at in one batch, if the index has not more postings of query terms.
 LEAST_PAIRS = 1 << 20
+#: Terms of the queries of one batch, which are sent to the tasks.
+MOST_SENT = 1 << 16
 SESSION_COLUMNS = ["title", "cwd", "started_at", "ended_at", "session_uuid", "native_session_id", "path_date", "file_path", "message_count"]
 
 
@@ -36,21 +38,24 @@ def analyzed_queries(queries: DataFrame) -> DataFrame:
 
 
 def term_documents(terms: DataFrame, index: Index) -> DataFrame:
-    """(token, doc_id, f) of distinct query terms and the documents that hold them: the weighted frequency.
+    """(doc_id, held): a map of each document's query terms, by their numbers, to their weighted frequencies.
 
-    Each distinct term is looked up once however many queries share it.
+    ``terms`` are distinct (token, no); each is looked up once however many queries share it.
     """
-    parts = terms.select("token").distinct().withColumn("phrase", phrase_of(F.col("token")))
-    parts = parts.select("token", F.size("phrase").alias("k"), F.posexplode("phrase").alias("no", "term"))
+    parts = terms.withColumn("phrase", phrase_of(F.col("token")))
+    parts = parts.select("no", F.size("phrase").alias("k"), F.posexplode("phrase").alias("at", "term"))
     found = parts.join(index.postings, "term")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS.values())), F.col("field") + 1)
-    single = found.where("k = 1").select("token", "doc_id", "field", F.size("positions").alias("count"))
+    single = found.where("k = 1").select("no", "doc_id", "field", F.size("positions").alias("count"))
     # A phrase starts where each of its terms, moved back by its place in the phrase, stands.
-    moved = found.where("k > 1").select("token", "k", "no", "doc_id", "field", F.transform("positions", lambda p: p - F.col("no")).alias("starts"))
-    multi = moved.groupBy("token", "doc_id", "field").agg(F.first("k").alias("k"), F.collect_list("starts").alias("all"))
+    moved = found.where("k > 1").select("no", "k", "at", "doc_id", "field", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    multi = moved.groupBy("no", "doc_id", "field").agg(F.first("k").alias("k"), F.collect_list("starts").alias("all"))
     both = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
-    multi = multi.where("size(all) = k").select("token", "doc_id", "field", F.size(both).alias("count")).where("count > 0")
-    return single.unionByName(multi).groupBy("token", "doc_id").agg(F.sum(F.col("count") * weight).alias("f"))
+    multi = multi.where("size(all) = k").select("no", "doc_id", "field", F.size(both).alias("count")).where("count > 0")
+    # A document's terms are gathered where they lie and dealt by documents once; its fields are summed there.
+    dealt = single.unionByName(multi).groupBy("doc_id").agg(F.collect_list(F.struct("no", (F.col("count") * weight).alias("f"))).alias("all"))
+    summed = dealt.select("doc_id", F.inline("all")).groupBy("doc_id", "no").agg(F.sum("f").alias("f"))
+    return summed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("no", "f"))).alias("held"))
 
 
 def distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,29 +79,37 @@ def for_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
 class Lookup:
     """What the index says of the terms of many queries, each looked up once for all of them.
 
-    asked (query_id, own, parts, token, df): a query's terms with their document frequencies and the
-    rarest of them; td (token, doc_id, f) as ``term_documents`` has it; held: a document's
-    terms and their frequencies, its length and what is said of its place.
+    asked (query_id, own, parts, no, df): a query's terms, as numbers, with their document frequencies
+    and the rarest of them; held: a document's terms and their frequencies, its length and what is
+    said of its place, null where that does not count; owned: may queries have a session of their own?
     """
 
     asked: DataFrame
-    td: DataFrame
     held: DataFrame
+    owned: bool
+
+    @property
+    def td(self) -> DataFrame:
+        """(no, f, doc_id) of all terms and the documents that hold them."""
+        return self.held.select(F.explode("held").alias("no", "f"), "doc_id")
 
 
 def looked_up(queries: DataFrame, index: Index, places: DataFrame | None = None) -> Lookup:
-    """The terms of analysed queries, in documents of ``places`` only if given; see ``scored``."""
+    """The terms of analysed queries, and the documents of ``places`` that count if given; see ``scored``."""
     own = places is not None and "session_key" in queries.columns
     session = F.col("session_key") if own else F.lit(None).cast("string")
     terms = queries.where("a.mode = 'terms'").select("query_id", session.alias("own"), F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("token"))
-    td = keep(term_documents(terms, index))
-    df = td.groupBy("token").agg(F.count("*").alias("df"))
+    # Numbers stand for terms in what is shuffled; they are fixed once written.
+    words = keep(terms.select("token").distinct().withColumn("no", F.monotonically_increasing_id()))
+    held = term_documents(words, index).join(index.doc_stats, "doc_id")
+    lookup = Lookup(terms, keep(held if places is None else held.join(places, "doc_id", "left")), own)
+    df = lookup.td.groupBy("no").agg(F.count("*").alias("df"))
     # A query's own terms, the rarest first.
-    parts = F.sort_array(F.collect_list(F.struct("df", "token"))).alias("parts")
-    asked = terms.join(df, "token").groupBy("query_id", "own", "n_terms").agg(parts).where("size(parts) = n_terms")
-    asked = keep(asked.select("query_id", "own", "parts", F.col("parts")[0]["token"].alias("token"), F.col("parts")[0]["df"].alias("df")))
-    held = td.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "f"))).alias("held")).join(index.doc_stats, "doc_id")
-    return Lookup(asked, td, keep(held if places is None else held.join(places, "doc_id")))
+    parts = F.sort_array(F.collect_list(F.struct("df", "token", "no")))
+    asked = terms.join(words.join(df, "no"), "token").groupBy("query_id", "own", "n_terms").agg(parts.alias("parts")).where("size(parts) = n_terms")
+    rarest = F.col("parts")[0]
+    asked = asked.select("query_id", "own", F.transform("parts", lambda p: F.struct(p["df"].alias("df"), p["no"].alias("no"))).alias("parts"), rarest["no"].alias("no"), rarest["df"].alias("df"))
+    return replace(lookup, asked=keep(asked))
 
 
 def batches_of(lookup: Lookup) -> int:
@@ -105,25 +118,35 @@ def batches_of(lookup: Lookup) -> int:
     return max(1, -(-pairs // max(LEAST_PAIRS, lookup.td.count())))
 
 
+def sendings_of(queries: DataFrame) -> int:
+    """Batches in which the queries have some ``MOST_SENT`` terms at most, so that a batch of them can be sent to the tasks."""
+    size = queries.agg(F.coalesce(F.sum(F.size("a.terms") + 1), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-size // MOST_SENT))
+
+
 def scored(asked: DataFrame, lookup: Lookup, index: Index, places: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, fts_score) of all documents that hold all terms of a query, for some of those asked.
+    """(query_id, doc_id, fts_score) of all documents that hold all terms of a query, for a batch of those asked.
 
-    The rarest term's documents are the candidates; each meets the frequencies of its
-    document's terms once, so a frequent word costs no more than the rare one it stands beside.
+    The batch goes to the documents: of a document's terms, each meets the queries whose rarest
+    it is, and the document's other terms are at hand there.  So a frequent word costs no more than
+    the rare one it stands beside, and only what is found is shuffled.
     With ``places`` (doc_id, session_key and more), as the lookup has them, only these documents
     count, come with what is said of them, and a query with a session of its own looks at that only.
     """
     said = [] if places is None else [c for c in places.columns if c != "doc_id"]
-    pairs = asked.where("own is null").join(lookup.td.select("token", "doc_id"), "token").select("query_id", "parts", "doc_id")
-    if places is not None:
-        inside = lookup.held.select(F.explode(F.map_keys("held")).alias("token"), F.col("session_key").alias("own"), "doc_id")
-        pairs = pairs.unionByName(asked.where("own is not null").join(inside, ["token", "own"]).select("query_id", "parts", "doc_id"))
-    pairs = pairs.join(lookup.held, "doc_id").where(F.forall("parts", lambda p: F.map_contains_key("held", p["token"])))
+    there = lookup.held if places is None else lookup.held.where("session_key is not null")
+    there = there.select("*", F.explode(F.map_keys("held")).alias("no"))
+    columns = ["query_id", "parts", "doc_id", "held", "dl", *said]
+    pairs = there.join(F.broadcast(asked.where("own is null").select("no", "query_id", "parts")), "no").select(*columns)
+    if lookup.owned:
+        mine = asked.where("own is not null").select("no", F.col("own").alias("session_key"), "query_id", "parts")
+        pairs = pairs.unionByName(there.join(F.broadcast(mine), ["no", "session_key"]).select(*columns))
+    pairs = pairs.where(F.forall("parts", lambda p: F.map_contains_key("held", p["no"])))
     pairs = pairs.crossJoin(F.broadcast(index.corpus))  # one row
 
     def gain(p):
         raw = F.log((F.col("n") - p["df"] + 0.5) / (p["df"] + 0.5))
-        f = F.element_at("held", p["token"])
+        f = F.element_at("held", p["no"])
         return F.when(raw > 0, raw).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
     score = -F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + gain(p))
@@ -202,7 +225,7 @@ def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, in
     with passing(queries.sparkSession) as stay:
         lookup = looked_up(queries, index, places)
         literal = keep(literal_matches(queries, documents, index.chars).join(places, "doc_id"))
-        done, n = [], batches_of(lookup)
+        done, n = [], max(batches_of(lookup), sendings_of(queries))
         for i in range(n):
             mine = F.lit(True) if n == 1 else F.pmod(F.xxhash64("query_id"), F.lit(n)) == i
             with passing(queries.sparkSession):

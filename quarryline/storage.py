@@ -63,7 +63,7 @@ def keep(df: DataFrame) -> DataFrame:
     if (held := _passing.get()) is not None:
         held.append(path)
     with settings(df.sparkSession, CLEAN):
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
