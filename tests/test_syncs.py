@@ -400,3 +400,16 @@ def test_files_with_nothing_more_to_say_are_not_written_between_two_looks(spark,
     found = {r["source_id"]: (r["kind"], r["reason"]) for r in QUERIES["sync_second_look"](spark, str(tmp_path)).collect()}
     stable = ("stable", None)
     assert found == {"codex": ("append_only", "source_content_changed"), "claude-code": stable, "pi": stable, "dsh": stable}
+
+
+def test_indexed_bytes_end_with_the_last_complete_line(spark):
+    """Also where that line is the last one, and soon where lines are long."""
+    import time
+
+    contents = [b"", b"a", b"\n", b"abc\ndef\n", b"abc\ndef", b"abc\n\n", "é\nü\n".encode(), b"a\nb\r\n", b"a\nbc\xc2\x85", b"\xff\xfe\nx"]
+    rows = spark.createDataFrame([(bytearray(c),) for c in contents], "content binary").select("content", refresh.indexed_bytes(F.col("content")).alias("n"))
+    assert {bytes(r["content"]): r["n"] for r in rows.collect()} == {c: c.rfind(b"\n") + 1 for c in contents}
+    long = spark.range(1).select(F.encode(F.concat(F.repeat(F.lit("x"), 200_000), F.lit("\ny")), "UTF-8").alias("content"))
+    began = time.time()
+    assert long.select(refresh.indexed_bytes(F.col("content"))).first()[0] == 200_001
+    assert time.time() - began < 20  # the square of the line's length took minutes
