@@ -14,9 +14,9 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stash_in_batches(df: DataFrame, rows: int) -> DataFrame:
-    """``stash``, with so many rows at most on their way to a worker at once."""
+    """``stash`` of chunks, with so many rows at most on their way to a worker at once."""
     with settings(df.sparkSession, {BATCH: str(rows)}):
-        return stash(df)
+        return stash(df, wide=True)
 
 
 def packer(chunk_bytes: int):

@@ -36,9 +36,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(other, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, *, wide: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it again; cuts the lineage."""
-    return keep(df)
+    return keep(df, wide=wide)
 
 
 def trained_dictionary(samples: list[bytes], size: int) -> bytes:

@@ -57,13 +57,21 @@ def settings(spark: SparkSession, values: dict[str, str]):
 CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes a step's result and reads it again: later steps neither repeat it nor carry its plan."""
+#: Writer options for rows of megabytes.  Parquet otherwise first looks at the size of what it holds after 100 rows,
+#: and readers take a row group's rows, up to 4096, at once.
+WIDE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def keep(df: DataFrame, *, wide: bool = False) -> DataFrame:
+    """Writes a step's result and reads it again: later steps neither repeat it nor carry its plan.
+
+    ``wide`` rows, of megabytes each, are written and read a few at a time.
+    """
     path = shared_path(df.sparkSession)
     if (held := _passing.get()) is not None:
         held.append(path)
     with settings(df.sparkSession, CLEAN):
-        df.write.parquet(path, compression="zstd")
+        df.write.options(**(WIDE_ROWS if wide else {})).parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
