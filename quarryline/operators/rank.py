@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import has_bounded_phrase, has_trailing_arguments, let, shortest_ordered_span, term_hits, tokenize
 from quarryline.operators.recall import TEXT_FIELDS, session_columns
+from quarryline.storage import keep
 
 #: Fixed values of the session score.
 DAY_MS = 86_400_000.0
@@ -129,6 +132,73 @@ def matched_fields(shown: Column, title: Column, summary: Column, a: Column) ->
     return F.when(shown["kind"] == "message", F.array(F.lit("message"))).otherwise(profile)
 
 
+def needles(a: Column) -> Column:
+    """What one of must stand in a field that a query matches: its terms and the whole of it, without those that hold another one."""
+    every = F.filter(F.array_distinct(F.concat(a["terms"], F.array(a["normalized"]))), lambda x: x != "")
+    return F.filter(every, lambda x: ~F.exists(every, lambda y: (x != y) & x.contains(y)))
+
+
+#: Needles that are sent to the tasks at a time.
+SENT_NEEDLES = 1 << 16
+
+
+def holdings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, field, no): the needles (no, needle) that each text (key, field, text) holds.
+
+    A text's pieces of the needles' lengths are looked up, so the time goes with the texts and not
+    with texts times needles.
+    """
+    found = []
+    n = max(1, -(-wanted.count() // SENT_NEEDLES))
+    for i in range(n):
+        some = wanted if n == 1 else wanted.where(F.pmod(F.xxhash64("needle"), F.lit(n)) == i)
+        lengths = some.agg(F.sort_array(F.collect_set(F.length("needle"))).alias("lengths"))  # one row
+        at = texts.where("text <> ''").crossJoin(F.broadcast(lengths)).where("size(lengths) > 0")
+        at = at.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text"))))
+        tails = at.select("key", "field", F.substring(F.col("text"), F.col("at"), F.array_max("lengths")).alias("tail"), "lengths")
+        pieces = tails.select("key", "field", "tail", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("tail"))
+        pieces = pieces.select("key", "field", F.substring(F.col("tail"), F.lit(1), F.col("n")).alias("needle"))
+        found.append(pieces.join(F.broadcast(some), "needle").select("key", "field", "no"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+#: Queries, and profiles, of a cell in which all of them meet.
+CELL = (4096, 512)
+
+
+def matched_profiles(queries: DataFrame, sessions: DataFrame, *, cell: tuple[int, int] = CELL) -> DataFrame:
+    """(query_id, session_key, fields): all pairs of a query (query_id, source_id, a) and a session of its source, with the profile fields that match.
+
+    The pairs are the result, so its size is quadratic.  What each profile holds is found before, for all
+    queries' needles, and pairs compare numbers.  They are made in cells of a part of a source's
+    queries and a part of its sessions, so no task has more than a few cells' pairs.
+    """
+    asked = keep(queries.select("source_id", "query_id", needles(F.col("a")).alias("wanted")))
+    one = asked.select("source_id", "query_id", F.explode_outer("wanted").alias("needle"))
+    wanted = keep(one.where("needle is not null").select("needle").distinct().withColumn("no", F.monotonically_increasing_id()))
+    q = keep(one.join(wanted, "needle", "left").groupBy("source_id", "query_id").agg(F.collect_set("no").alias("wanted")))
+    profiles = keep(sessions.select("source_id", "session_key", F.lower("title").alias("title"), F.lower("summary_text").alias("summary")))
+    texts = profiles.select(F.col("session_key").alias("key"), F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("title", "summary")))))
+    held = holdings(texts, wanted).groupBy("key").agg(*(F.collect_set(F.when(F.col("field") == c, F.col("no"))).alias(c) for c in ("title", "summary")))
+    s = keep(profiles.select("source_id", "session_key").join(held.withColumnRenamed("key", "session_key"), "session_key", "left"))
+
+    n = [df.groupBy("source_id").count().agg(F.count("*").alias("sources"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first() for df in (q, s)]
+    sides = [max(1, -(-x["most"] // rows)) for x, rows in zip(n, cell)]
+    part = lambda key, side: F.pmod(F.xxhash64(key), F.lit(side)).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    q = q.withColumn("q_part", part("query_id", sides[0])).withColumn("s_part", each(sides[1]))
+    s = s.withColumn("s_part", part("session_key", sides[1])).withColumn("q_part", each(sides[0]))
+    keys, cells = ["source_id", "q_part", "s_part"], max(1, n[0]["sources"]) * sides[0] * sides[1]
+    # The cells' number is stated, else Spark would put these few rows into few tasks, or all of a source into one.
+    both = q.repartition(cells, *keys).join(s.repartition(cells, *keys), keys)
+
+    def hit(field):  # most queries have two needles or one; looking for these makes nothing for a pair
+        has = lambda i: F.coalesce(F.array_contains(field, F.get("wanted", F.lit(i))), F.lit(False))
+        return F.when(has(0) | has(1) | ((F.size("wanted") > 2) & F.coalesce(F.arrays_overlap(field, "wanted"), F.lit(False))), field)
+
+    return both.select("query_id", "session_key", F.concat_ws(",", hit("title"), hit("summary")).alias("fields"))
+
+
 def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
     """The first sessions per query and source, in order, with their display row.
 

@@ -191,9 +191,7 @@ def profile_fields(spark, sf_dir):
     """Which fields of the profiles of its source a query matches."""
     c = conv(spark, sf_dir)
     q = conversation_queries(c).select("query_id", F.substring_index("query_id", ":", 1).alias("source_id"), T.analyze_query(F.col("query")).alias("a"))
-    shown = F.struct(F.lit("session_profile").alias("kind"), F.lit("").alias("compact_text"), F.lit("").alias("reasoning_text"))
-    f = rk.matched_fields(shown, F.col("title"), F.col("summary_text"), F.col("a"))
-    return q.join(c.sessions, "source_id").select("query_id", "session_key", F.array_join(f, ",").alias("fields"))
+    return rk.matched_profiles(q, c.sessions)
 
 
 @register(
