@@ -57,6 +57,24 @@ def find(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: I
     return whole_results(for_each(ranked.join(q.select("query_id", "a"), "query_id"), ids), documents, sessions)
 
 
+def first_results(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, *, now: str, limit: int = 10, sorts: tuple[str, ...] = ("relevance", "ended"), scope: Column | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """(sort, query_id, rank, session_ref): the first result that ``find`` gives each query by each of the sorts.
+
+    What is found is scored once for all sorts, and no texts are joined to the results.  The first of all is the
+    first of its source, by every sort, so the others are not ranked.
+    """
+    one, ids = distinct_queries(queries)
+    q = keep(analyzed_queries(one))
+    options = {"limit": limit, "scope": scope, "exclude": exclude}
+
+    def ranked_of(some: DataFrame, strict: DataFrame, sort: str) -> DataFrame:
+        found = keep(with_fallback(strict, some, documents, sessions, index, sort=sort, **options))
+        rows = ranked_sessions(found, F.broadcast(some.select("query_id", "a")), now, limit=limit, sort=sort, documents=documents, sessions=sessions, first=1)
+        return merge(rows, limit=1, sort=sort).select("query_id", "rank", "session_ref")
+
+    return for_each(in_batches(q, documents, sessions, index, ranked_of, sort=sorts, **options), ids)
+
+
 def find_summary(queries: DataFrame, results: DataFrame, sessions: DataFrame, scopes: DataFrame, records: DataFrame) -> DataFrame:
     """Per query: n_results, scanned_message_count, complete, freshness, next_action, and for none found diagnosis and suggestions.
 

@@ -199,14 +199,15 @@ def matched_profiles(queries: DataFrame, sessions: DataFrame, *, cell: tuple[int
     return both.select("query_id", "session_key", F.concat_ws(",", hit("title"), hit("summary")).alias("fields"))
 
 
-def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: int = 10, sort: str = "relevance", documents: DataFrame | None = None, sessions: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """The first sessions per query and source, in order, with their display row.
 
     Candidates come with all columns, or as keys and with ``documents`` and ``sessions``:
     then a key meets its document, and its group its session, for the score only, and what
     ``whole_results`` gives back is left there.
     Time sorts keep the newest 2 x limit sessions first and score only those; the
-    final order is by time, then score.
+    final order is by time, then score.  With ``first``, only so many of the sessions come out, and
+    of those that a time sort keeps, only those are scored that may be among them.
     """
     part = ["query_id", "source_id"]
     time = {"ended": "ended_at", "started": "started_at"}.get(sort)
@@ -214,6 +215,8 @@ def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: in
         newest = cands.groupBy(*part, "session_key").agg(F.min_by(time, "cand_pos").alias("at"), F.min("cand_pos").alias("pos"))
         w = Window.partitionBy(*part).orderBy(F.desc("at"), "pos", "session_key")
         newest = newest.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * limit)
+        if first is not None:
+            newest = newest.withColumn("newer", F.rank().over(Window.partitionBy(*part).orderBy(F.desc("at")))).where(F.col("newer") <= first)
         cands = cands.join(newest.select(*part, "session_key"), [*part, "session_key"], "left_semi")
     rows = cands
     if documents is not None:
@@ -230,7 +233,7 @@ def ranked_sessions(cands: DataFrame, queries: DataFrame, now: str, *, limit: in
     if sessions is not None:
         s = s.select(*part, "session_key", "session_ref", "score", "started_at", "ended_at", "first_pos", "match_count", "shown")
     order = [F.desc(time), F.desc("score"), "source_id", "session_ref"] if time else [F.desc("score"), F.desc("ended_at"), "first_pos"]
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= limit)
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("rank") <= min(limit, first or limit))
 
 
 def whole_results(ranked: DataFrame, documents: DataFrame, sessions: DataFrame) -> DataFrame:

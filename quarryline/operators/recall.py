@@ -136,21 +136,28 @@ def scored(asked: DataFrame, lookup: Lookup, index: Index, places: DataFrame | N
     said = [] if places is None else [c for c in places.columns if c != "doc_id"]
     there = lookup.held if places is None else lookup.held.where("session_key is not null")
     there = there.select("*", F.explode(F.map_keys("held")).alias("no"))
-    columns = ["query_id", "parts", "doc_id", "held", "dl", *said]
-    pairs = there.join(F.broadcast(asked.where("own is null").select("no", "query_id", "parts")), "no").select(*columns)
-    if lookup.owned:
-        mine = asked.where("own is not null").select("no", F.col("own").alias("session_key"), "query_id", "parts")
-        pairs = pairs.unionByName(there.join(F.broadcast(mine), ["no", "session_key"]).select(*columns))
-    pairs = pairs.where(F.forall("parts", lambda p: F.map_contains_key("held", p["no"])))
-    pairs = pairs.crossJoin(F.broadcast(index.corpus))  # one row
+    # The two rarest terms are tried and scored without a lambda, which costs a pair more than all else; few queries have more.
+    parts = F.col("parts")
+    asked = asked.withColumns({"other": F.get(parts, F.lit(1)), "more": F.when(F.size(parts) > 2, F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))})
+    asked = asked.crossJoin(F.broadcast(index.corpus))  # one row
 
     def gain(p):
         raw = F.log((F.col("n") - p["df"] + 0.5) / (p["df"] + 0.5))
         f = F.element_at("held", p["no"])
         return F.when(raw > 0, raw).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    score = -F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + gain(p))
-    return pairs.select("query_id", "doc_id", score.alias("fts_score"), *said)
+    def met(some: DataFrame, on: list[str]) -> DataFrame:
+        pairs = there.join(F.broadcast(some.select(*on, "query_id", "df", "other", "more", "n", "avgdl")), on)
+        pairs = pairs.where(F.col("other").isNull() | F.array_contains(F.map_keys("held"), F.col("other.no")))
+        rare = gain(F.struct(F.col("df"), F.col("no"))) + F.coalesce(gain(F.col("other")), F.lit(0.0))
+        few, many = pairs.where("more is null"), pairs.where("more is not null").where(F.forall("more", lambda p: F.map_contains_key("held", p["no"])))
+        rows = [(few, rare), (many, F.aggregate("more", rare, lambda sum_, p: sum_ + gain(p)))]
+        return reduce(DataFrame.unionByName, [x.select("query_id", "doc_id", (-score).alias("fts_score"), *said) for x, score in rows])
+
+    found = met(asked.where("own is null"), ["no"])
+    if lookup.owned:
+        found = found.unionByName(met(asked.where("own is not null").withColumn("session_key", F.col("own")), ["no", "session_key"]))
+    return found
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -203,12 +210,13 @@ def session_columns(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_key", F.col("summary_text").alias("session_summary"), *SESSION_COLUMNS)
 
 
-def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, of: Callable[[DataFrame, DataFrame], DataFrame], *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str = "relevance") -> DataFrame:
+def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, index: Index, of: Callable[..., DataFrame], *, scope: Column | None = None, exclude: DataFrame | None = None, limit: int = 10, sort: str | tuple[str, ...] = "relevance") -> DataFrame:
     """What ``of`` makes of analysed queries, no two of which ask the same, and of the keys of their candidates (with the time if that orders them).
 
     Terms are looked up once for all queries.  These then go by batches, each of which is written
     before the next one starts, so that what is shuffled at a time goes with the index, not
-    with the pairs of all queries and documents.
+    with the pairs of all queries and documents.  With several sorts, what a batch finds is scored once
+    for all of them; ``of`` is also told the sort, which its rows get as a column.
 
     ``scope`` is a predicate on session columns and on those of documents that are
     no texts, ``exclude`` has (source_id or null, ref) rows.  Both apply to the documents before
@@ -218,10 +226,18 @@ def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, in
     there = there if scope is None else there.where(scope)
     if exclude is not None:
         there = excluded(there, exclude)
-    time = {"ended": "ended_at", "started": "started_at"}.get(sort)
-    places = there.select("doc_id", "session_key", "source_id", "seq", F.col(time or "ended_at").alias("at"))
-    order = [F.desc("at"), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("at"), F.coalesce("seq", F.lit(-1))]
-    w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
+    sorts = (sort,) if isinstance(sort, str) else sort
+    times = {s: {"ended": "ended_at", "started": "started_at"}.get(s) for s in sorts}
+    stamps = sorted({t or "ended_at" for t in times.values()})
+    places = there.select("doc_id", "session_key", "source_id", "seq", *stamps)
+
+    def best(rows: DataFrame, by: str) -> DataFrame:
+        time = times[by]
+        order = [F.desc(time), F.asc("fts_score")] if time else [F.asc("fts_score"), F.desc("ended_at"), F.coalesce("seq", F.lit(-1))]
+        w = Window.partitionBy("query_id", "source_id").orderBy(*order, "doc_id")
+        first = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, by))
+        return first.select("query_id", "source_id", "session_key", "doc_id", "fts_score", "cand_pos", *([time] if time else []))
+
     with passing(queries.sparkSession) as stay:
         lookup = looked_up(queries, index, places)
         literal = keep(literal_matches(queries, documents, index.chars).join(places, "doc_id"))
@@ -235,9 +251,11 @@ def in_batches(queries: DataFrame, documents: DataFrame, sessions: DataFrame, in
                     if column in q.columns:
                         own = q.select("query_id", F.col(column).alias("own"))
                         rows = rows.join(own, "query_id").where(F.col("own").isNull() | (F.col("own") == F.col(column))).drop("own")
-                rows = rows.withColumn("cand_pos", F.row_number().over(w)).where(F.col("cand_pos") <= budget(limit, sort))
-                rows = rows.select("query_id", "source_id", "session_key", "doc_id", "fts_score", "cand_pos", *([F.col("at").alias(time)] if time else []))
-                done.append(stay(of(q, rows)))
+                if isinstance(sort, str):
+                    done.append(stay(of(q, best(rows, sort))))
+                    continue
+                rows = keep(rows)
+                done += [stay(of(q, best(rows, by), by).withColumn("sort", F.lit(by))) for by in sorts]
     return reduce(DataFrame.unionByName, done)
 
 

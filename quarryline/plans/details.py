@@ -455,8 +455,8 @@ def top_changes(spark, sf_dir):
     """Queries whose first result is another one when sorted by time."""
     c = conv(spark, sf_dir).searchable()
     q = keep(conversation_queries(c))
-    by = {s: find_op.find(q, c.documents, c.sessions, c.index, now=NOW, limit=10, sort=s) for s in ("relevance", "ended")}
-    return evaluate.top_differences(by["relevance"], by["ended"])
+    by = find_op.first_results(q, c.documents, c.sessions, c.index, now=NOW, limit=10)
+    return evaluate.top_differences(by.where("sort = 'relevance'"), by.where("sort = 'ended'"))
 
 
 @register(
